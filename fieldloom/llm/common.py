@@ -35,3 +35,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def folded(text):
     """The text with A-Z in lower case and nothing else changed; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def raw_texts(column) -> list[bytes]:
+    """An Arrow string column as UTF-8 bytes; null becomes empty.
+
+    ``bytes.split()`` cuts at exactly \\x20 and \\x09-\\x0D and ``bytes.lower()`` folds exactly A-Z, which is what the
+    operators' words need; str.split() and str.lower() would do more.
+    """
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
