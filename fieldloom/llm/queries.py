@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality
+from . import exact_dedup, pii, quality, secret_scan
 from .common import table
 
 
@@ -20,7 +20,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.digests(found)
+
+
 QUERIES = {
+    "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
