@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality, secret_scan
+from . import exact_dedup, html_text, pii, quality, secret_scan
 from .common import table
 
 
@@ -25,7 +25,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(found)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op6_html_text": op6_html_text,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii": op10_pii,
     "op7_quality_rules": op7_quality_rules,
