@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_text, pii, quality, secret_scan
+from . import bpe, chat_format, exact_dedup, html_text, pii, quality, secret_scan
 from .common import table
 
 
@@ -37,7 +38,16 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.segments(chat_format.events_of_turns(rows.unionByName(planted))))
 
 
+#: Vocabulary of the public tokenizer that op3 uses.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_chat_format": op4_chat_format,
     "op6_html_text": op6_html_text,
     "op9_secret_scan": op9_secret_scan,
