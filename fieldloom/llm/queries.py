@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, html_text, near_dedup, pii, quality, secret_scan
+from . import bpe, chat_format, exact_dedup, html_text, mixing, near_dedup, pii, quality, secret_scan
 from .common import table
 
 
@@ -50,7 +50,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op3_bpe": op3_bpe,
     "op4_chat_format": op4_chat_format,
