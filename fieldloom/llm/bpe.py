@@ -17,7 +17,6 @@ import gc
 import os
 from collections.abc import Iterator
 from itertools import pairwise
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ from .common import raw_texts
 WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(31)
 #: Bounds of the tables in a worker: words and chunks (in bytes of text).
 MAX_WORDS, MAX_ONCE, MAX_CHUNK_BYTES = 250_000, 1_000_000, 24_000_000
+#: Words of one call to the tokenizer, and a character between them whose token nothing else gives.
+GROUP, MARK, MARK_BYTE = 64, "\x01", b"\x01"
 PART_DOCS, PART_BYTES = 512, 4_000_000
 
 
@@ -94,6 +95,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.once: set[int] = set()  # hashes of words seen in one call so far
         self.chunks, self.joins, self.chunk_bytes, self.seen, self.reused = Kept(), Kept(), 0, 0, 0
@@ -107,23 +110,30 @@ class Encoder:
         return " ".join([self.token[i] for i in ids])
 
     def _encode_words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        """As _encode, for words without blanks: all in one call, told apart by where their tokens begin."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        e = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        at = np.searchsorted(np.array([o[0] for o in e.offsets], dtype=np.int64), begins).tolist()
-        ids, tokens = np.array(e.ids, dtype=np.int32).tobytes(), e.tokens
-        return [(ids[4 * a : 4 * b], " ".join(tokens[a:b])) for a, b in pairwise(at)]
+        """As _encode, for words without blanks or the mark: GROUP words to a call, told apart by the mark's token."""
+        sep = f" {MARK} "
+        groups = [sep.join([w.decode("utf-8", "replace") for w in words[k : k + GROUP]]) for k in range(0, len(words), GROUP)]
+        out: list[tuple[bytes, str]] = []
+        token = self.token
+        for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
+            ids = e.ids
+            held, names = np.array(ids, dtype=np.int32), [token[i] for i in ids]
+            ends = np.flatnonzero(held == self.mark).tolist()
+            raw, a = held.tobytes(), 0
+            for b in (*ends, len(ids)):
+                out.append((raw[4 * a : 4 * b], " ".join(names[a:b])))
+                a = b + 1
+        return out
 
     def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
         """What each word encodes to. Words met in a second call are kept, so that the table fills with frequent ones."""
         kept = self.words
         out = {w: kept[w] for w in words if w in kept}
         todo = [w for w in words if w not in kept]
-        plain = [w for w in todo if w.isascii() or is_normalized("NFC", w.decode("utf-8", "replace"))]
+        plain = [w for w in todo if MARK_BYTE not in w] if self.mark is not None else []
         if plain:
             out.update(zip(plain, self._encode_words(plain), strict=True))
-        if len(plain) < len(todo):  # positions may shift where marks are composed
+        if len(plain) < len(todo):
             rest = [w for w in todo if w not in out]
             out.update(zip(rest, self._encode(rest), strict=True))
         if len(kept) < MAX_WORDS:
@@ -140,10 +150,10 @@ class Encoder:
         self.seen += sum(map(len, cut))
         fresh = {c: c.split() for c in {c for own in cut for c in own} if c not in self.chunks}
         self.reused += sum(map(len, cut)) - len(fresh)
-        of = self.learn({w for words in fresh.values() for w in words})
+        of = self.learn(set().union(*fresh.values()))
         for c, words in fresh.items():
-            pairs = [of[w] for w in words]
-            self.chunks[c] = (b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[1]]), words[0] if words else b"", words[-1] if words else b"")
+            ids_of, names_of = zip(*[of[w] for w in words], strict=True) if words else ((), ())
+            self.chunks[c] = (b"".join(ids_of), " ".join(filter(None, names_of)), words[0] if words else b"", words[-1] if words else b"")
             self.chunk_bytes += len(c)
         known = self.chunks
         ends = {(known[a][3], known[b][2]) for own in cut for a, b in pairwise(own)}

@@ -20,7 +20,7 @@ def library():
 
 def texts(n=500):
     rng = random.Random(11)
-    pieces = ["the", " ", "  ", "\n", "\t", "don't", "É", "é", "́", "Σ", "ΑΣ", "<|endoftext|>", "<|startof", "text|>", "😀", "\xa0", " ", "\x1c", "123", "###", "ß", "İ", "'s", "'", "word. ", "The quick brown fox jumps over it all. ", "\x85", "한국", "‍"]
+    pieces = ["the", " ", "  ", "\n", "\t", "don't", "É", "é", "́", "Σ", "ΑΣ", "<|endoftext|>", "<|startof", "text|>", "😀", "\xa0", " ", "\x1c", "\x01", "a\x01b", "123", "###", "ß", "İ", "'s", "'", "word. ", "The quick brown fox jumps over it all. ", "\x85", "한국", "‍"]
     return ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 120))) for _ in range(n)]
 
 
