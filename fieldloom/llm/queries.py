@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, html_text, mixing, near_dedup, pii, quality, secret_scan
+from . import bpe, chat_format, exact_dedup, html_text, lm_score, mixing, near_dedup, pii, quality, secret_scan
 from .common import table
 
 
@@ -54,7 +54,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_mixing": op2_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op3_bpe": op3_bpe,
