@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts
 
-WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(31)
+WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(127)
 #: Bounds of the tables in a worker: words and chunks (in bytes of text).
-MAX_WORDS, MAX_ONCE, MAX_CHUNK_BYTES = 250_000, 1_000_000, 24_000_000
+MAX_WORDS, MAX_ONCE, MAX_CHUNK_BYTES = 350_000, 1_000_000, 24_000_000
 #: Words of one call to the tokenizer, and a character between them whose token nothing else gives.
 GROUP, MARK, MARK_BYTE = 64, "\x01", b"\x01"
 PART_DOCS, PART_BYTES = 512, 4_000_000

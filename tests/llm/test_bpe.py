@@ -36,12 +36,12 @@ def test_whole_texts_equal_the_library(library):
             want = library.encode(t, add_special_tokens=False).ids
             assert np.frombuffer(i, dtype=np.int32).tolist() == want, t
             assert d == library.decode(want, skip_special_tokens=False)
-    assert own.reused > own.seen / 2
+    assert own.reused >= own.seen / 2
 
 
 def test_chunks_are_content_defined():
     rng = random.Random(2)
-    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(600)).encode()
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(2400)).encode()
     a, b = bpe.chunks(b"one head " + passage), bpe.chunks(b"quite another head, longer " + passage + b" tail")
     assert b"".join(a) == b"one head " + passage
     assert len(set(a) & set(b)) >= len(a) - 3 > 5
