@@ -46,3 +46,24 @@ def raw_texts(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Keys of dropped rows are broadcast up to this many (some 30 MB); beyond, the join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def text_key(text):
+    """64 bits of a text, null as empty; with the id it tells rows apart where ids repeat."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(29))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id (null-safe) and text_key are among dropped (_fl_drop_id, _fl_drop_key).
+
+    All columns of docs stay. dropped should be checkpointed: it is counted, and broadcast only if it is small.
+    """
+    dropped = dropped.distinct()
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    same = docs[id_col].eqNullSafe(dropped["_fl_drop_id"]) & (text_key(docs[text_col]) == dropped["_fl_drop_key"])
+    return docs.join(dropped, same, "left_anti")

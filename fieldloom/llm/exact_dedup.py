@@ -78,6 +78,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and a text, one stays."""
+    groups = exact_groups(docs, id_col, text_col, keep).where("group_size > 1")
+    own = checkpointed(groups.select(F.col(id_col).alias("_fl_drop_id"), "keep_id", "text_sha256"))
+    folded_key = docs.withColumn("_fl_sha", F.sha2(folded(F.col(text_col)), 256))
+    dropped = checkpointed(own.where(~F.col("_fl_drop_id").eqNullSafe(F.col("keep_id"))).select("_fl_drop_id", "text_sha256").distinct())
+    dropped = _sized(dropped, dropped.count())
+    out = folded_key.join(dropped, folded_key[id_col].eqNullSafe(dropped["_fl_drop_id"]) & (folded_key["_fl_sha"] == dropped["text_sha256"]), "left_anti")
+    again = own.where(F.col("_fl_drop_id").eqNullSafe(F.col("keep_id"))).groupBy("_fl_drop_id", "text_sha256").count().where("count > 1").select("_fl_drop_id", "text_sha256")
+    again = checkpointed(again)
+    if n := again.count():  # rows that repeat the id that stays
+        again = _sized(again, n)
+        repeated = out[id_col].eqNullSafe(again["_fl_drop_id"]) & (out["_fl_sha"] == again["text_sha256"])
+        out = out.join(again, repeated, "left_anti").unionByName(out.join(again, repeated, "left_semi").dropDuplicates([id_col, "_fl_sha"]))
+    return out.drop("_fl_sha")
+
+
 ORACLE = """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, text_key, without
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of tokens that each domain shall have.
@@ -62,22 +62,23 @@ def bucket_weights(docs: DataFrame, labelled: DataFrame, id_col: str, text_col:
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col: str, text_col: str) -> DataFrame:
-    """_fl_row, _fl_id, n_tokens, p0, p1, ... of each row of docs."""
-    each = docs.select(F.monotonically_increasing_id().alias("_fl_row"), F.col(id_col).alias("_fl_id"), words(F.col(text_col)).alias("_fl_words"))
-    each = each.select("_fl_row", "_fl_id", F.explode("_fl_words").alias("_fl_word")).select("_fl_row", "_fl_id", F.when(F.col("_fl_word") != "", bucket(F.col("_fl_word"))).alias("bucket"))
-    sums = each.join(F.broadcast(weights), "bucket", "left").groupBy("_fl_row", "_fl_id").agg(F.count("bucket").alias("n_tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(DOMAINS))])
+    """_fl_row, _fl_id, _fl_key, n_tokens, p0, p1, ... of each row of docs."""
+    each = docs.select(F.monotonically_increasing_id().alias("_fl_row"), F.col(id_col).alias("_fl_id"), text_key(F.col(text_col)).alias("_fl_key"), words(F.col(text_col)).alias("_fl_words"))
+    each = each.select("_fl_row", "_fl_id", "_fl_key", F.explode("_fl_words").alias("_fl_word")).select("_fl_row", "_fl_id", "_fl_key", F.when(F.col("_fl_word") != "", bucket(F.col("_fl_word"))).alias("bucket"))
+    sums = each.join(F.broadcast(weights), "bucket", "left").groupBy("_fl_row", "_fl_id", "_fl_key").agg(F.count("bucket").alias("n_tokens"), *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"w{k}") for k in range(len(DOMAINS))])
     each_k = range(len(DOMAINS))
-    logits = sums.select("_fl_row", "_fl_id", "n_tokens", *[(F.lit(priors[k]) + F.col(f"w{k}")).alias(f"l{k}") for k in each_k])
+    logits = sums.select("_fl_row", "_fl_id", "_fl_key", "n_tokens", *[(F.lit(priors[k]) + F.col(f"w{k}")).alias(f"l{k}") for k in each_k])
     best = F.greatest(*[F.col(f"l{k}") for k in each_k])
-    odds = logits.select("_fl_row", "_fl_id", "n_tokens", *[F.exp(F.greatest(F.col(f"l{k}") - best, F.lit(-CLIP))).alias(f"e{k}") for k in each_k])
+    odds = logits.select("_fl_row", "_fl_id", "_fl_key", "n_tokens", *[F.exp(F.greatest(F.col(f"l{k}") - best, F.lit(-CLIP))).alias(f"e{k}") for k in each_k])
     whole = sum((F.col(f"e{k}") for k in range(len(DOMAINS))), F.lit(0.0))
-    return odds.select("_fl_row", "_fl_id", "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(DOMAINS))])
+    return odds.select("_fl_row", "_fl_id", "_fl_key", "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(DOMAINS))])
 
 
 def fit_rates(soft: DataFrame, targets: list[float], repeats: bool) -> tuple[DataFrame, list[float], list[float]]:
     """soft with a column rate; the domains' shares before; their expected token totals after.
 
-    The targets' total is that of all tokens if repeats are allowed, else the largest at which no domain needs them.
+    The targets' total is that of all tokens if repeats are allowed; else it is the largest at which no domain needs
+    them, and rates stay within 1.
     """
     k_all = range(len(targets))
     totals = lambda df: [float(x or 0) for x in df.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{k}")) for k in k_all]).first()]
@@ -97,21 +98,14 @@ def fit_rates(soft: DataFrame, targets: list[float], repeats: bool) -> tuple[Dat
         moved = F.col("rate") * (1 - step * RIDGE) + step * RIDGE
         for k in k_all:
             moved = moved - F.col(f"p{k}") * (step * pull[k])
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), moved))
+        now = now.withColumn("rate", F.greatest(F.lit(0.0), moved if repeats else F.least(F.lit(1.0), moved)))
         if i % CHECKPOINT_EVERY == 0:
             now = checkpointed(now)
         at = totals(now)
     return now, shares, at
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_tokens, p_<domain>, rate, copies.
-
-    copies rounds the rate up or down by a hash of the id, so that its mean is the rate; a document whose likeliest
-    domain has less than its target keeps one copy at least. Null and empty texts have no tokens and the priors as
-    memberships. Labels with a null id or neither quality nor toxic are left out; without labels all documents have the
-    priors. Rows with a null or repeated id are rows of their own; an empty table gives none; other columns are ignored.
-    """
+def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], repeats: bool, id_col: str, text_col: str) -> DataFrame:
     labelled = checkpointed(sample(labels, id_col))
     weights, priors = bucket_weights(docs, labelled, id_col, text_col)
     soft = checkpointed(posteriors(docs, weights, priors, id_col, text_col))
@@ -125,6 +119,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
             short = short | (F.col(f"p{k}") == top)
     copies = F.floor(F.col("rate") + chance)
     return rated.select(
-        F.col("_fl_id").alias(id_col), "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate",
+        "_fl_id", "_fl_key", "n_tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate",
         F.when(short, F.greatest(copies, F.lit(1))).otherwise(copies).cast("long").alias("copies"),
     )
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_tokens, p_<domain>, rate, copies.
+
+    copies rounds the rate up or down by a hash of the id, so that its mean is the rate; a document whose likeliest
+    domain has less than its target keeps one copy at least. Null and empty texts have no tokens and the priors as
+    memberships. Labels with a null id or neither quality nor toxic are left out; without labels all documents have the
+    priors. Rows with a null or repeated id are rows of their own; an empty table gives none; other columns are ignored.
+    """
+    return _mix(docs, labels, targets, repeats, id_col, text_col).drop("_fl_key").withColumnRenamed("_fl_id", id_col)
+
+
+def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that the mix gives no copy, none repeated, with all their columns."""
+    mixed = _mix(docs, labels, targets, False, id_col, text_col)
+    dropped = checkpointed(mixed.where("copies < 1").select(F.col("_fl_id").alias("_fl_drop_id"), F.col("_fl_key").alias("_fl_drop_key")))
+    return without(docs, dropped, id_col, text_col)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, raw_texts
+from .common import checkpointed, raw_texts, text_key, without
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
@@ -81,7 +81,7 @@ def sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     empty = U(0xFFFFFFFFFFFFFFFF)
     out = np.full((len(sets), t), empty, dtype=np.uint64)
     flat = out.reshape(-1)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     for i in range(2 * t):
@@ -135,8 +135,8 @@ def _sketch(size: int):
                     keys = iter(band_keys(sketches(full)))
                     rows = [next(keys) if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
-                        ["_fl_id", "node", "n_shingles", "keys"],
+                        [part.column(0), part.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
+                        ["_fl_id", "_fl_key", "node", "n_shingles", "keys"],
                     )
 
     return run
@@ -256,16 +256,11 @@ def blocked(members: DataFrame) -> DataFrame:
     return placed.select("*", other).withColumns({"i": F.least("part", "_fl_other"), "j": F.greatest("part", "_fl_other")}).drop("_fl_other", "_fl_blocks")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id, kept (id = component_id).
-
-    Sets with 100 * intersection >= percent * union are linked. Null and empty texts have an empty set and are linked
-    with nothing; a text of fewer than ``shingle`` words is one shingle. component_id is the smallest id reachable,
-    null ids aside. A row that repeats an id repeats its result; an empty table gives no rows; other columns are ignored.
-    """
+def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """_fl_id, _fl_key (of the text), n_shingles, component_id, kept of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
-    sketched = checkpointed(own.mapInArrow(_sketch(shingle), f"_fl_id {kind}, node binary, n_shingles long, keys array<long>"))
+    own = docs.select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), text_key(F.col(text_col)).alias("_fl_key"))
+    sketched = checkpointed(own.mapInArrow(_sketch(shingle), f"_fl_id {kind}, _fl_key long, node binary, n_shingles long, keys array<long>"))
     nodes = checkpointed(sketched.where("node is not null").groupBy("node").agg(F.min("_fl_id").alias("_fl_first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
     clusters = checkpointed(candidate_clusters(nodes.select("node", "keys")).join(nodes.select("node", "_fl_first", "n_shingles"), "node"))
     wanted = clusters.select(F.col("_fl_first").alias("_fl_want")).distinct()
@@ -279,6 +274,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.select("node", "_fl_first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("_fl_first").alias("component_id"))
     of_node = named.join(first, "component").select("node", "component_id")
-    out = sketched.select("_fl_id", "node", "n_shingles").join(of_node, "node", "left")
+    out = sketched.select("_fl_id", "_fl_key", "node", "n_shingles").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("_fl_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("_fl_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_fl_id").eqNullSafe(component).alias("kept"))
+    return out.select("_fl_id", "_fl_key", "n_shingles", component.alias("component_id"), F.col("_fl_id").eqNullSafe(component).alias("kept"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id, kept (id = component_id).
+
+    Sets with 100 * intersection >= percent * union are linked. Null and empty texts have an empty set and are linked
+    with nothing; a text of fewer than ``shingle`` words is one shingle. component_id is the smallest id reachable,
+    null ids aside. A row that repeats an id repeats its result; an empty table gives no rows; other columns are ignored.
+    """
+    return _components(docs, id_col, text_col, shingle, percent).drop("_fl_key").withColumnRenamed("_fl_id", id_col)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component, with all their columns."""
+    found = _components(docs, id_col, text_col, shingle, percent)
+    dropped = checkpointed(found.where("not kept").select(F.col("_fl_id").alias("_fl_drop_id"), F.col("_fl_key").alias("_fl_drop_key")))
+    return without(docs, dropped, id_col, text_col)

@@ -165,38 +165,45 @@ def far(chars_js: float | None, words_js: float | None) -> bool:
     return (chars_js or 0) > MAX_CHARS_JS or (words_js or 0) > MAX_WORDS_JS
 
 
+def judged(lang: str | None, text: bytes, refs: dict) -> tuple:
+    """The values of VERDICT for one text."""
+    words, h = text.split(), byte_counts(text)
+    n, classes = len(words), h @ CLASS_OF
+    repeat = repeated_words(words)
+    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
+    chars_js, words_js = distances(text, n, classes, refs.get(lang or ALL) or refs[ALL])
+    if far(chars_js, words_js) and not failed:  # a text under a wrong language tag is held against all languages
+        chars_js, words_js = min((distances(text, n, classes, r) for r in refs.values()), key=lambda x: (far(*x), x[1] or 0, x[0] or 0))
+    return n, int(classes.sum() - classes[3]), int(h[SYMBOL_BYTES].sum()), duplicate_lines(text), repeat, chars_js, words_js, failed, not failed and not far(chars_js, words_js)
+
+
 def _judge(refs: dict):
+    kinds = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.bool_(),) * 2
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for lang, text in zip(batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
-                words, h = text.split(), byte_counts(text)
-                n, classes = len(words), h @ CLASS_OF
-                repeat = repeated_words(words)
-                failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-                chars_js, words_js = distances(text, n, classes, refs.get(lang or ALL) or refs[ALL])
-                if far(chars_js, words_js) and not failed:  # a text under a wrong language tag is held against all languages
-                    chars_js, words_js = min((distances(text, n, classes, r) for r in refs.values()), key=lambda x: (far(*x), x[1] or 0, x[0] or 0))
-                out.append((n, int(classes.sum() - classes[3]), int(h[SYMBOL_BYTES].sum()), duplicate_lines(text), repeat, chars_js, words_js, failed, not failed and not far(chars_js, words_js)))
-            kinds = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.bool_(),) * 2
-            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["_fl_id", *VERDICT])
+            out = [judged(lang, text, refs) for lang, text in zip(batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_fl_id", *VERDICT])
 
     return judge
 
 
-VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_js", "words_js", "base_failed", "kept")
+def _keep(refs: dict, lang_at: int, text_at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(lang_at).to_pylist()
+            yield batch.filter(pa.array([judged(None if x is None else str(x), text, refs)[-1] for x, text in zip(langs, raw_texts(batch.column(text_at)), strict=True)], pa.bool_()))
 
+    return keep
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
-    """One row for each row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js, base_failed, kept.
 
-    corpus (docs, if not given) makes the references. Null texts count as empty and fail; a null or rare language is
-    held against all documents. Distances are null for texts below their minimum length, and such texts pass them.
-    Repeated ids give repeated rows; an empty table gives none. Other columns are ignored.
-    """
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_js", "words_js", "base_failed", "kept")
+
+
+def loaded(reference: DataFrame) -> dict:
+    """By language: counts of character classes, places of the common words, their counts and the rest's."""
     refs: dict = {}
-    for r in references(docs if corpus is None else corpus, lang_col, text_col).collect():  # bounded, see above
+    for r in reference.collect():  # bounded, see above
         refs.setdefault(r.lang, []).append(r)
     ready = {}
     for lang, rows in refs.items():
@@ -204,7 +211,24 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         rest = sum(r.n for r in rows if r.is_word and r.key is None)
         ready[lang] = (np.array([chars.get(c, 0) for c in CLASSES]), {r.key.encode(): k for k, r in enumerate(n)}, np.array([r.n for r in n] + [rest]))
     ready.setdefault(ALL, (np.zeros(len(CLASSES)), {}, np.zeros(1)))
+    return ready
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
+    """One row for each row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js, base_failed, kept.
+
+    corpus (docs, if not given) makes the references. Null texts count as empty and fail; a null or rare language is
+    held against all documents. Distances are null for texts below their minimum length, and such texts pass them.
+    Repeated ids give repeated rows; an empty table gives none. Other columns are ignored.
+    """
+    ready = loaded(references(docs if corpus is None else corpus, lang_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     names = f"_fl_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_js double, words_js double, base_failed boolean, kept boolean"
     own = docs.select(F.col(id_col).alias("_fl_id"), F.col(lang_col).cast("string").alias("_fl_lang"), F.col(text_col).alias("_fl_text"))
     return own.mapInArrow(_judge(ready), names).withColumnRenamed("_fl_id", id_col)
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that pass, with all their columns; the references are those of docs."""
+    refs = loaded(references(docs, lang_col, text_col))
+    return docs.mapInArrow(_keep(refs, docs.columns.index(lang_col), docs.columns.index(text_col)), docs.schema)

@@ -48,7 +48,7 @@ def brute(rows, labels, targets, repeats):
         t = (r[:, None] * n[:, None] * p).sum(0)
         if abs(t - want).max() <= M.CLOSE * n.sum():
             break
-        r = np.maximum(0, r - (p @ ((t - want) / n.sum() / s) + M.RIDGE * (r - 1)) / (1 + M.RIDGE))
+        r = np.clip(r - (p @ ((t - want) / n.sum() / s) + M.RIDGE * (r - 1)) / (1 + M.RIDGE), 0, None if repeats else 1)
     return p, r, want
 
 
