@@ -13,6 +13,9 @@ WATER, GREEN_AREA, ROAD = (156, 192, 249), (168, 218, 181), (255, 255, 255)
 
 SIN_LIMIT = 0.9999
 
+#: 9840 metres between two points (latitude, longitude); metres per degree of plain distance there.
+METRES_PER_DEGREE = 9840 / math.dist((48.87551413370949, 2.2944611276838867), (48.835641353886075, 2.414628350744604))
+
 
 def mercator(lat: Column, lon: Column, tile: int = 256) -> tuple[Column, Column]:
     """World coordinates (x, y) of a point on a Web-Mercator square of tile units."""
