@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import raw_texts, small_batches, worker_state
 
 WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(127)
 #: Bounds of the tables in a worker: words and chunks (in bytes of text).
-MAX_WORDS, MAX_ONCE, MAX_CHUNK_BYTES = 350_000, 1_000_000, 24_000_000
+MAX_WORDS, MAX_ONCE, MAX_JOINS, MAX_CHUNK_BYTES = 200_000, 300_000, 50_000, 8_000_000
 #: Words of one call to the tokenizer, and a character between them whose token nothing else gives.
 GROUP, MARK, MARK_BYTE = 64, "\x01", b"\x01"
-PART_DOCS, PART_BYTES = 512, 4_000_000
+PART_DOCS, PART_BYTES = 512, 2_000_000
 
 
 def _blank_table() -> np.ndarray:
@@ -174,7 +174,7 @@ class Encoder:
 
     def disagreeing(self, ends: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
         """The joins (last word, first word) whose words, encoded together, differ from the two apart."""
-        self.joins.trim(MAX_WORDS)
+        self.joins.trim(MAX_JOINS)
         todo = [e for e in ends if e not in self.joins]
         of = self.learn({w for e in todo for w in e if w})
         both = self.tokenizer.encode_batch_fast([(a + b" " + b).decode("utf-8", "replace") for a, b in todo], add_special_tokens=False)
@@ -213,16 +213,14 @@ class Encoder:
         return ids, self.decoded(np.frombuffer(ids, dtype=np.int32).tolist())
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(json_text: str) -> Encoder:
     """One encoder for each vocabulary in a worker, kept between tasks."""
+    held = worker_state("bpe", dict)
     key = hash(json_text)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(json_text)
-    return _ENCODERS[key]
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(json_text)
+    return held[key]
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -266,7 +264,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     with open(tokenizer_path, encoding="utf-8") as f:
         json_text = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
+    own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
     return own.mapInArrow(_run(json_text), f"_fl_id {kind}, ids array<int>, decoded string").withColumnRenamed("_fl_id", id_col)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 HEAD, NAME_END, TURN_END = "### ", ": ", "</turn>\n"
 TO_ESCAPE = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -135,7 +137,7 @@ def segments(events: DataFrame) -> DataFrame:
     """
     rank = F.array_position(F.array(*[F.lit(e) for e in EVENTS]), F.col("event"))
     keys = ("conv_id", "turn", "seq", "_fl_rank", "role", "text")
-    log = events.withColumn("_fl_rank", rank).select(*keys, "event").repartition("conv_id", "turn").sortWithinPartitions(*keys)
+    log = small_batches(events).withColumn("_fl_rank", rank).select(*keys, "event").repartition("conv_id", "turn").sortWithinPartitions(*keys)
     kind = events.schema["conv_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -6,6 +6,8 @@ carried or ignored but never clash, since working columns begin with ``_fl_``; a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, so that a worker holds a few MB of texts at a time; Spark's default is 10,000.
+ARROW_ROWS, ARROW_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends Python workers batches of at most ARROW_ROWS rows."""
+    conf = df.sparkSession.conf
+    if int(conf.get(ARROW_CONF, "10000")) > ARROW_ROWS or int(conf.get(ARROW_CONF, "10000")) <= 0:
+        conf.set(ARROW_CONF, str(ARROW_ROWS))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and cut its lineage.
 
@@ -67,3 +81,26 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) ->
         dropped = F.broadcast(dropped)
     same = docs[id_col].eqNullSafe(dropped["_fl_drop_id"]) & (text_key(docs[text_col]) == dropped["_fl_drop_key"])
     return docs.join(dropped, same, "left_anti")
+
+
+_KEPT: dict = {"name": None, "value": None}
+
+
+def worker_state(name: str, make):
+    """What a Python worker keeps between the tasks of one operator, made when there is none.
+
+    Workers are used again by the stages of other operators; so that tables don't add up, another operator's is dropped
+    first and its memory given back.
+    """
+    if _KEPT["name"] != name:
+        import pyarrow as pa
+
+        _KEPT.update(name=None, value=None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library; it keeps its memory
+        _KEPT.update(name=name, value=make())
+    return _KEPT["value"]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
@@ -296,6 +298,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     urls may be null or repeated; an empty table gives no rows; other columns are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    own = pages.select(F.col(id_col).alias("_fl_id"), F.col(url_col).alias("_fl_url"), F.col(html_col).alias("_fl_html"))
+    own = small_batches(pages).select(F.col(id_col).alias("_fl_id"), F.col(url_col).alias("_fl_url"), F.col(html_col).alias("_fl_html"))
     out = own.mapInArrow(_extract, f"_fl_id {kind}, _fl_url string, text string, n_chars long")
     return out.withColumnsRenamed({"_fl_id": id_col, "_fl_url": url_col})

@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, raw_texts, text_key, without
+from .common import checkpointed, raw_texts, small_batches, text_key, without, worker_state
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Ids of candidates are broadcast up to this many (some 40 MB); beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
-SLICE_DOCS, SLICE_BYTES, COLUMNS = 512, 8_000_000, 8192
-MAX_HASHES = 300_000
+SLICE_DOCS, SLICE_BYTES, COLUMNS = 512, 2_000_000, 4096
+MAX_HASHES = 200_000
 
 U = np.uint64
 ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -58,16 +58,13 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
-def shingle_set(text: bytes, size: int) -> np.ndarray:
+def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles; of fewer words, the whole sequence; of none, empty."""
     words = text.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=n)
     if n < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], dtype=np.uint64)
     total = np.zeros(n - size + 1, dtype=np.uint64)
@@ -127,10 +124,11 @@ def node_of(shingles: np.ndarray) -> bytes:
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_state("near_dedup", WordHashes)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for part, texts in _slices(batch):
-                    sets = [shingle_set(x, size) for x in texts]
+                    sets = [shingle_set(x, size, hashes) for x in texts]
                     full = [s for s in sets if len(s)]
                     keys = iter(band_keys(sketches(full)))
                     rows = [next(keys) if len(s) else None for s in sets]
@@ -144,10 +142,11 @@ def _sketch(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_state("near_dedup", WordHashes)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for _, texts in _slices(batch):
-                    sets = [s for s in (shingle_set(x, size) for x in texts) if len(s)]
+                    sets = [s for s in (shingle_set(x, size, hashes) for x in texts) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     return run
@@ -221,10 +220,11 @@ def _verify(percent: int):
         return [(names[i], names[j]) for i, j in forest(pairs[pairs[:, 0] != pairs[:, 1]], len(sets))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near_dedup", WordHashes).clear()
         out: list[tuple[bytes, bytes]] = []
         group, key = [], None
         flushed = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["u", "v"])
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
             for cluster, i, j, node, part, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, i, j) != key:
                     out += links(group) if group else []
@@ -259,7 +259,7 @@ def blocked(members: DataFrame) -> DataFrame:
 def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """_fl_id, _fl_key (of the text), n_shingles, component_id, kept of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), text_key(F.col(text_col)).alias("_fl_key"))
+    own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), text_key(F.col(text_col)).alias("_fl_key"))
     sketched = checkpointed(own.mapInArrow(_sketch(shingle), f"_fl_id {kind}, _fl_key long, node binary, n_shingles long, keys array<long>"))
     nodes = checkpointed(sketched.where("node is not null").groupBy("node").agg(F.min("_fl_id").alias("_fl_first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
     clusters = checkpointed(candidate_clusters(nodes.select("node", "keys")).join(nodes.select("node", "_fl_first", "n_shingles"), "node"))

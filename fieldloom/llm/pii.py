@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 LOCAL = LETTERS | DIGITS | frozenset("._%+-")
@@ -216,5 +218,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     give repeated results; an empty table gives none; other columns are ignored. Memory: one text and its spans.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
+    own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
     return own.mapInArrow(_scan, f"_fl_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("_fl_id", id_col)

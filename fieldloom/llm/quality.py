@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, raw_texts
+from .common import checkpointed, raw_texts, small_batches, worker_state
 
 COMMON_WORDS, MAX_LANGS = 200, 64
 #: Words that a text needs for each comparison, and the largest distance that is kept.
@@ -107,6 +107,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("quality", dict)
     words: dict[str, Counter] = {}
     chars: dict[str, np.ndarray] = {}
     held = 0
@@ -139,7 +140,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
     The words' rest is under the key null. Counts are over all documents and whole texts.
     """
-    parts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, is_word boolean, key string, n long")
+    parts = small_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, is_word boolean, key string, n long")
     by_lang = checkpointed(parts.groupBy("lang", "is_word", "key").agg(F.sum("n").alias("n")))
     large = by_lang.where(~F.col("is_word") & (F.col("lang") != ALL)).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     everywhere = by_lang.groupBy("is_word", "key").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL))
@@ -181,6 +182,7 @@ def _judge(refs: dict):
     kinds = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.bool_(),) * 2
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", dict)
         for batch in batches:
             out = [judged(lang, text, refs) for lang, text in zip(batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_fl_id", *VERDICT])
@@ -190,6 +192,7 @@ def _judge(refs: dict):
 
 def _keep(refs: dict, lang_at: int, text_at: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", dict)
         for batch in batches:
             langs = batch.column(lang_at).to_pylist()
             yield batch.filter(pa.array([judged(None if x is None else str(x), text, refs)[-1] for x, text in zip(langs, raw_texts(batch.column(text_at)), strict=True)], pa.bool_()))
