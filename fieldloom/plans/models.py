@@ -11,7 +11,7 @@ from ..operators import estimators as E
 from ..operators import evaluate, graph, linalg, traffic
 from ..operators.components import checkpointed
 from .bindings import Tables, with_tables
-from .catalog import query, r6
+from .catalog import CORR, query, r6
 
 CUT = 473712  # past and future of the hourly panel: 15 of its 30 days
 
@@ -60,7 +60,14 @@ def snapshot_weighted(x: Tables) -> DataFrame:
     return _scores(E.SnapshotWeighted(True).evaluate(*_split(x)))
 
 
-@query("snapshot_invvar_scores")
+@query(
+    "snapshot_invvar_scores",
+    f"""select 'InverseVariance' model, station, round(sqrt(avg(power(e - z, 2))), 6) rmse, round(avg(e - z), 6) mb, round(corr(e, z), 6) cor, round(1 - sum(abs(e - z)) / sum(abs(z - m)), 6) coe, count(*) n from (
+        select *, avg(z) over (partition by station) m from (
+        select a.station, a.t, a.z, sum(w * b.z) / sum(w) e from sparse a join sparse b on a.t = b.t and a.station <> b.station
+        join (select station, 1 / var_samp(z) w from sparse where t < {CUT} group by 1) v on v.station = b.station where a.t >= {CUT} group by 1, 2, 3)) group by station""",
+    ("sparse",),
+)
 def snapshot_invvar_scores(x: Tables) -> DataFrame:
     return _scores(E.InverseVariance().evaluate(*_split(x)))
 
@@ -109,12 +116,15 @@ def kriging_two_stations(x: Tables) -> DataFrame:
     return e.predict(e.fit(p), p).where("fold = 's2' and estimate is not null").select("t", r6("estimate", "estimate"))
 
 
-@query("kernel_fit_exponential")
+@query("kernel_fit_exponential", f"select round(-s, 6) scale, round(greatest(0, least(1, 1 - exp(i))), 6) delta from (select regr_slope(ln(c), d) s, regr_intercept(ln(c), d) i from (select c, sqrt(power(p.x - q.x, 2) + power(p.y - q.y, 2)) d from ({CORR.format('sparse')}) join positions p on p.station = a join positions q on q.station = b where c > 0))", ("sparse", "positions"))
 def kernel_fit_exponential(x: Tables) -> DataFrame:
     return E.fit_kernel(x.sparse(), x.positions(), "exponential").select(r6("scale", "scale"), r6("delta", "delta"))
 
 
-@query("cosine_scores")
+SCORES = "round(sqrt(avg(power(e - z, 2))), 6) rmse, round(avg(e - z), 6) mb, round(corr(e, z), 6) cor, round(1 - sum(abs(e - z)) / sum(abs(z - m)), 6) coe, count(*) n"
+
+
+@query("cosine_scores", f"select 'cosine' model, station, {SCORES} from (select station, z, 20 + 5 * cos((t - 473352) * 2 * pi() / 24) e, avg(z) over (partition by station) m from panel) group by station", ("panel",))
 def cosine_scores(x: Tables) -> DataFrame:
     p = x.panel().select(F.lit("cosine").alias("model"), "station", "t", (20 + S.cosine_wave(F.col("t"), 473352, 5, 24, 0)).alias("estimate"), F.col("z").alias("truth"))
     return _scores(p)
@@ -255,3 +265,118 @@ def stream_colour_counts(x: Tables) -> DataFrame:
     edges = own.select("pixel").distinct().withColumn("edge", F.col("pixel") % 20)
     out = windowed_colour_counts(own, edges, edge=("edge",))
     return out.select(S.seconds_of(F.col("t")).alias("t"), "edge", *traffic.NAMES)
+
+
+# --- regressions on the street graph: users that are nodes of the largest component are its sensors, by day
+
+
+def _node_panel(x: Tables, edges: DataFrame) -> DataFrame:
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("user_id")).distinct()
+    own = x.read("events").join(nodes, "user_id", "left_semi")
+    return own.groupBy(F.floor(S.hour_of(F.col("ts")) / 24).alias("t"), F.col("user_id").cast("string").alias("station")).agg(F.avg("value").alias("z"))
+
+
+def _component(x: Tables) -> DataFrame:
+    e = x.edges()
+    return checkpointed(graph.induced_subgraph(e, graph.largest_component(e)))
+
+
+def _split_days(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return p.where(F.col("t") < CUT // 24), p.where(F.col("t") >= CUT // 24)
+
+
+def _as_station(df: DataFrame) -> DataFrame:
+    return df.withColumn("station", F.col("node").cast("string")).drop("node")
+
+
+def _wide_hops(hops: DataFrame, depths: int) -> DataFrame:
+    """Features of each depth side by side; the depths are given, so no distinct values are collected."""
+    return hops.groupBy("t", "node").agg(*[F.coalesce(F.sum(F.when(F.col("depth") == d, F.col(c))), F.lit(0.0)).alias(f"{c}{d}") for d in range(depths + 1) for c in traffic.NAMES])
+
+
+@query("neighbour_edge_regression")
+def neighbour_edge_regression(x: Tables) -> DataFrame:
+    e = _component(x)
+    wide = _as_station(_wide_hops(traffic.area_weighted_hops(x.traffic_edge(), e, 1), 1))
+    names = tuple(f"{c}{d}" for d in range(2) for c in traffic.NAMES)
+    return _scores(E.Regression(wide, names, "lasso").evaluate(*_split_days(_node_panel(x, e))))
+
+
+@query("decayed_hops_regression")
+def decayed_hops_regression(x: Tables) -> DataFrame:
+    e = _component(x)
+    features = _as_station(traffic.decayed_hops(x.traffic_edge(), e, 1, 0.5, 0.5))
+    return _scores(E.Regression(features, traffic.NAMES, "ridge").evaluate(*_split_days(_node_panel(x, e))))
+
+
+def _extra(x: Tables, e: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """Node source with the hour's and week's regressors, the mean source of all nodes and the weather."""
+    q = traffic.node_source(x.traffic_edge(), e)
+    mean = q.groupBy("t").agg(*[F.avg(c).alias(f"avg_{c}") for c in traffic.NAMES])
+    day = F.expr("timestampadd(DAY, cast(t as int), timestamp_ntz'1970-01-01 00:00:00')")
+    out = q.join(mean, "t").withColumns({k: c.cast("double") for k, c in S.week_features(day).items()})
+    return _as_station(out), (*traffic.NAMES, *(f"avg_{c}" for c in traffic.NAMES), "weekend")
+
+
+@query("source_with_extra_regressors")
+def source_with_extra_regressors(x: Tables) -> DataFrame:
+    e = _component(x)
+    features, names = _extra(x, e)
+    return _scores(E.Regression(features, names, "lasso").evaluate(*_split_days(_node_panel(x, e))))
+
+
+@query("traffic_value_added")
+def traffic_value_added(x: Tables) -> DataFrame:
+    """RMSE with and without traffic for each sensor, best gain first."""
+    e = _component(x)
+    features, names = _extra(x, e)
+    past, future = _split_days(_node_panel(x, e))
+    model = evaluate.metrics(E.Regression(features, names, "linear").evaluate(past, future), ["station"]).select("station", F.col("rmse").alias("model"))
+    base = evaluate.metrics(E.SnapshotMean().evaluate(past, future), ["station"]).select("station", F.col("rmse").alias("baseline"))
+    both = model.join(base, "station")
+    return both.select("station", r6("model", "model"), r6("baseline", "baseline"), r6(F.col("model") - F.col("baseline"), "difference")).orderBy("difference", "station")
+
+
+@query("projection_after_source")
+def projection_after_source(x: Tables) -> DataFrame:
+    """The regression's field at all nodes, projected on smooth modes of the graph."""
+    e = _component(x)
+    q = traffic.node_source(x.traffic_edge(), e)
+    r = E.Regression(_as_station(q), traffic.NAMES, "ridge", residual=False)
+    r.fit(_split_days(_node_panel(x, e))[0])
+    field = q.select("t", "node", (sum((F.col(c) * float(w) for c, w in zip(traffic.NAMES, r.weights, strict=True)), F.lit(float(r.intercept)))).alias("z"))
+    basis = E.laplacian_basis(graph.normalised_laplacian(e, F.col("length") * F.col("lanes")), 5)
+    return E.project(field, basis).select("t", "node", r6("z", "z"))
+
+
+@query("projection_best_k")
+def projection_best_k(x: Tables) -> DataFrame:
+    """Mean square error of the projected source by number of principal vectors: all numbers in one plan."""
+    e = _component(x)
+    q = traffic.node_source(x.traffic_edge(), e)
+    source = q.select("t", "node", traffic.linear(q, {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}).alias("z"))
+    basis = E.pca_basis(source, 6)
+    c = source.join(basis, "node").groupBy("t", "k").agg(F.sum(F.col("z") * F.col("b")).alias("c"))
+    each = c.join(basis, "k").select("t", "node", "k", (F.col("c") * F.col("b")).alias("p"))
+    sizes = x.spark.range(1, 7).withColumnRenamed("id", "size")
+    rebuilt = each.join(F.broadcast(sizes), F.col("k") < F.col("size")).groupBy("size", "t", "node").agg(F.sum("p").alias("p"))
+    return rebuilt.join(source, ["t", "node"]).groupBy("size").agg(r6(F.avg(F.pow(F.col("z") - F.col("p"), 2)), "mse"))
+
+
+@query(
+    "static_feature_sweep",
+    """select sigma, round(corr(f, z), 6) as corr from (
+        select sigma, a.id, max(a.z) z, sum(case when b.label % 2 = 0 then exp(-sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / sigma) else 0 end) f
+        from (select vec_id id, cast(embedding[1] as double) x, cast(embedding[2] as double) y, cast(embedding[3] as double) z from embeddings where vec_id >= 100) a,
+             (select label, cast(embedding[1] as double) x, cast(embedding[2] as double) y from embeddings where vec_id < 100) b,
+             (select unnest([0.02, 0.05, 0.1, 0.2, 0.5]) sigma) group by 1, 2) group by 1""",
+)
+def static_feature_sweep(x: Tables) -> DataFrame:
+    """Correlation of a static mask's smoothed value with a target, for several bandwidths in one plan."""
+    e = F.col("embedding")
+    points = x.read("embeddings").where("vec_id >= 100").select("vec_id", e[0].cast("double").alias("ax"), e[1].cast("double").alias("ay"), e[2].cast("double").alias("z"))
+    mask = x.read("embeddings").where("vec_id < 100 and label % 2 = 0").select(e[0].cast("double").alias("bx"), e[1].cast("double").alias("by"))
+    sigmas = F.explode(F.array(*[F.lit(v) for v in (0.02, 0.05, 0.1, 0.2, 0.5)])).alias("sigma")
+    pairs = points.join(F.broadcast(mask)).withColumn("d", S.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).select("vec_id", "z", "d", sigmas)
+    smooth = pairs.groupBy("sigma", "vec_id", "z").agg(F.sum(S.KERNELS["exp_by_scale"](F.col("d"), F.col("sigma"))).alias("f"))
+    return smooth.groupBy("sigma").agg(r6(F.corr("f", "z"), "corr"))
