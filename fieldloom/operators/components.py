@@ -19,13 +19,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m"))
+    # from a checkpoint, so that the join has an exchange of its own, which AQE can split where a node is a hub
+    least = checkpointed(both.groupBy("u").agg(F.min("v").alias("_m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "_m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are joined to the least of them. Edges go from the larger node."""
-    least = edges.groupBy("u").agg(F.min("v").alias("_m"))
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("_m")))
     moved = edges.join(least, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return moved.unionByName(least.select("u", F.col("_m").alias("v"))).distinct()
 
