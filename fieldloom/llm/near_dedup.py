@@ -244,6 +244,7 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
     """node, cluster of (node, keys): the connected parts of the graph that joins a bucket's members to its least."""
     rows = nodes.select("node", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("node").alias("_fl_least"), F.max("node").alias("_fl_most")).where("_fl_least <> _fl_most").drop("_fl_most")
+    least = checkpointed(least)  # so that AQE can split the join where a third of all rows share a key
     edges = rows.join(least, "key").where("node <> _fl_least").select("node", "_fl_least").distinct()
     return connected_components(edges, "node", "_fl_least").withColumnRenamed("component", "cluster")
 

@@ -103,6 +103,7 @@ def findings(docs: DataFrame, ledger: DataFrame, rules=RULES, id_col: str = "doc
     held = ledger.where(F.arrays_overlap("rules", F.array(*[F.lit(r.tag) for r in rules])) & (F.size("spans") > 0))
     held = held.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     held = held.withColumn("spans", F.filter("spans", lambda s: F.array_contains(kinds, s.kind)))
+    held = checkpointed(held)  # so that AQE can split the join where a third of all paths hold one blob
     paths = _texts(docs, id_col, text_col).select("_fl_id", blob_of(F.col("_fl_text")).alias("blob"))
     return paths.join(held, "blob", "left").select(F.col("_fl_id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
