@@ -6,9 +6,10 @@ Over all training documents (crc32 of the id as text, mod 5, is not 1), distribu
 2. The head, the most frequent tokens: at most HEAD of them (a bound on what is broadcast), by a threshold from a
    histogram of counts; the VOCAB most frequent are the model's words. All other tokens are in the model by shape, with
    the share (c + 0.5) / (mass of the shape) inside it, so that model and base score the same events.
-3. Training. Each task reads whole documents with the state carried and learns from one window in WINDOWS_LEARNED; the
-   tasks' weights are averaged by the targets they learned from. First a pass over one document in FIRST_PASS from the
-   unigram model, then one over all from the first average. What is gathered grows with the number of tasks.
+3. Training. Each task reads whole documents with the state carried and learns from every window (WINDOWS_LEARNED is
+   1); the tasks' weights are averaged by the targets they learned from. First a pass over one document in FIRST_PASS
+   from the unigram model, so that the tasks start alike, then one over all from the first average. What is gathered
+   grows with the number of tasks.
 4. Scoring. Whole documents; tokens outside the head are joined to their counts and added per document.
 """
 
@@ -29,7 +30,7 @@ from .common import checkpointed, raw_texts, small_batches, worker_state
 
 FOLDS, HELD_OUT = 5, 1
 HEAD, VOCAB = 1 << 18, 4096
-FIRST_PASS, WINDOWS_LEARNED = 8, 8
+FIRST_PASS, WINDOWS_LEARNED = 8, 1
 SLICE_BYTES, CHUNK_BYTES, OUT_ROWS = 32_000_000, 6_000_000, 20_000
 PIECE = 2048
 LOG10 = float(np.log(10))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from fieldloom.llm import gru_lm as G
 from fieldloom.llm import lm_score as L
@@ -102,3 +103,11 @@ def test_no_training_rows(spark):
     got = L.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)] and got[0].score == got[0].base_score
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_training_learns_from_every_target(spark):
+    rows = [(f"{k} " * 40 + "b c " * 60,) for k in range(5)] + [("a",), (None,)]
+    texts = spark.createDataFrame(rows, "text string")
+    parts = L.build_lexicon(L.token_counts(texts))
+    out = list(L._learn(parts, None, L.WINDOWS_LEARNED)([pa.RecordBatch.from_arrays([pa.array([t for t, in rows], pa.string())], ["text"])]))
+    assert out[0].column(1)[0].as_py() == sum(len((t or "").split()) + 1 for t, in rows)
