@@ -30,7 +30,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains above their target are thinned by their rates; none is repeated."""
+    """Low and toxic documents beyond their targets beside the clean ones are thinned by their rates; none is repeated."""
     return mixing.thinned(docs, table(spark, sf_dir, "labels"))
 
 

@@ -74,11 +74,17 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], id_col:
     return odds.select("_fl_row", "_fl_id", "_fl_key", "n_tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(DOMAINS))])
 
 
+def _bound(at: list[float], targets: list[float], k: int) -> float:
+    """What domain k may have without repeats, beside all of the first domain."""
+    return at[0] if k == 0 else at[0] * targets[k] / targets[0] if targets[0] > 0 else math.inf
+
+
 def fit_rates(soft: DataFrame, targets: list[float], repeats: bool) -> tuple[DataFrame, list[float], list[float]]:
     """soft with a column rate; the domains' shares before; their expected token totals after.
 
-    The targets' total is that of all tokens if repeats are allowed; else it is the largest at which no domain needs
-    them, and rates stay within 1.
+    The targets' total is that of all tokens if repeats are allowed. Else rates stay within 1, the first domain keeps
+    all its tokens, and the other targets are upper bounds beside it: a domain below its bound is left as it is, and a
+    scarce one takes nothing from the others.
     """
     k_all = range(len(targets))
     totals = lambda df: [float(x or 0) for x in df.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{k}")) for k in k_all]).first()]
@@ -88,8 +94,7 @@ def fit_rates(soft: DataFrame, targets: list[float], repeats: bool) -> tuple[Dat
     if not tokens:
         return now, [0.0 for _ in k_all], at
     shares = [x / tokens for x in at]
-    budget = tokens if repeats else min([tokens, *(at[k] / targets[k] for k in k_all if targets[k] > 0)])
-    wanted = [targets[k] * budget for k in k_all]
+    wanted = [targets[k] * tokens if repeats else min(at[k], _bound(at, targets, k)) for k in k_all]
     step = 1 / (1 + RIDGE)
     for i in range(1, STEPS + 1):
         if max(abs(a - w) for a, w in zip(at, wanted, strict=True)) <= CLOSE * tokens:
@@ -115,7 +120,7 @@ def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], repeats:
     top = F.greatest(*[F.col(f"p{k}") for k in range(len(DOMAINS))])
     short = F.lit(False)
     for k in range(len(DOMAINS)):
-        if shares[k] <= want[k]:
+        if shares[k] <= (want[k] if repeats else _bound(shares, want, k)):
             short = short | (F.col(f"p{k}") == top)
     copies = F.floor(F.col("rate") + chance)
     return rated.select(
@@ -128,7 +133,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """One row for each row of docs: id, n_tokens, p_<domain>, rate, copies.
 
     copies rounds the rate up or down by a hash of the id, so that its mean is the rate; a document whose likeliest
-    domain has less than its target keeps one copy at least. Null and empty texts have no tokens and the priors as
+    domain has less than its target (without repeats: its bound) keeps one copy at least. Null and empty texts have no tokens and the priors as
     memberships. Labels with a null id or neither quality nor toxic are left out; without labels all documents have the
     priors. Rows with a null or repeated id are rows of their own; an empty table gives none; other columns are ignored.
     """

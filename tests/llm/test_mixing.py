@@ -76,3 +76,15 @@ def test_without_labels_or_rows(spark):
     got = M.mix(docs, lab).collect()
     assert len(got) == 2 and all(abs(x.p_clean - 1 / 3) < 1e-9 for x in got)
     assert M.mix(docs.limit(0), lab).count() == 0
+
+
+def test_scarce_domains_do_not_thin_clean_documents(spark, monkeypatch):
+    monkeypatch.setattr(M, "BACKGROUND", 20.0)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["junk", "spam"] if k % 50 == 1 else ["foul", "vile"] if k == 2 else ["good", "fine", "fair"]) for _ in range(20))) for k in range(400)]
+    labels = [(k, int(k % 50 != 1), int(k == 2)) for k in range(400)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in M.thinned(docs, lab).collect()) == list(range(400))
+    few = {"clean": 0.99, "low": 0.001, "toxic": 0.009}
+    left = {r.doc_id for r in M.thinned(docs, lab, few).collect()}
+    assert {k for k in range(400) if k % 50 != 1} <= left and len(left) < 398
