@@ -4,11 +4,13 @@ Two passes over whole texts:
 
 1. References. Every document adds its character classes and words to its language; counts are summed by key with a
    partial sum in each task, and the COMMON_WORDS most frequent words of each language are kept with the rest as one
-   bin. The reference has at most (MAX_LANGS + 1) * (COMMON_WORDS + classes) rows, which bounds what is broadcast;
-   languages beyond MAX_LANGS, and null, are held against the reference of all documents.
+   bin. The reference has at most (MAX_LANGS + 1) * (COMMON_WORDS + classes) rows; languages
+   beyond MAX_LANGS, and null, are held against the reference of all documents.
 2. Verdicts. Each text's two histograms are compared by Jensen-Shannon distance (base 2, square root). Short texts have
-   noisy histograms, so each comparison has its own minimum length. A text far from its own language's reference is
-   held against those of the other languages too, as language tags can be wrong.
+   noisy histograms, so each comparison has its own minimum length, and the words' limit is wider for a short text. It
+   is a share of the distance of a text without common words, and a text with far fewer common words than its language
+   is far at any distance. A text far from its own language's reference is held against those of the other languages
+   too, as language tags can be wrong.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from .common import checkpointed, raw_texts, small_batches, worker_state
 COMMON_WORDS, MAX_LANGS = 200, 64
 #: Words that a text needs for each comparison, and the largest distance that is kept.
 MIN_WORDS_CHARS, MAX_CHARS_JS = 50, 0.31
-MIN_WORDS_WORDS, MAX_WORDS_JS = 100, 0.55
+MIN_WORDS_WORDS, MAX_WORDS_JS = 50, 0.55
+#: Common words that a text of its language would have for words to be compared; the limit as a share of the distance of
+#: a text without any, from WIDE_BELOW of them on (wider below); the least share of the common words to be expected.
+MIN_COMMON, WIDE_BELOW, SHARE_OF_NONE, LEAST_COMMON = 10, 42, 0.98, 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALL = ""  # the language key of the reference of all documents
 FLUSH = 200_000
@@ -152,40 +157,66 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return both.where("not is_word").unionByName(ranked).unionByName(rest)
 
 
-def distances(text: bytes, n: int, classes: np.ndarray, ref: tuple) -> tuple[float | None, float | None]:
-    """A text's distances from one reference: of character classes, of common words."""
+def words_limit(n: int, words_ref: np.ndarray) -> tuple[float, float] | None:
+    """The largest distance of common words, and the fewest of them, in a text of n words; None if it has too few to tell."""
+    total = words_ref.sum()
+    rest = float(words_ref[-1] / total) if total else 1.0
+    common = n * (1 - rest)
+    if n < MIN_WORDS_WORDS or common < MIN_COMMON:
+        return None
+    none = np.sqrt(((1 - rest) - np.log2((1 + rest) / 2) + (rest * np.log2(2 * rest / (1 + rest)) if rest else 0)) / 2)
+    return min(MAX_WORDS_JS, SHARE_OF_NONE * float(none) * max(1.0, WIDE_BELOW / common) ** (1 / 6)), LEAST_COMMON * common
+
+
+def distances(words: list[bytes], classes: np.ndarray, ref: tuple) -> tuple[bool, float | None, float | None]:
+    """Whether a text, in lower case words, is far from one reference; its distances: of character classes, of common words."""
     chars_ref, places, words_ref = ref
+    n = len(words)
     chars_js = js_distance(classes, chars_ref) if n >= MIN_WORDS_CHARS else None
-    if n < MIN_WORDS_WORDS:
-        return chars_js, None
+    limit = words_limit(n, words_ref)
+    far = (chars_js or 0) > MAX_CHARS_JS
+    if limit is None:
+        return far, chars_js, None
     rest = len(words_ref) - 1
-    return chars_js, js_distance(np.bincount([places.get(w, rest) for w in text.lower().split()], minlength=rest + 1), words_ref)
+    own = np.bincount([places.get(w, rest) for w in words], minlength=rest + 1)
+    words_js = js_distance(own, words_ref)
+    return far or words_js > limit[0] or n - own[-1] < limit[1], chars_js, words_js
 
 
-def far(chars_js: float | None, words_js: float | None) -> bool:
-    return (chars_js or 0) > MAX_CHARS_JS or (words_js or 0) > MAX_WORDS_JS
+def nearest(words: list[bytes], classes: np.ndarray, refs: dict) -> tuple[bool, float | None, float | None] | None:
+    """The distances from the nearest of the languages' references; that of all documents is no language's."""
+    return min((distances(words, classes, r) for lang, r in refs.items() if lang != ALL), key=_order, default=None)
 
 
-def judged(lang: str | None, text: bytes, refs: dict) -> tuple:
-    """The values of VERDICT for one text."""
+def _order(x: tuple) -> tuple:
+    return x[0], x[2] or 0, x[1] or 0
+
+
+def base_values(text: bytes) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; the counts of character classes."""
     words, h = text.split(), byte_counts(text)
     n, classes = len(words), h @ CLASS_OF
     repeat = repeated_words(words)
-    failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
-    chars_js, words_js = distances(text, n, classes, refs.get(lang or ALL) or refs[ALL])
-    if far(chars_js, words_js) and not failed:  # a text under a wrong language tag is held against all languages
-        chars_js, words_js = min((distances(text, n, classes, r) for r in refs.values()), key=lambda x: (far(*x), x[1] or 0, x[0] or 0))
-    return n, int(classes.sum() - classes[3]), int(h[SYMBOL_BYTES].sum()), duplicate_lines(text), repeat, chars_js, words_js, failed, not failed and not far(chars_js, words_js)
+    return (n, int(classes.sum() - classes[3]), int(h[SYMBOL_BYTES].sum()), duplicate_lines(text), repeat, n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n), classes
 
 
-def _judge(refs: dict):
-    kinds = (pa.int64(),) * 5 + (pa.float64(),) * 2 + (pa.bool_(),) * 2
+def judged(lang: str | None, text: bytes, refs: dict) -> tuple:
+    """The values of VERDICT for one text, from the references of all languages."""
+    (*counts, failed), classes = base_values(text)
+    words = text.lower().split()
+    best = distances(words, classes, refs.get(lang or ALL) or refs[ALL])
+    if best[0] and not failed:  # a text under a wrong language tag is held against all languages
+        best = min(best, nearest(words, classes, refs) or best, key=_order)
+    return *counts, best[1], best[2], failed, not failed and not best[0]
 
+
+KINDS = (*(pa.int64(),) * 5, *(pa.float64(),) * 2, *(pa.bool_(),) * 2)
+def _judge(refs: dict):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("quality", dict)
         for batch in batches:
             out = [judged(lang, text, refs) for lang, text in zip(batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["_fl_id", *VERDICT])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(KINDS))], ["_fl_id", *VERDICT])
 
     return judge
 
@@ -206,7 +237,7 @@ VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def loaded(reference: DataFrame) -> dict:
     """By language: counts of character classes, places of the common words, their counts and the rest's."""
     refs: dict = {}
-    for r in reference.collect():  # bounded, see above
+    for r in reference.collect():  # of at most MAX_LANGS languages and of all
         refs.setdefault(r.lang, []).append(r)
     ready = {}
     for lang, rows in refs.items():
@@ -220,18 +251,18 @@ def loaded(reference: DataFrame) -> dict:
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", corpus: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js, base_failed, kept.
 
-    corpus (docs, if not given) makes the references. Null texts count as empty and fail; a null or rare language is
-    held against all documents. Distances are null for texts below their minimum length, and such texts pass them.
-    Repeated ids give repeated rows; an empty table gives none. Other columns are ignored.
+    corpus (docs, if not given) makes the references. Null texts count as empty and fail; a null language, or one that
+    corpus has not, is held against all documents. Distances are null for texts below their minimum length, and such
+    texts pass them. Repeated ids give repeated rows; an empty table gives none. Other columns are ignored.
     """
-    ready = loaded(references(docs if corpus is None else corpus, lang_col, text_col))
+    reference = references(docs if corpus is None else corpus, lang_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     names = f"_fl_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_js double, words_js double, base_failed boolean, kept boolean"
     own = docs.select(F.col(id_col).alias("_fl_id"), F.col(lang_col).cast("string").alias("_fl_lang"), F.col(text_col).alias("_fl_text"))
-    return own.mapInArrow(_judge(ready), names).withColumnRenamed("_fl_id", id_col)
+    return own.mapInArrow(_judge(loaded(reference)), names).withColumnRenamed("_fl_id", id_col)
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that pass, with all their columns; the references are those of docs."""
-    refs = loaded(references(docs, lang_col, text_col))
-    return docs.mapInArrow(_keep(refs, docs.columns.index(lang_col), docs.columns.index(text_col)), docs.schema)
+    reference = references(docs, lang_col, text_col)
+    return docs.mapInArrow(_keep(loaded(reference), docs.columns.index(lang_col), docs.columns.index(text_col)), docs.schema)

@@ -70,3 +70,25 @@ def test_a_wrong_language_tag_is_forgiven_and_junk_is_not(spark):
     rows += [(900, make(en), "fr"), (901, " ".join("".join(rng.choice("#$%&*<>0123456789|") for _ in range(6)) for _ in range(150)), "en"), (902, None, None)]
     got = {r.doc_id: r.kept for r in Q.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[900] and not got[901] and not got[902] and sum(v for k, v in got.items() if k < 900) == 80
+
+
+def prose(rng, n):
+    """Words of which three in five are rare, as in natural text."""
+    letters = "theofandwrsilm"
+    often = ["".join(random.Random(k).choice(letters) for _ in range(3 + k % 4)) for k in range(80)]
+    return " ".join(rng.choice(often) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(7)) for _ in range(n))
+
+
+def test_texts_of_unknown_words_are_rejected(spark):
+    rng = random.Random(2)
+    rows = [(k, prose(rng, 60 + 3 * k), "en") for k in range(200)] + [(1000 + k, " ".join("w" + "".join(rng.choice("theofandwrsilm") for _ in range(7)) for _ in range(50 + 5 * k)), "en") for k in range(20)]
+    got = {r.doc_id: r for r in Q.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k].kept for k in range(200))
+    assert not any(got[1000 + k].kept for k in range(20)) and not any(got[1000 + k].base_failed for k in range(20))
+
+
+def test_low_quality_salad_of_the_labels_is_rejected(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in Q.verdicts(docs).collect()}
+    judged = {q: [got[r.doc_id] for r in labels.where(f"quality = {q}").collect() if not got[r.doc_id].base_failed] for q in (0, 1)}
+    assert sum(r.kept for r in judged[0]) <= 0.02 * len(judged[0]) and sum(r.kept for r in judged[1]) >= 0.99 * len(judged[1])
