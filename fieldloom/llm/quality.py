@@ -4,13 +4,15 @@ Two passes over whole texts:
 
 1. References. Every document adds its character classes and words to its language; counts are summed by key with a
    partial sum in each task, and the COMMON_WORDS most frequent words of each language are kept with the rest as one
-   bin. The reference has at most (MAX_LANGS + 1) * (COMMON_WORDS + classes) rows; languages
-   beyond MAX_LANGS, and null, are held against the reference of all documents.
+   bin. Every language has a reference; a null language is held against the reference of all documents.
 2. Verdicts. Each text's two histograms are compared by Jensen-Shannon distance (base 2, square root). Short texts have
    noisy histograms, so each comparison has its own minimum length, and the words' limit is wider for a short text. It
    is a share of the distance of a text without common words, and a text with far fewer common words than its language
    is far at any distance. A text far from its own language's reference is held against those of the other languages
    too, as language tags can be wrong.
+
+At most MAX_LANGS references are broadcast at once, those of the largest languages first. Where there are more, what is
+not settled by the first ones is held against the next ones, and so on.
 """
 
 from __future__ import annotations
@@ -147,9 +149,8 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """
     parts = small_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, is_word boolean, key string, n long")
     by_lang = checkpointed(parts.groupBy("lang", "is_word", "key").agg(F.sum("n").alias("n")))
-    large = by_lang.where(~F.col("is_word") & (F.col("lang") != ALL)).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
     everywhere = by_lang.groupBy("is_word", "key").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL))
-    both = by_lang.join(F.broadcast(large.select("lang")), "lang", "left_semi").unionByName(everywhere)
+    both = by_lang.where(F.col("lang") != ALL).unionByName(everywhere)
     ranked = both.where("is_word").withColumn("_fl_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("_fl_rank") <= COMMON_WORDS).drop("_fl_rank")
     total = both.where("is_word").groupBy("lang", "is_word").agg(F.sum("n").alias("_fl_all"))
     top = ranked.groupBy("lang").agg(F.sum("n").alias("_fl_top"))
@@ -211,6 +212,10 @@ def judged(lang: str | None, text: bytes, refs: dict) -> tuple:
 
 
 KINDS = (*(pa.int64(),) * 5, *(pa.float64(),) * 2, *(pa.bool_(),) * 2)
+#: For more languages than MAX_LANGS: the verdict as far as it is known, and whether it is the last word.
+STATE = ("_fl_far", "_fl_chars", "_fl_words", "_fl_settled")
+
+
 def _judge(refs: dict):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("quality", dict)
@@ -231,6 +236,61 @@ def _keep(refs: dict, lang_at: int, text_at: int):
     return keep
 
 
+def _round(refs: dict, known: frozenset, lang_at: int, text_at: int):
+    """One round over rows that end with STATE, held against these references. The own language's settles a row that is near it or fails the base rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("quality", dict)
+        for batch in batches:
+            rows, names, out = batch.num_columns - 4, batch.schema.names, []
+            state = zip(*(batch.column(rows + k).to_pylist() for k in range(3)), strict=True)
+            for lang, text, before in zip(batch.column(lang_at).to_pylist(), raw_texts(batch.column(text_at)), state, strict=True):
+                (n, *_, failed), classes = base_values(text)
+                words, key = text.lower().split(), ALL if lang is None or str(lang) not in known else str(lang)
+                own = distances(words, classes, refs[key]) if key in refs else None
+                settled = own is not None and (failed or not own[0])
+                if failed:
+                    best = (True, *(own or before)[1:])
+                else:
+                    best = own if settled else min((x for x in (before if before[0] is not None else None, own, nearest(words, classes, refs)) if x is not None), key=_order)
+                out.append((*best, settled))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:rows], *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.bool_(), pa.float64(), pa.float64(), pa.bool_())))], names)
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The verdicts of rows (id, language, text, STATE) after all rounds."""
+    for batch in batches:
+        far, chars, words = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        base = [base_values(text)[0] for text in raw_texts(batch.column(2))]
+        out = [(*b[:5], c, w, b[5], not b[5] and not f) for b, f, c, w in zip(base, far, chars, words, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(KINDS))], ["_fl_id", *VERDICT])
+
+
+def in_rounds(docs: DataFrame, reference: DataFrame, langs: list[str], lang_col: str, text_col: str) -> DataFrame:
+    """docs with STATE, from the references of MAX_LANGS languages at a time; each round has only rows that are open."""
+    known = frozenset(langs)
+    rows = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(STATE, ("boolean", "double", "double", "boolean"), strict=True)])
+    names, done = rows.schema, []
+    for k in range(0, len(langs), MAX_LANGS):
+        some = [*langs[k : k + MAX_LANGS], *([ALL] if k == 0 else [])]
+        refs = loaded(reference.where(F.col("lang").isin(some)))
+        if k:
+            refs.pop(ALL)
+        now = checkpointed(rows.mapInArrow(_round(refs, known, docs.columns.index(lang_col), docs.columns.index(text_col)), names))
+        done.append(now.where("_fl_settled"))
+        rows = now.where("not _fl_settled")
+    for x in done:
+        rows = rows.unionByName(x)
+    return rows
+
+
+def by_size(reference: DataFrame) -> list[str]:
+    """The names of the languages, those with the most characters first."""
+    return [r.lang for r in reference.where(~F.col("is_word") & (F.col("lang") != ALL)).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").select("lang").collect()]
+
+
 VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_js", "words_js", "base_failed", "kept")
 
 
@@ -259,10 +319,18 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = docs.schema[id_col].dataType.simpleString()
     names = f"_fl_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars_js double, words_js double, base_failed boolean, kept boolean"
     own = docs.select(F.col(id_col).alias("_fl_id"), F.col(lang_col).cast("string").alias("_fl_lang"), F.col(text_col).alias("_fl_text"))
-    return own.mapInArrow(_judge(loaded(reference)), names).withColumnRenamed("_fl_id", id_col)
+    langs = by_size(reference)
+    if len(langs) > MAX_LANGS:
+        out = in_rounds(own, reference, langs, "_fl_lang", "_fl_text").mapInArrow(_told, names)
+    else:
+        out = own.mapInArrow(_judge(loaded(reference)), names)
+    return out.withColumnRenamed("_fl_id", id_col)
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that pass, with all their columns; the references are those of docs."""
     reference = references(docs, lang_col, text_col)
+    langs = by_size(reference)
+    if len(langs) > MAX_LANGS:
+        return in_rounds(docs, reference, langs, lang_col, text_col).where("not _fl_far").drop(*STATE)
     return docs.mapInArrow(_keep(loaded(reference), docs.columns.index(lang_col), docs.columns.index(text_col)), docs.schema)

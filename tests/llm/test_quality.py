@@ -92,3 +92,20 @@ def test_low_quality_salad_of_the_labels_is_rejected(spark):
     got = {r.doc_id: r for r in Q.verdicts(docs).collect()}
     judged = {q: [got[r.doc_id] for r in labels.where(f"quality = {q}").collect() if not got[r.doc_id].base_failed] for q in (0, 1)}
     assert sum(r.kept for r in judged[0]) <= 0.02 * len(judged[0]) and sum(r.kept for r in judged[1]) >= 0.99 * len(judged[1])
+
+
+def test_every_language_has_its_reference(spark, monkeypatch):
+    rng = random.Random(5)
+    make = lambda ws: " ".join(rng.choice(ws) for _ in range(120))
+    tongues = ["abcdé", "efghü", "ijklñ", "mnopß", "qrstå"]
+    vocabulary = [["".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(80)] for letters in tongues]
+    rows = [(100 * t + k, make(v), f"l{t}") for t, v in enumerate(vocabulary) for k in range(20 - 2 * t)]
+    rows += [(900, make(vocabulary[4]), "l0"), (901, make(vocabulary[0]), None), (902, make([f"z{k}y" for k in range(90)]), "l3"), (903, "a b", "l4"), (904, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("more", Q.F.lit(1))
+    whole = {r.doc_id: tuple(r) for r in Q.verdicts(df).collect()}
+    monkeypatch.setattr(Q, "MAX_LANGS", 2)
+    assert {r.lang for r in Q.references(df).collect()} == {Q.ALL, *(f"l{t}" for t in range(5))}
+    assert {r.doc_id: tuple(r) for r in Q.verdicts(df).collect()} == whole
+    left = Q.kept_documents(df)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {d for d, r in whole.items() if r[-1]}
+    assert all(whole[d][-1] for d, *_ in rows if d < 902)
