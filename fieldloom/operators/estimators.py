@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import linalg
 from . import panel as P
+from .components import checkpointed
 
 #: Stations whose matrices come to the driver.
 MAX_STATIONS = 500
@@ -568,6 +569,10 @@ def stacked(predictions: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray,
 def ensemble_weights(predictions: DataFrame, how: str = "average") -> dict[str, float]:
     """Weights of models: average, mse (inverse mean square error), std (inverse deviation), blue (least error variance), regression (nonnegative); they sum to 1 but for regression."""
     names, cov, gram, moment = stacked(predictions)
+    return _solved(names, cov, gram, moment, how)
+
+
+def _solved(names: list[str], cov: np.ndarray, gram: np.ndarray, moment: np.ndarray, how: str) -> dict[str, float]:
     mse = np.maximum(np.diag(cov), 1e-12)
     w = {"average": lambda: np.ones(len(names)), "mse": lambda: 1 / mse, "std": lambda: mse**-0.5, "blue": lambda: linalg.simplex_weights(cov), "regression": lambda: linalg.nonnegative(gram, moment)}[how]()
     return dict(zip(names, (w if how == "regression" else w / w.sum()).tolist(), strict=True))
@@ -581,12 +586,34 @@ def ensemble(predictions: DataFrame, weights: dict[str, float], name: str = "ens
 
 
 def nested_ensemble(predictions: DataFrame, how: str = "mse") -> DataFrame:
-    """For each held-out station, weights from the other stations' predictions."""
-    out = None
-    for s in [r[0] for r in predictions.select("station").distinct().orderBy("station").limit(MAX_STATIONS).collect()]:
-        own = ensemble(predictions.where(F.col("station") == s), ensemble_weights(predictions.where(F.col("station") != s), how))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """For each held-out station, weights from the other stations' predictions: all stations' from one aggregate, less their own, solved fold by fold."""
+    own = predictions.where("estimate is not null and truth is not null")
+    a = own.select("station", "t", F.col("model").alias("a"), F.col("estimate").alias("x"), "truth")
+    b = own.select("station", "t", F.col("model").alias("b"), F.col("estimate").alias("y"))
+    e, f = F.col("x") - F.col("truth"), F.col("y") - F.col("truth")
+    sums = {"n": F.count(F.lit(1)), "e": F.sum(e * f), "g": F.sum(F.col("x") * F.col("y")), "m": F.sum(F.col("x") * F.col("truth"))}
+    each = checkpointed(a.join(b, ["station", "t"]).groupBy("station", "a", "b").agg(*[c.alias(k) for k, c in sums.items()]))
+    total = each.groupBy("a", "b").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
+    folds = predictions.where("station is not null").select("station").distinct().crossJoin(F.broadcast(total)).join(each, ["station", "a", "b"], "left")
+    others = folds.select("station", "a", "b", *[(F.col(f"_{k}") - F.coalesce(k, F.lit(0))).alias(k) for k in sums]).where("n > 0")
+
+    def solve(rows):
+        import pandas as pd
+
+        names = sorted(set(rows["a"]))
+        at, k = {s: i for i, s in enumerate(names)}, len(names)
+        cov, gram, moment = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)
+        for r in rows.itertuples():
+            cov[at[r.a], at[r.b]], gram[at[r.a], at[r.b]] = r.e / r.n, r.g
+            if r.a == r.b:
+                moment[at[r.a]] = r.m
+        w = _solved(names, cov, gram, moment, how)
+        return pd.DataFrame({"station": rows["station"].iloc[0], "model": list(w), "_w": list(w.values()), "_models": k})
+
+    kind = predictions.schema["station"].dataType.simpleString()
+    weights = others.groupBy("station").applyInPandas(solve, f"station {kind}, model string, _w double, _models long")
+    out = predictions.join(weights, ["station", "model"]).groupBy("station", "t").agg(F.sum(F.col("_w") * F.col("estimate")).alias("estimate"), F.count("estimate").alias("_n"), F.max("_models").alias("_models"), F.max("truth").alias("truth"))
+    return out.select(F.lit("ensemble").alias("model"), "station", "t", F.when(F.col("_n") == F.col("_models"), F.col("estimate")).alias("estimate"), "truth")
 
 
 def blend(near: DataFrame, far: DataFrame, distances: DataFrame, sigma: float, form: str = "scale") -> DataFrame:

@@ -185,7 +185,7 @@ def aggregator_weights(x: Tables) -> DataFrame:
 
 @query("aggregator_nested")
 def aggregator_nested(x: Tables) -> DataFrame:
-    return _scores(E.nested_ensemble(_three(x, 0).where("station in ('s0', 's1', 's2')"), "mse"))
+    return _scores(E.nested_ensemble(_three(x, 0), "mse"))
 
 
 def _node_field(x: Tables) -> tuple[DataFrame, DataFrame]:

@@ -159,3 +159,15 @@ def test_batch_queries_have_sql_and_names_match(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_nested_ensemble_has_all_stations(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = [(m, f"s{k}", t, None if (m, k, t) == ("a", 2, 1) else float(v + rng.normal(0, sd)), float(v)) for k in range(5) for t in range(6) for v in (rng.normal(),) for m, sd in (("a", 0.2), ("b", 0.5), ("c", 1.0))]
+    p = spark.createDataFrame(rows, "model string, station string, t long, estimate double, truth double")
+    monkeypatch.setattr(E, "MAX_STATIONS", 3)
+    for how in ("mse", "blue", "regression"):
+        got = {(r.station, r.t): r.estimate for r in E.nested_ensemble(p, how).collect()}
+        want = {(r.station, r.t): r.estimate for k in range(5) for r in E.ensemble(p.where(f"station = 's{k}'"), E.ensemble_weights(p.where(f"station <> 's{k}'"), how)).collect()}
+        assert len(got) == 30 and got.keys() == want.keys() and got["s2", 1] is None
+        assert all(abs(got[k] - v) < 1e-6 for k, v in want.items() if v is not None)
