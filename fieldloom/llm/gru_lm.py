@@ -4,7 +4,8 @@ Symbols are the VOCAB most frequent words (the end of a text among them) and, fo
 letter, final punctuation). The output is a softmax over classes; a class is a run of words of about equal frequency,
 with a softmax over its words, or one shape. Documents are dealt to lanes that run in step; a lane's state is carried
 from window to window and set to zero where a document begins, so that a document's log-likelihood is complete however
-long it is. Training is by truncated backpropagation over windows, with Adagrad.
+long it is. Training is by truncated backpropagation over windows, with Adagrad. Windows are cut from one flat array of
+symbols, so that memory follows the tokens and not the longest document; where few lanes are left, windows are longer.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 HIDDEN, EMBED, CLASSES = 16, 16, 64
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 128, 16, 0.2, 4.0
-SCORE_LANES, SCORE_WINDOW = 256, 32
+TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 16, 0.4, 4.0
+SCORE_LANES, SCORE_WINDOW = 512, 32
+#: Most steps of a window when few lanes are left.
+TRAIN_LONGEST, SCORE_LONGEST = 64, 512
 f32 = np.float32
 
 
@@ -108,79 +111,113 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def lanes(docs: list[np.ndarray], width: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """Documents end to end in lanes of about equal length, the longest lane first.
+class Lanes:
+    """Documents end to end in lanes of about equal length, the longest lane first, one lane after another in flat arrays.
 
-    Inputs, targets (-1: none) and 1 where a state is kept, 0 where a document begins, all [steps, lanes]; each
-    document's (lane, first step); the lanes' lengths. A document is its symbols with the end last.
+    A document is its symbols with the end last. ``start`` is where each document lies in the flat arrays.
     """
-    width = max(1, min(width, len(docs)))
-    load = [(0, k) for k in range(width)]
-    place: list[tuple[int, int]] = [(0, 0)] * len(docs)
-    for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-        used, k = heapq.heappop(load)
-        place[i] = (k, used)
-        heapq.heappush(load, (used + len(docs[i]), k))
-    rank = {k: r for r, (_, k) in enumerate(sorted(load, key=lambda x: -x[0]))}
-    place = [(rank[k], at) for k, at in place]
-    lengths = -np.sort([-used for used, _ in load])
-    steps = int(lengths[0])
-    x, y = np.full((width, steps), end, dtype=np.int32), np.full((width, steps), -1, dtype=np.int32)
-    keep = np.ones((width, steps), dtype=f32)
-    for d, (k, at) in zip(docs, place, strict=True):
-        y[k, at : at + len(d)] = d
-        x[k, at + 1 : at + len(d)] = d[:-1]
-        keep[k, at] = 0
-    return np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), np.ascontiguousarray(keep.T), place, lengths
-
-
-def _forward(xp: np.ndarray, keep: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, list]:
-    """States after each step, and what the way back needs, from inputs' projections [steps, lanes, 3 hidden]."""
-    n, k = HIDDEN, []
-    states = np.empty((*xp.shape[:2], n), dtype=f32)
-    for t in range(len(xp)):
-        before = h * keep[t][:, None]
-        g = before @ u
-        zr = sigmoid(xp[t, :, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        un = g[:, 2 * n :]
-        new = np.tanh(xp[t, :, 2 * n :] + r * un)
-        h = new + z * (before - new)
-        states[t] = h
-        k.append((before, z, r, un, new))
-    return states, k
-
-
-def _advance(xp: np.ndarray, keep: np.ndarray, h: np.ndarray, u: np.ndarray, states: np.ndarray | None) -> np.ndarray:
-    """The forward pass alone; fills states if given."""
+
+    def __init__(self, docs: list[np.ndarray], width: int):
+        sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+        width = max(1, min(width, len(docs)))
+        load = [(0, k) for k in range(width)]
+        lane, within = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            used, k = heapq.heappop(load)
+            lane[i], within[i] = k, used
+            heapq.heappush(load, (used + int(sizes[i]), k))
+        used = np.zeros(width, dtype=np.int64)
+        for n, k in load:
+            used[k] = n
+        order = np.argsort(-used, kind="stable")
+        self.lengths = used[order]
+        self.offsets = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        at = np.empty(width, dtype=np.int64)
+        at[order] = self.offsets
+        self.start, self.sizes = at[lane] + within, sizes
+        self.symbols = np.empty(int(sizes.sum()), dtype=np.int32)
+        for d, k in zip(docs, self.start.tolist(), strict=True):
+            self.symbols[k : k + len(d)] = d
+        self.begins = np.zeros(len(self.symbols), dtype=bool)
+        self.begins[self.start] = True
+
+    def windows(self, steps: int, most: int):
+        """(inputs, targets, where a document begins, which targets there are, their places in the flat arrays), each [steps, lanes still running]."""
+        a, longest, full = 0, int(self.lengths[0]), steps * len(self.lengths)
+        while a < longest:
+            width = int(np.searchsorted(-self.lengths, -a, side="left"))
+            b = min(a + max(steps, min(most, full // width)), longest)
+            t = np.arange(a, b)[:, None]
+            live = t < self.lengths[:width]
+            at = self.offsets[:width] + np.minimum(t, self.lengths[:width] - 1)
+            begins = self.begins[at]
+            x = self.symbols[at - 1]
+            x[begins] = 0
+            yield x, self.symbols[at], begins, live, at
+            a = b
+
+
+def _kept(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    return h * ~begins if begins.any() else h
+
+
+def _forward(xp: np.ndarray, begins: np.ndarray, h: np.ndarray, ut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """States after each step, those before it, gates, new states and their inner products: all [steps, values, lanes]."""
+    n, (steps, _, width) = HIDDEN, xp.shape
+    states, before, un, new = (np.empty((steps, n, width), dtype=f32) for _ in range(4))
+    for t in range(steps):
+        h = before[t] = _kept(h, begins[t])
+        g = ut @ h
+        gates = xp[t, : 2 * n]
+        gates += g[: 2 * n]
+        sigmoid(gates)
+        un[t] = g[2 * n :]
+        c = np.multiply(gates[n:], un[t], out=new[t])
+        c += xp[t, 2 * n :]
+        np.tanh(c, out=c)
+        out = np.subtract(h, c, out=states[t])
+        out *= gates[:n]
+        out += c
+        h = out
+    return states, before, xp[:, :n], xp[:, n : 2 * n], un, new
+
+
+def _advance(xp: np.ndarray, begins: np.ndarray, h: np.ndarray, ut: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """The forward pass alone; fills states [steps, values, lanes]."""
     n = HIDDEN
     for t in range(len(xp)):
-        if not keep[t].all():
-            h = h * keep[t][:, None]
-        x, g = xp[t], h @ u
-        g[:, : 2 * n] += x[:, : 2 * n]
-        zr = sigmoid(g[:, : 2 * n])
-        new = g[:, 2 * n :] * zr[:, n:]
-        new += x[:, 2 * n :]
-        np.tanh(new, out=new)
-        h = h - new
-        h *= zr[:, :n]
-        h += new
-        if states is not None:
-            states[t, :, :n] = h
+        h = _kept(h, begins[t])
+        x, g = xp[t], ut @ h
+        gates = x[: 2 * n]
+        gates += g[: 2 * n]
+        sigmoid(gates)
+        c = np.multiply(gates[n:], g[2 * n :], out=g[2 * n :])
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        h = np.subtract(h, c, out=states[t])
+        h *= gates[:n]
+        h += c
     return h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _projected(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The inputs' projections, [steps, 3 hidden, lanes]."""
+    return np.ascontiguousarray(table[x].transpose(0, 2, 1))
 
 
-def _picked_log(s: np.ndarray, weights: np.ndarray, column: np.ndarray, bounded: bool) -> np.ndarray:
-    """The log-softmax of s @ weights, each row at its column, in blocks of rows that stay in a processor's cache.
+def _bounded(*weights: np.ndarray) -> bool:
+    """Whether no product of a state (within -1..1) and the bias's 1 with these [values, columns] can overflow exp."""
+    return max(float(np.abs(w).sum(axis=0).max()) for w in weights) < 80
 
-    The largest logit is taken off unless exp is known not to overflow.
-    """
+
+def _exponentials(logits: np.ndarray, bounded: bool) -> np.ndarray:
+    if not bounded:
+        logits -= logits.max(axis=1, keepdims=True)
+    return np.exp(logits, out=logits)
+
+
+def _picked_log(s: np.ndarray, weights: np.ndarray, column: np.ndarray, bounded: bool) -> np.ndarray:
+    """The log-softmax of s @ weights, each row at its column, in blocks of rows that stay in a processor's cache."""
     n, k = len(s), weights.shape[1]
     rows = max(64, BLOCK_VALUES // k)
     out, held = np.empty(n, dtype=f32), np.empty((min(rows, n), k), dtype=f32)
@@ -196,54 +233,58 @@ def _picked_log(s: np.ndarray, weights: np.ndarray, column: np.ndarray, bounded:
     return out
 
 
-BLOCK_VALUES = 400_000
+BLOCK_VALUES = 200_000
 ONES = np.ones(1 << 16, dtype=f32)
 
 
-def _by_class(layout: Layout, y: np.ndarray, classes: np.ndarray):
-    """(class, positions of its targets) for the word targets."""
+def _by_class(layout: Layout, y: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The places of targets that are one of several words of a class, by class; (from, to, first word, last) of each class."""
     words = np.flatnonzero(y < layout.vocab)
     c = classes[words]
-    order = words[np.argsort(c, kind="stable")]
-    bounds = np.searchsorted(classes[order], np.arange(layout.word_classes + 1))
-    for k in range(layout.word_classes):
-        if bounds[k] < bounds[k + 1]:
-            yield k, order[bounds[k] : bounds[k + 1]]
+    order = words[np.argsort(c.astype(np.int16) if layout.word_classes < 1 << 15 else c, kind="stable")]
+    bounds = np.searchsorted(classes[order], np.arange(layout.word_classes + 1)).tolist()
+    first = layout.first.tolist()
+    return order, [(bounds[k], bounds[k + 1], first[k], first[k + 1]) for k in range(layout.word_classes) if bounds[k] < bounds[k + 1] and first[k + 1] - first[k] > 1]
+
+
+def _with_one(states: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """[targets, hidden + 1] of states [steps, hidden, lanes]: a row for each target there is, 1 in the last column for the biases."""
+    s = np.ones((states.shape[0], states.shape[2], HIDDEN + 1), dtype=f32)
+    s[:, :, :HIDDEN] = states.transpose(0, 2, 1)
+    s = s.reshape(-1, HIDDEN + 1)
+    return s if live.all() else s[live.ravel()]
 
 
 def score(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout) -> np.ndarray:
     """Natural log-probability of each document's symbols (a shape's word is not counted in)."""
     if not docs:
         return np.zeros(0)
-    x, y, keep, place, lengths = lanes(docs, SCORE_LANES, 0)
-    table = weights["E"] @ weights["W"] + weights["b"]
+    lanes = Lanes(docs, SCORE_LANES)
+    table, ut = weights["E"] @ weights["W"] + weights["b"], np.ascontiguousarray(weights["U"].T)
     to_class, to_word = np.vstack((weights["C"], weights["cb"])), np.ascontiguousarray(np.column_stack((weights["O"], weights["ob"])).T)
-    bounded = max(np.abs(w).sum(axis=0).max() for w in (to_class, to_word)) < 80  # states are within -1..1
-    h, logs = np.zeros((x.shape[1], HIDDEN), dtype=f32), np.zeros(x.shape, dtype=f32)
-    for a in range(0, len(x), SCORE_WINDOW):
-        b, width = min(a + SCORE_WINDOW, len(x)), int((lengths > a).sum())  # lanes that are not over
-        states = np.ones((b - a, width, HIDDEN + 1), dtype=f32)  # the last column takes the biases
-        h = _advance(table[x[a:b, :width]], keep[a:b, :width], h[:width], weights["U"], states)
-        target = y[a:b, :width].ravel()
-        at = np.flatnonzero(target >= 0)
-        t, s = target, states.reshape(-1, HIDDEN + 1)
-        if len(at) < len(t):
-            t, s = t[at], s[at]
+    bounded = _bounded(to_class, to_word)
+    h, logs = np.zeros((HIDDEN, len(lanes.lengths)), dtype=f32), np.zeros(len(lanes.symbols), dtype=f32)
+    for x, y, begins, live, at in lanes.windows(SCORE_WINDOW, SCORE_LONGEST):
+        states = np.empty((len(x), HIDDEN, x.shape[1]), dtype=f32)
+        h = _advance(_projected(table, x), begins, h[:, : x.shape[1]], ut, states)
+        s, t = _with_one(states, live), y[live]
         classes = layout.class_of(t)
         out = _picked_log(s, to_class, classes, bounded)
-        for k, rows in _by_class(layout, t, classes):
-            first, last = layout.first[k], layout.first[k + 1]
-            if last - first > 1:
-                out[rows] += _picked_log(s[rows], to_word[:, first:last], t[rows] - first, bounded)
-        block = np.zeros(len(target), dtype=f32)
-        block[at] = out
-        logs[a:b, :width] = block.reshape(b - a, width)
-    logs = np.ascontiguousarray(logs.T).astype(np.float64)
-    return np.array([logs[k, at : at + len(d)].sum() for d, (k, at) in zip(docs, place, strict=True)])
-
-
-def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout, every: int = 1, rate: float = RATE, memory: dict | None = None) -> tuple[int, float]:
-    """Change weights by one pass over the documents; one window in ``every`` is learned from, the others are read.
+        order, groups = _by_class(layout, t, classes)
+        so, to = s[order], t[order]
+        inner = np.zeros(len(order), dtype=f32)
+        for a, b, first, last in groups:
+            inner[a:b] = _picked_log(so[a:b], to_word[:, first:last], to[a:b] - first, bounded)
+        out[order] += inner
+        logs[at[live]] = out
+    by_place = np.argsort(lanes.start, kind="stable")
+    sums = np.empty(len(docs))
+    sums[by_place] = np.add.reduceat(logs, lanes.start[by_place], dtype=np.float64)
+    return sums
+
+
+def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout, rate: float = RATE, memory: dict | None = None) -> tuple[int, float]:
+    """Change weights by one pass over the documents, learning from every window.
 
     memory holds Adagrad's sums between calls. Returns the targets learned from and their summed log-probability.
     """
@@ -252,83 +293,93 @@ def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout
     memory = {} if memory is None else memory
     for k in SHAPES:
         memory.setdefault(k, np.full(weights[k].shape, 1e-2, dtype=f32))
+    n, e, w, u, bias = HIDDEN, weights["E"], weights["W"], weights["U"], weights["b"]
+    # output weights with their biases as a last row or column
+    to_class, class_memory = (np.vstack((x["C"], x["cb"])) for x in (weights, memory))
+    to_word, word_memory = (np.column_stack((x["O"], x["ob"])) for x in (weights, memory))
+    lanes = Lanes(docs, TRAIN_LANES)
+    h = np.zeros((n, len(lanes.lengths)), dtype=f32)
+    learned, likelihood = 0, 0.0
 
-    def step(k: str, part, g: np.ndarray) -> None:
-        m = memory[k]
-        m[part] += g * g
-        weights[k][part] -= rate * g / np.sqrt(m[part])
+    def step(values: np.ndarray, m: np.ndarray, g: np.ndarray) -> None:
+        m += g * g
+        g *= f32(rate)
+        g /= np.sqrt(m)
+        values -= g
 
-    x, y, keep, _, lengths = lanes(docs, TRAIN_LANES, 0)
-    h, n = np.zeros((x.shape[1], HIDDEN), dtype=f32), HIDDEN
-    learned, likelihood = 0, 0.0
-    a, turn = 0, TRAIN_WINDOW * every
-    while a < len(x):
-        width = int((lengths > a).sum())
-        learn = a % turn == 0
-        b = a + TRAIN_WINDOW if learn else (a // turn + 1) * turn
-        xs, ks, h = x[a:b, :width], keep[a:b, :width], h[:width]
-        start, a = a, b
-        if not learn:  # the windows until the next turn, read in one go
-            h = _advance(weights["E"][xs] @ weights["W"] + weights["b"], ks, h, weights["U"], None)
-            continue
-        rows, back = np.unique(xs, return_inverse=True)
-        emb = weights["E"][rows]
-        xp = (emb @ weights["W"] + weights["b"])[back.reshape(xs.shape)]
-        states, k = _forward(xp, ks, h, weights["U"])
+    for x, y, begins, live, _ in lanes.windows(TRAIN_WINDOW, TRAIN_LONGEST):
+        steps, width = x.shape
+        xp = _projected(e @ w + bias, x)
+        states, before, z, r, un, new = _forward(xp, begins, h[:, :width], np.ascontiguousarray(u.T))
         h = states[-1]
-        target = y[start:b, :width].ravel()
-        at = np.flatnonzero(target >= 0)
-        if not len(at):
-            continue
-        t, s = target[at], states.reshape(-1, n)[at]
-        classes = layout.class_of(t)
-        logs = _log_softmax(s @ weights["C"] + weights["cb"])
-        likelihood += float(logs[np.arange(len(t)), classes].sum())
-        d = np.exp(logs)
-        d[np.arange(len(t)), classes] -= 1
+        s, t = _with_one(states, live), y[live]
         scale = f32(1 / len(t))
-        d *= scale
-        ds = d @ weights["C"].T
-        step("C", slice(None), s.T @ d)
-        step("cb", slice(None), d.sum(axis=0))
-        for c, own in _by_class(layout, t, classes):
-            first, last = layout.first[c], layout.first[c + 1]
-            if last - first == 1:
-                continue
-            inner = _log_softmax(s[own] @ weights["O"][first:last].T + weights["ob"][first:last])
-            likelihood += float(inner[np.arange(len(own)), t[own] - first].sum())
-            di = np.exp(inner)
-            di[np.arange(len(own)), t[own] - first] -= 1
-            di *= scale
-            ds[own] += di @ weights["O"][first:last]
-            step("O", slice(first, last), di.T @ s[own])
-            step("ob", slice(first, last), di.sum(axis=0))
+        classes = layout.class_of(t)
+        bounded = _bounded(to_class, to_word.T)
+
+        ds, dclass = np.empty((len(t), n), dtype=f32), np.zeros_like(to_class)
+        block = max(64, BLOCK_VALUES // to_class.shape[1])
+        for a in range(0, len(t), block):
+            own, c = s[a : a + block], classes[a : a + block]
+            d = _exponentials(own @ to_class, bounded)
+            rows = np.arange(len(own))
+            total = d @ ONES[: d.shape[1]]
+            likelihood += float(np.log(d[rows, c] / total + f32(1e-30)).sum(dtype=np.float64))
+            d *= (scale / total)[:, None]
+            d[rows, c] -= scale
+            np.matmul(d, to_class[:n].T, out=ds[a : a + block])
+            dclass += own.T @ d
+        order, groups = _by_class(layout, t, classes)
+        so, to = s[order], t[order]
+        dso, dword = np.zeros((len(order), n), dtype=f32), np.zeros_like(to_word)
+        for a, b, first, last in groups:
+            d = _exponentials(so[a:b] @ to_word[first:last].T, bounded)
+            rows, c = np.arange(b - a), to[a:b] - first
+            total = d @ ONES[: last - first]
+            likelihood += float(np.log(d[rows, c] / total + f32(1e-30)).sum(dtype=np.float64))
+            d *= (scale / total)[:, None]
+            d[rows, c] -= scale
+            np.matmul(d, to_word[first:last, :n], out=dso[a:b])
+            np.matmul(d.T, so[a:b], out=dword[first:last])
+        ds[order] += dso
+        step(to_class, class_memory, dclass)
+        step(to_word, word_memory, dword)
         learned += len(t)
-        dstates = np.zeros((xs.size, n), dtype=f32)
-        dstates[at] = ds
-        dstates = dstates.reshape(*xs.shape, n)
-        dx, du = np.empty((*xs.shape, 3 * n), dtype=f32), np.zeros((n, 3 * n), dtype=f32)
-        dh, ut = np.zeros_like(h), weights["U"].T
-        for j in range(len(xs) - 1, -1, -1):
-            before, z, r, un, new = k[j]
+
+        every = ds
+        if len(t) < live.size:
+            every = np.zeros((live.size, n), dtype=f32)
+            every[live.ravel()] = ds
+        dstates = np.ascontiguousarray(every.reshape(steps, width, n).transpose(0, 2, 1))
+        through_new, through_z, through_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), un * r * (1 - r)
+        dx, inner = np.empty((steps, 3 * n, width), dtype=f32), np.empty((steps, 3 * n, width), dtype=f32)
+        dh = np.zeros((n, width), dtype=f32)
+        for j in range(steps - 1, -1, -1):
             dh += dstates[j]
-            dnew = dh * (1 - z) * (1 - new * new)
-            g = dx[j]
-            g[:, :n] = dh * (before - new) * z * (1 - z)
-            g[:, n : 2 * n] = dnew * un * r * (1 - r)
-            g[:, 2 * n :] = dnew
-            inner = g.copy()
-            inner[:, 2 * n :] *= r
-            du += before.T @ inner
-            dh = (dh * z + inner @ ut) * ks[j][:, None]
-        dx = dx.reshape(-1, 3 * n)
-        de = np.zeros((len(rows), 3 * n), dtype=f32)
-        order = np.argsort(back.ravel(), kind="stable")
-        de = np.add.reduceat(dx[order], np.searchsorted(back.ravel()[order], np.arange(len(rows))), axis=0)
-        size = float(np.sqrt((dx * dx).sum() + (du * du).sum()))
+            dnew = np.multiply(dh, through_new[j], out=dx[j, 2 * n :])
+            np.multiply(dh, through_z[j], out=inner[j, :n])
+            np.multiply(dnew, through_r[j], out=inner[j, n : 2 * n])
+            np.multiply(dnew, r[j], out=inner[j, 2 * n :])
+            dh *= z[j]
+            dh += u @ inner[j]
+            dh = _kept(dh, begins[j])
+        dx[:, : 2 * n] = inner[:, : 2 * n]
+        flat = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * n)
+        du = before.transpose(1, 0, 2).reshape(n, -1) @ inner.transpose(0, 2, 1).reshape(-1, 3 * n)
+        symbols = x.ravel()
+        order = np.argsort(symbols.astype(np.int16) if len(e) < 1 << 15 else symbols, kind="stable")
+        own = symbols[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        rows = own[first]
+        de = np.add.reduceat(flat[order], first, axis=0)
+        size = float(np.sqrt((flat * flat).sum() + (du * du).sum()))
         cut = f32(min(1.0, CLIP / max(size, 1e-9)))
-        step("W", slice(None), emb.T @ de * cut)
-        step("E", rows, de @ weights["W"].T * cut)
-        step("U", slice(None), du * cut)
-        step("b", slice(None), dx.sum(axis=0) * cut)
+        emb, m = e[rows], memory["E"][rows]
+        step(w, memory["W"], emb.T @ de * cut)
+        step(emb, m, de @ w.T * cut)
+        e[rows], memory["E"][rows] = emb, m
+        step(u, memory["U"], du * cut)
+        step(bias, memory["b"], de.sum(axis=0) * cut)
+    for x, out, names in ((to_class, weights, ("C", "cb")), (class_memory, memory, ("C", "cb")), (to_word.T, weights, ("O", "ob")), (word_memory.T, memory, ("O", "ob"))):
+        out[names[0]][...], out[names[1]][...] = (x[:-1] if names[0] == "C" else x[:-1].T), x[-1]
     return learned, likelihood

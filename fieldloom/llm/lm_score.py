@@ -3,11 +3,11 @@
 Over all training documents (crc32 of the id as text, mod 5, is not 1), distributed:
 
 1. Token counts, by a table in each task and a sum by token. Tokens are words with A-Z folded, and one end a text.
-2. The head, the most frequent tokens: at most HEAD of them (a bound on what is broadcast), by a threshold from a
-   histogram of counts; the VOCAB most frequent are the model's words. All other tokens are in the model by shape, with
+2. The head, the most frequent tokens and the end: HEAD of them at most (a bound on what is broadcast), by a threshold
+   from a histogram of counts; the end and the VOCAB most frequent are the model's words. All other tokens are in the model by shape, with
    the share (c + 0.5) / (mass of the shape) inside it, so that model and base score the same events.
-3. Training. Each task reads whole documents with the state carried and learns from every window (WINDOWS_LEARNED is
-   1); the tasks' weights are averaged by the targets they learned from. First a pass over one document in FIRST_PASS
+3. Training. Each task reads whole documents with the state carried and learns from every window; the tasks' weights are
+   averaged by the targets they learned from. First a pass over one document in FIRST_PASS
    from the unigram model, so that the tasks start alike, then one over all from the first average. What is gathered
    grows with the number of tasks.
 4. Scoring. Whole documents; tokens outside the head are joined to their counts and added per document.
@@ -30,9 +30,9 @@ from .common import checkpointed, raw_texts, small_batches, worker_state
 
 FOLDS, HELD_OUT = 5, 1
 HEAD, VOCAB = 1 << 18, 4096
-FIRST_PASS, WINDOWS_LEARNED = 8, 1
+FIRST_PASS = 8
 SLICE_BYTES, CHUNK_BYTES, OUT_ROWS = 32_000_000, 6_000_000, 20_000
-PIECE = 2048
+PIECE = 512
 LOG10 = float(np.log(10))
 
 
@@ -171,18 +171,16 @@ def build_lexicon(counts: DataFrame) -> tuple:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     level = F.floor(F.log("c") * 64)
     steps = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # at most 64 * ln(2 ** 63) rows
-    kept, least = 0, None
+    kept, least = 1, None  # the end is one of them, however often it is met
     for r in steps:
         if kept + r["count"] > HEAD:
             break
         kept, least = kept + r["count"], r["level"]
-    head = counts.where(level >= least if least is not None else F.lit(False)).toArrow().to_pydict()
+    is_end = F.octet_length("token") == 0
+    head = counts.where(is_end if least is None else is_end | (level >= least)).toArrow().to_pydict()
     both = sorted(zip(head["c"], head["token"], strict=True), key=lambda x: (-x[0], x[1]))
-    if b"" in head["token"]:  # the end is always one of the model's words
-        both.sort(key=lambda x: x[1] != b"")
-        both[:VOCAB] = sorted(both[:VOCAB], key=lambda x: (-x[0], x[1]))
-    elif total["v"]:
-        raise ValueError("the end of a text is not among the most frequent tokens")
+    both.sort(key=lambda x: x[1] != b"")  # the end is always one of the model's words
+    both[:VOCAB] = sorted(both[:VOCAB], key=lambda x: (-x[0], x[1]))
     vocab = frozenset(t for _, t in both[:VOCAB])
     tails = np.zeros((2, gru_lm.TAILS))
     for r in counts.mapInArrow(_tails(vocab), "shape long, n double, v double").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
@@ -208,7 +206,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
         yield pa.concat_batches([b for b in held if len(b)]), texts
 
 
-def _learn(parts: tuple, flat: bytes | None, every: int):
+def _learn(parts: tuple, flat: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon(*parts)
         weights = gru_lm.initial(lex.layout)
@@ -217,7 +215,7 @@ def _learn(parts: tuple, flat: bytes | None, every: int):
         memory: dict = {}
         learned = 0
         for _, texts in _gathered(batches, 0):
-            learned += gru_lm.train([x for chunk in _chunks(texts) for x in lex.model_symbols(tokenised(chunk))], weights, lex.layout, every, memory=memory)[0]
+            learned += gru_lm.train([x for chunk in _chunks(texts) for x in lex.model_symbols(tokenised(chunk))], weights, lex.layout, memory=memory)[0]
         if learned:
             out = gru_lm.packed(weights) * np.float32(learned)
             pieces = [out[k : k + PIECE].tobytes() for k in range(0, len(out), PIECE)]
@@ -238,9 +236,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[k] / learned[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["piece", "weights"])
 
 
-def averaged(texts: DataFrame, parts: tuple, flat: bytes | None, every: int) -> bytes | None:
+def averaged(texts: DataFrame, parts: tuple, flat: bytes | None) -> bytes | None:
     """The tasks' weights after a pass over texts, averaged piece by piece; the model comes to the driver (half a MB)."""
-    own = texts.mapInArrow(_learn(parts, flat, every), "piece int, learned long, weights binary")
+    own = texts.mapInArrow(_learn(parts, flat), "piece int, learned long, weights binary")
     pieces = own.repartition("piece").mapInArrow(_add, "piece int, weights binary").collect()
     return b"".join(r.weights for r in sorted(pieces, key=lambda r: r.piece)) or flat
 
@@ -280,7 +278,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Null texts count as empty: one token, the end. A null id is for training. Repeated rows are rows of their own and
     are counted as often; an empty table gives no rows. If no row is for training, all tokens are unknown, the model is
-    the base and score equals base_score. Other columns are ignored.
+    the base and score equals base_score. Other columns are ignored. Whole texts are read, in memory that follows their
+    tokens. Tasks train apart and are averaged, so score (not base_score) depends on how rows fall into tasks.
     """
     own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), is_held_out(F.col(id_col)).alias("held_out"))
     train = own.where("not held_out")
@@ -293,8 +292,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         base = total * float(np.log10(0.5 / (n + 0.5 * (v + 1))))
         return own.select(F.col("_fl_id").alias(id_col), "held_out", total.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), base.alias("base_score"), base.alias("score"))
     first = train.where(F.pmod(F.xxhash64("_fl_id", F.lit(5)), F.lit(FIRST_PASS)) == 0).select("_fl_text")
-    flat = averaged(first, parts, None, WINDOWS_LEARNED)
-    flat = averaged(train.select("_fl_text"), parts, flat, WINDOWS_LEARNED)
+    flat = averaged(first, parts, None)
+    flat = averaged(train.select("_fl_text"), parts, flat)
 
     numbered = own.select(F.monotonically_increasing_id().alias("_fl_row"), "_fl_id", "held_out", "_fl_text")
     scored = checkpointed(numbered.mapInArrow(_score(parts, flat), f"_fl_row long, _fl_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<binary>"))

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -31,7 +32,6 @@ def test_base_equals_brute_force_and_the_model_beats_it(spark, monkeypatch):
     monkeypatch.setattr(L, "HEAD", 150)  # so that many tokens are outside the head
     monkeypatch.setattr(L, "VOCAB", 100)
     monkeypatch.setattr(L, "FIRST_PASS", 2)
-    monkeypatch.setattr(L, "WINDOWS_LEARNED", 1)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as token", "2 as c").repartition(2)
     got = L.score(df).collect()
@@ -109,5 +109,36 @@ def test_training_learns_from_every_target(spark):
     rows = [(f"{k} " * 40 + "b c " * 60,) for k in range(5)] + [("a",), (None,)]
     texts = spark.createDataFrame(rows, "text string")
     parts = L.build_lexicon(L.token_counts(texts))
-    out = list(L._learn(parts, None, L.WINDOWS_LEARNED)([pa.RecordBatch.from_arrays([pa.array([t for t, in rows], pa.string())], ["text"])]))
+    out = list(L._learn(parts, None)([pa.RecordBatch.from_arrays([pa.array([t for t, in rows], pa.string())], ["text"])]))
     assert out[0].column(1)[0].as_py() == sum(len((t or "").split()) + 1 for t, in rows)
+
+
+def test_the_end_is_a_word_of_the_model_however_rare(spark, monkeypatch):
+    monkeypatch.setattr(L, "HEAD", 4)
+    monkeypatch.setattr(L, "VOCAB", 3)
+    rows = [(k, " ".join(f"w{j}" for j in range(30)) + f" r{k}") for k in (2, 5)]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute(rows)
+    for r in got:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id][1], want[r.doc_id][2], want[r.doc_id][3])
+        assert abs(r.base_score - want[r.doc_id][4]) < 1e-6 and r.score < 0
+
+
+def test_repeated_ids_and_a_very_long_text(spark):
+    long = "word other " * 150_000
+    rows = [(7, long), (7, "word"), (7, None), (9, "word other"), (9, "word other")]
+    got = L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(7, 1), (7, 2), (7, 300_001), (9, 3), (9, 3)]
+    assert len({r.score for r in got if r.doc_id == 9}) == 1
+
+
+def test_a_long_text_among_short_ones_takes_memory_by_its_tokens():
+    layout, weights = small()
+    docs = [np.zeros(200_000, dtype=np.int32)] + [np.zeros(3, dtype=np.int32)] * 400
+    tracemalloc.start()
+    lanes = G.Lanes(docs, 256)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+    for i, k in enumerate(lanes.start):
+        assert lanes.begins[k] and lanes.sizes[i] == len(docs[i])
+    assert sum(int(live.sum()) for _, _, _, live, _ in lanes.windows(16, 64)) == 200_000 + 1200
