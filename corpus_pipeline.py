@@ -30,8 +30,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Low and toxic documents beyond their targets beside the clean ones are thinned by their rates; none is repeated."""
-    return mixing.thinned(docs, table(spark, sf_dir, "labels"))
+    """Low and toxic documents beyond their targets beside the clean ones are thinned by their rates; none is repeated.
+
+    The classifier learns from the labelled documents as they were before the stages, which leave few low ones.
+    """
+    return mixing.thinned(docs, table(spark, sf_dir, "labels"), examples=table(spark, sf_dir, "documents"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,8 @@ STAGES = [
     ("mixing", mixing_stage),
     ("bpe", bpe_stage),
 ]
-#: The stages learn references, sketches and rates; SQL can't express them. tests/llm/test_pipeline.py holds each against brute force.
+#: The stages learn references, sketches and rates; SQL can't express them. tests/llm holds the dedup and token stages
+#: against brute force in test_pipeline.py, verdicts and rates in test_quality.py and test_mixing.py.
 ORACLE_SQL = None
 
 

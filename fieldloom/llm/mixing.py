@@ -110,9 +110,9 @@ def fit_rates(soft: DataFrame, targets: list[float], repeats: bool) -> tuple[Dat
     return now, shares, at
 
 
-def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], repeats: bool, id_col: str, text_col: str) -> DataFrame:
+def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], repeats: bool, id_col: str, text_col: str, examples: DataFrame | None) -> DataFrame:
     labelled = checkpointed(sample(labels, id_col))
-    weights, priors = bucket_weights(docs, labelled, id_col, text_col)
+    weights, priors = bucket_weights(docs if examples is None else examples, labelled, id_col, text_col)
     soft = checkpointed(posteriors(docs, weights, priors, id_col, text_col))
     want = [targets[d] for d in DOMAINS]
     rated, shares, _ = fit_rates(soft, want, repeats)
@@ -129,19 +129,21 @@ def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], repeats:
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, repeats: bool = True, id_col: str = "doc_id", text_col: str = "text", examples: DataFrame | None = None) -> DataFrame:
     """One row for each row of docs: id, n_tokens, p_<domain>, rate, copies.
 
+    The classifier is fitted on the labelled rows of examples (docs, if none are given): where filters have taken rows
+    out of docs before, examples are the rows before them, so that a domain they nearly emptied is still known.
     copies rounds the rate up or down by a hash of the id, so that its mean is the rate; a document whose likeliest
     domain has less than its target (without repeats: its bound) keeps one copy at least. Null and empty texts have no tokens and the priors as
     memberships. Labels with a null id or neither quality nor toxic are left out; without labels all documents have the
     priors. Rows with a null or repeated id are rows of their own; an empty table gives none; other columns are ignored.
     """
-    return _mix(docs, labels, targets, repeats, id_col, text_col).drop("_fl_key").withColumnRenamed("_fl_id", id_col)
+    return _mix(docs, labels, targets, repeats, id_col, text_col, examples).drop("_fl_key").withColumnRenamed("_fl_id", id_col)
 
 
-def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that the mix gives no copy, none repeated, with all their columns."""
-    mixed = _mix(docs, labels, targets, False, id_col, text_col)
+def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", examples: DataFrame | None = None) -> DataFrame:
+    """docs without those that the mix gives no copy, none repeated, with all their columns; examples as in mix."""
+    mixed = _mix(docs, labels, targets, False, id_col, text_col, examples)
     dropped = checkpointed(mixed.where("copies < 1").select(F.col("_fl_id").alias("_fl_drop_id"), F.col("_fl_key").alias("_fl_drop_key")))
     return without(docs, dropped, id_col, text_col)

@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark):
 
     mixed = stages["mixing"](spark, near, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rates = {r.doc_id: r for r in mixing.mix(near, labels, repeats=False).collect()}
+    rates = {r.doc_id: r for r in mixing.mix(near, labels, repeats=False, examples=docs).collect()}
     left = sorted(r.doc_id for r in mixed.collect())
     assert mixed.columns == columns and left == sorted(d for d, r in rates.items() if r.copies)
     assert all(0 <= r.rate <= 1 and r.copies <= 1 for r in rates.values())
@@ -67,3 +67,12 @@ def test_nulls_repeats_and_no_rows(spark):
         if name == "exact_dedup":
             assert sorted(str(r.doc_id) for r in out) == ["1", "3"]
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_mixing_keeps_as_large_a_share_at_every_size(spark):
+    stage, kept = dict(corpus_pipeline.STAGES)["mixing"], []
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        passed = quality.kept_documents(docs)
+        kept.append(stage(spark, passed, sf).count() / passed.count())
+    assert min(kept) > 0.9 and max(kept) - min(kept) < 0.05, kept
