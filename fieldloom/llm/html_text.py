@@ -1,16 +1,19 @@
 """Main text of a page by tree scoring.
 
-A page becomes a tree. Parts that are never text of an article (menus, footers, forms, adverts, comments, by element,
-role or name) are cut while it is built. Each paragraph then gives points for its length and commas to its ancestors,
-all to its parent, half to the next, less further up; an element's points are discounted by the share of its text that
-is in links. The best element, widened to the article around it, and those of its siblings that score well too are the
-article; its blocks are written in page order.
+A page becomes a tree, in time linear in its length however deep it is. Elements that are hidden are cut; those that may
+be beside the article, by element, role or name, are suspects. Each paragraph gives points for its length and commas to
+its ancestors, all to its parent, half to the next, less further up to LEVELS, but not beyond a suspect; an element's
+points are discounted by the share of its text that is in links. Only then are suspects settled: those around the best
+article, or around the best text where nothing else has any, are cleared and the tree is scored again; the others are
+cut. The best element, widened to the article around it, and those of its siblings that score well too are the article;
+its blocks are written in page order.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,16 +39,24 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CUT = frozenset("nav footer aside form menu dialog button select option svg canvas object audio video map head fieldset".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in a class or id that mark what is beside the article.
-CUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations widget login search toolbar skip".split()
+#: Elements that hold no text to read, and those that are suspects.
+GONE = frozenset("button select option svg canvas object audio video map head".split())
+SUSPECT = frozenset("nav footer aside form menu dialog fieldset".split())
+SUSPECT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Names (the last telling word of a class or id) that mark what is beside the article.
+BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist reply replies disqus respond share sharing social related recommended recommendations widget widgets login search toolbar skip".split()
 )
-HEADER_NAMES = frozenset(("header",))
+#: Words after the telling one, and words before it that say an element is about the thing, not the thing itself.
+PLAIN = frozenset(
+    "list box wrap wrapper container block section area region panel pane left right top bottom bar slot inner outer content contents body main item items unit units zone holder group row col column columns links link buttons button btn icon icons post posts article articles stories form text title heading header primary secondary sticky fixed mobile desktop large small site root message label toggle".split()
+)
+ABOUT = frozenset("has no with without not non is are hide show".split())
+ARTICLE_ROLES = frozenset(("main", "article"))
 #: An open element of the key's kind ends where one of these starts.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-CLOSE_LIMIT = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "option": frozenset(("select",))}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements that such an open element is not looked for beyond.
+CLOSE_LIMIT = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt", "dd"), "table": ("tr", "td", "th")}
 P_ENDS = BLOCK - frozenset("option caption".split())
 P_LIMIT = frozenset("table td th caption button article section div body li".split())
 
@@ -54,54 +65,92 @@ FULL_LENGTH, LENGTH_POINT, LENGTH_MOST = 25, 100, 3
 SIBLING_SHARE, LIST_LINKS = 0.2, 0.5
 
 
+LEVELS = 8
+
+#: What an element is: part of the page, a suspect, cut as hidden or without text.
+PART, DOUBTED, CUT = 0, 1, 2
+
+
 class Node:
-    __slots__ = ("tag", "kids", "up", "score", "chars", "linked")
+    __slots__ = ("tag", "up", "kids", "state", "is_article", "inside", "open", "holder", "score", "chars", "linked")
 
-    def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.kids, self.score, self.chars, self.linked = tag, up, [], 0.0, 0, 0
+    def __init__(self, tag: str, up: Node | None, state: int = PART, is_article: bool = False):
+        self.tag, self.up, self.kids, self.state, self.is_article = tag, up, [], state, is_article
+        self.inside = is_article or up is not None and up.inside  # an article
+        self.open = _open_below(self, up)
+        self.holder, self.score, self.chars, self.linked = self, 0.0, 0, 0
 
 
-def attributes(rest: str) -> dict[str, str]:
-    return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(rest)}
+def _open_below(node: Node, up: Node | None) -> dict[str, Node]:
+    """The open elements that a start tag below node may end, by tag: those of up, but for what node adds or hides."""
+    found = up.open if up is not None else {}
+    tag = node.tag
+    if tag == "p" or tag in CLOSES:
+        return {**found, tag: node, **({} if tag in ("p", "li", "dt", "dd") or "p" not in found else {"p": None})}
+    hidden = CLOSE_LIMIT.get(tag, ())
+    if tag in P_LIMIT:
+        hidden = (*hidden, "p")
+    if any(found.get(h) is not None for h in hidden):
+        return {**found, **dict.fromkeys(hidden)}
+    return found
 
 
-def named(attrs: dict[str, str]) -> set[str]:
-    return set(WORD.findall(CAMEL.sub(" ", attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
+def attributes(rest: str) -> dict[str, str]:
+    return {(m[1] or m[3]).lower(): (m[2] or "").strip("\"'") for m in ATTR.finditer(rest)}
 
 
-def in_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.up
-    return False
-
-
-def is_cut(tag: str, rest: str, open_node: Node) -> bool:
-    if tag in CUT:
-        return True
-    if tag == "header" and not in_article(open_node):
-        return True
-    if not rest or rest == "/" or tag in ("article", "main", "body", "html"):
-        return False
-    attrs = attributes(rest)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in CUT_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if "class" not in attrs and "id" not in attrs:
-        return False
-    words = named(attrs)
-    return bool(words & CUT_NAMES) or bool(words & HEADER_NAMES) and tag not in HEADINGS and not in_article(open_node)
+def telling(name: str) -> str:
+    """What a class or id says its element is: its last word that is not a plain one, "" if it only tells about it."""
+    words = [w for w in WORD.findall(CAMEL.sub(" ", name.split("--")[0]).lower()) if len(w) > 1 and not w.isdigit()]
+    if not words or words[0] in ABOUT:
+        return ""
+    if "".join(words) in BESIDE:
+        return "".join(words)
+    while len(words) > 1 and words[-1] in PLAIN:
+        words.pop()
+    return words[-1]
+
+
+def kind(tag: str, rest: str, up: Node) -> tuple[int, bool]:
+    """(state, whether it is an article) of an element that starts below up."""
+    if tag in GONE:
+        return CUT, False
+    state = DOUBTED if tag in SUSPECT or tag == "header" and not up.inside else PART
+    is_article = tag in ("article", "main")
+    if rest and rest != "/":
+        attrs = attributes(rest)
+        role = attrs.get("role", "").lower()
+        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+            return CUT, False
+        if tag in ("body", "html", "main"):
+            return PART, is_article
+        if role in SUSPECT_ROLES:
+            state = DOUBTED
+        names = {telling(x) for k in ("class", "id") if k in attrs for x in attrs[k].split()}
+        if names & BESIDE or "header" in names and tag not in HEADINGS and not up.inside and not is_article:
+            state = DOUBTED
+        is_article = is_article or role in ARTICLE_ROLES or attrs.get("itemprop", "") == "articleBody"
+    return state, is_article and state == PART
 
 
 def tree(page: str) -> Node:
     root = Node("#root", None)
     at, open_node, n = 0, root, len(page)
-    skipping: list[str] = []  # open elements of a part that is cut
+    count: Counter = Counter()  # of open elements, so that an end tag without a start costs nothing
+
+    def ended(last: Node) -> None:
+        nonlocal open_node
+        while True:
+            node, open_node = open_node, open_node.up
+            count[node.tag] -= 1
+            if node is last:
+                return
+
     while at < n:
         m = TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at : m.start() if m else n]
-            if not skipping and text:
+            if text:
                 open_node.kids.append(html.unescape(text) if "&" in text else text)
             if m is None:
                 break
@@ -111,21 +160,11 @@ def tree(page: str) -> Node:
             continue
         tag, rest = name.lower(), m["rest"] or m["rest2"] or ""
         if m["end"] or m["end2"]:
-            if skipping:
-                if tag in skipping:
-                    while skipping.pop() != tag:
-                        pass
-                elif tag in ("body", "html", "article", "main"):  # the cut part was never closed
-                    skipping.clear()
-                else:
-                    continue
-                if skipping or tag not in ("body", "html", "article", "main"):
-                    continue
-            node = open_node
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
-                open_node = node.up
+            if count[tag]:
+                node = open_node
+                while node.tag != tag:
+                    node = node.up
+                ended(node)
             elif tag == "br":
                 open_node.kids.append(" ")
             continue
@@ -133,10 +172,6 @@ def tree(page: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if skipping:
-            if tag not in VOID and not rest.endswith("/"):
-                skipping.append(tag)
-            continue
         if tag == "br":
             open_node.kids.append(" ")
             continue
@@ -144,76 +179,93 @@ def tree(page: str) -> Node:
             if tag == "hr":
                 open_node.kids.append(Node("hr", open_node))
             continue
-        if tag in P_ENDS:
-            open_node = closed(open_node, ("p",), P_LIMIT)
+        if tag in P_ENDS and open_node.open.get("p") is not None:
+            ended(open_node.open["p"])
         if tag in CLOSES:
-            open_node = closed(open_node, CLOSES[tag], CLOSE_LIMIT[tag])
-        if is_cut(tag, rest, open_node):
-            if not rest.endswith("/"):
-                skipping.append(tag)
-            if tag in BLOCK:
-                open_node.kids.append(Node("hr", open_node))
-            continue
-        node = Node(tag, open_node)
+            for other in CLOSES[tag]:
+                if open_node.open.get(other) is not None:
+                    ended(open_node.open[other])
+        node = Node(tag, open_node, *kind(tag, rest, open_node))
         open_node.kids.append(node)
         if not rest.endswith("/") or tag in BLOCK:
             open_node = node
+            count[tag] += 1
     return root
 
 
-def closed(node: Node, tags: tuple[str, ...], limit: frozenset) -> Node:
-    """The open element after an open element of one of tags, if there is one within limit, has ended."""
-    look = node
-    while look.up is not None and look.tag not in limit:
-        if look.tag in tags:
-            return look.up
-        look = look.up
-    return node
-
-
 def give(node: Node, points: float) -> None:
+    """Points to node and those above it, up to the first suspect and LEVELS of them."""
     up, level = node, 0
-    while up is not None and up.tag != "#root":
+    while up.tag != "#root" and level < LEVELS:
         up.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
+        if up.state:
+            break
         up, level = up.up, level + 1
 
 
 def measure(root: Node) -> list[Node]:
-    """Set every node's characters, linked characters and points; the nodes in page order."""
+    """Set every node's characters, linked characters and points; the nodes in page order, those that are cut left out."""
     order: list[Node] = []
     todo = [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += reversed([k for k in node.kids if isinstance(k, Node)])
-    own: dict[int, list[str]] = {}
+        todo += reversed([k for k in node.kids if isinstance(k, Node) and k.state != CUT])
+    own: dict[Node, list[str]] = {}
     for node in order:
-        holder = node
-        while holder.tag not in BLOCK and holder.up is not None:
-            holder = holder.up
+        node.holder = node if node.tag in BLOCK or node.state or node.up is None else node.up.holder
+        node.score, node.chars, node.linked = 0.0, 0, 0
         texts = [k for k in node.kids if isinstance(k, str)]
         if texts:
-            own.setdefault(id(holder), []).extend(texts)
+            own.setdefault(node.holder, []).extend(texts)
             node.chars = len(" ".join("".join(texts).split()))
-            if node.tag == "a":
-                node.linked = node.chars
     for node in reversed(order):
         if node.tag == "a":
             node.linked = node.chars
-        if node.up is not None:
+        if node.up is not None and not node.state:
             node.up.chars += node.chars
             node.up.linked += node.linked
     for node in order:
-        texts = own.get(id(node))
+        texts = own.get(node)
         if texts and node.tag not in HEADINGS:
             text = " ".join("".join(texts).split())
             if text:
                 points = (1 + len(COMMA.findall(text)) + min(len(text) / LENGTH_POINT, LENGTH_MOST)) * min(1, len(text) / FULL_LENGTH)
                 points *= 1 - node.linked / max(node.chars, 1)
-                give(node.up if node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and node.up.tag != "#root" else node, points)
+                to_parent = node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and not node.state and node.up.tag != "#root"
+                give(node.up if to_parent else node, points)
     return order
 
 
+def settled(root: Node) -> list[Node]:
+    """The nodes, measured again if suspects around the article were cleared.
+
+    No suspect is cleared if an article or main element outside them has text. Else those around the best article are;
+    without any article, those around a heading of the first order with more points than all that is outside suspects
+    has, or around the best text if there is none outside.
+    """
+    order = measure(root)
+    doubt: dict[Node, Node | None] = {}  # of each node, the nearest suspect that it is or is in
+    for node in order:
+        doubt[node] = node if node.state else doubt[node.up] if node.up is not None else None
+    if not any(doubt.values()) or any(n.is_article and n.chars and not doubt[n] for n in order):
+        return order
+    articles = [n for n in order if n.is_article and n.chars]
+    if articles:
+        best = max(articles, key=rank)
+    else:
+        outside = max((rank(n) for n in order if not doubt[n] and n.tag in BLOCK), default=0.0)
+        titled = {id(doubt[n]) for n in order if n.tag == "h1"}
+        held = [n for n in order if doubt[n] and n.tag in BLOCK and rank(n) > outside and (outside == 0 or id(doubt[n]) in titled)]
+        if not held:
+            return order
+        best = max(held, key=rank)
+    cleared: Node | None = best
+    while cleared is not None:
+        cleared.state, cleared = PART, cleared.up
+    return measure(root)
+
+
 def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -223,25 +275,24 @@ def rank(node: Node) -> float:
 
 
 def chosen(root: Node) -> list[Node]:
-    order = measure(root)
-    best = None
+    best, doubted = None, set()
+    order = settled(root)
     for node in order:
-        if node.score > 0 and node.tag in BLOCK and node.tag not in HEADINGS and (best is None or rank(node) > rank(best)):
+        if node.state or node.up in doubted:
+            doubted.add(node)
+        elif node.score > 0 and node.tag in BLOCK and node.tag not in HEADINGS and (best is None or rank(node) > rank(best)):
             best = node
     if best is None:
-        heads = [n for n in order if n.tag == "article" and n.chars]
-        return heads[:1]
+        return [n for n in order if n.is_article and n.chars and n not in doubted][:1]
     around = best
-    while around is not None and around.tag not in ("article", "main"):
+    while around.inside and not around.is_article:
         around = around.up
-    if around is not None:
-        while around.tag == "article" and around.up is not None and in_article(around.up) and rank(around) < rank(best) / 2:
-            around = around.up
+    if around.inside:
         return [around]
     if best.tag in ("body", "html") or best.up is None:
         return [best]
     least = SIBLING_SHARE * rank(best)
-    kids = [k for k in best.up.kids if isinstance(k, Node)]
+    kids = [k for k in best.up.kids if isinstance(k, Node) and not k.state]
     place = next(i for i, k in enumerate(kids) if k is best)
 
     def stays(i: int, k: Node) -> bool:
@@ -265,6 +316,9 @@ def blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
+        elif x.state:
+            if x.tag in BLOCK:
+                out.append([])
         elif x.tag in ("ul", "ol", "table", "dl") and x.chars and density(x) > LIST_LINKS and x is not node:
             out.append([])  # a menu
         else:

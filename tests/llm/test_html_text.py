@@ -1,5 +1,9 @@
+import random
 import time
 
+import pytest
+
+from fieldloom.llm import html_text as H
 from fieldloom.llm.html_text import main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -49,3 +53,106 @@ def test_table(spark):
     got = {r.page_id: (r.url, r.n_chars) for r in html_text.extract(df).collect()}
     assert got == {1: ("u", 44), 2: (None, 0), None: ("u", 0)}
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+WORDS = "<p>" + "Some words, and more words here to read, with commas, and so on. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout no-sidebar", "post with-comments", "page-header-image post", "cookie-recipes article", "social-science post", "menu-planning post"])
+def test_names_about_something_else_cut_nothing(name):
+    page = f'<body><nav><a href=x>menu</a></nav><div class="{name}"><h1>T</h1>{WORDS}{WORDS}</div><div class="sidebar">Beside, it</div></body>'
+    assert main_text(page) == main_text(f"<h1>T</h1>{WORDS}{WORDS}") and len(main_text(page)) > 350
+
+
+def test_suspects_around_the_article_are_cleared_and_others_are_not():
+    want = main_text(f"<h1>T</h1>{WORDS}")
+    inner = f"<h1>T</h1>{WORDS}"
+    for page in (
+        f'<div class="wrap sidebar"><article>{inner}</article></div>', f"<form id=whole><div>{inner}</div></form>", f'<div class="site sidebar-right"><div>{inner}</div></div><div><p>Short, one.</p></div>',
+        f'<article>{inner}<div class="share">Share, this</div></article><div class="comments">{WORDS * 4}</div>', f'<div class="post">{inner}</div><section id="comment-list"><article class="comment">{WORDS * 4}</article></section>',
+        f'<div class="post">{inner}</div><aside>{WORDS * 3}</aside><div class="cookie-notice">{WORDS * 3}</div><div class="Sidebar_root__x7">{WORDS * 3}</div>',
+        f'<nav><ul><li>never closed<main>{inner}</main>', f'<div class="ad">never closed<article>{inner}</article>',
+    ):
+        assert main_text(page) == want, page
+
+
+def test_time_is_linear_in_depth():
+    start = time.time()
+    main_text("<article>" + "<b>" * 300_000 + "text")
+    main_text("<b>" * 100_000 + "</i>" * 100_000 + "x")
+    main_text("<div>" * 100_000 + "a, b, c")
+    main_text("<p><button><b>" + "<h2>" * 100_000 + "x")
+    assert time.time() - start < 20
+
+
+def naive(root):
+    """Characters, linked characters and points of every node, each worked out by itself from its whole subtree."""
+
+    def below(node):
+        yield node
+        for k in node.kids:
+            if isinstance(k, H.Node) and k.state != H.CUT:
+                yield from below(k)
+
+    def same_block(node, top=True):
+        for k in node.kids:
+            if isinstance(k, str):
+                yield node, k
+            elif k.state == H.PART and k.tag not in H.BLOCK:
+                yield from same_block(k, False)
+
+    def own_chars(node):
+        return len(" ".join("".join(k for k in node.kids if isinstance(k, str)).split()))
+
+    def chars(node):
+        return own_chars(node) + sum(chars(k) for k in node.kids if isinstance(k, H.Node) and k.state == H.PART)
+
+    def linked(node):
+        return chars(node) if node.tag == "a" else sum(linked(k) for k in node.kids if isinstance(k, H.Node) and k.state == H.PART)
+
+    points = {id(n): 0.0 for n in below(root)}
+    for node in below(root):
+        if (node.tag in H.BLOCK or node.state or node.up is None) and node.tag not in H.HEADINGS:
+            first = [k for k in node.kids if isinstance(k, str)]
+            rest = "".join(first) + "".join(t for n, t in same_block(node) if n is not node)
+            text = " ".join(rest.split())
+            if not text:
+                continue
+            value = (1 + sum(text.count(c) for c in ",،、，") + min(len(text) / H.LENGTH_POINT, H.LENGTH_MOST)) * min(1, len(text) / H.FULL_LENGTH)
+            value *= 1 - linked(node) / max(chars(node), 1)
+            at = node.up if node.tag in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and not node.state and node.up.tag != "#root" else node
+            for level in range(H.LEVELS):
+                if at.tag == "#root":
+                    break
+                points[id(at)] += value * (1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level))
+                if at.state:
+                    break
+                at = at.up
+    return {id(n): (chars(n), linked(n), points[id(n)]) for n in below(root)}
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        tag = rng.choice("div div section p p span b a ul li article h2 blockquote aside td".split())
+        name = rng.choice(["", "", "", " class=sidebar", " class='post'", " id=comments", " hidden"])
+        inner = random_page(rng, depth + 1) if depth < 4 and rng.random() < 0.6 else rng.choice(["word", "a, b, c, and  more", "longer text, with commas, " * rng.randint(1, 6), ""])
+        out.append(f"<{tag}{name}>{inner}</{tag}>" if rng.random() < 0.9 else f"<{tag}{name}>{inner}")
+    return "".join(out)
+
+
+def test_scores_equal_a_naive_scorer():
+    rng = random.Random(4)
+    for k in range(300):
+        root = H.tree(PAGE if k == 0 else random_page(rng))
+        order = H.measure(root)
+        want = naive(root)
+        for node in order:
+            got = (node.chars, node.linked, node.score)
+            # white space between a block's parts may be counted apart: characters are sums over elements in both
+            assert got == pytest.approx(want[id(node)], rel=1e-9, abs=1e-9), (k, node.tag)
+
+
+def test_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (1, None, "<p>x")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.n_chars) for r in H.extract(df).collect()) == [(1, 1), (1, 44), (1, 44)]
