@@ -51,3 +51,37 @@ def test_only_unseen_pairs_are_scanned(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.scan(df)[0].count() == 0
+
+
+def plain(found):
+    return sorted((r.doc_id, r.blob, [tuple(s) for s in r.spans]) for r in found.collect())
+
+
+def test_incremental_findings_equal_fresh_ones_for_every_rule_set(spark, tmp_path):
+    """Rules that get stricter, are dropped, or come back, over texts that change: what an old version found is not given."""
+    R = secret_scan.Rule
+    strict, loose = R("hex", 2, r"[0-9a-f]{32,}+"), R("hex", 3, r"[0-9a-f]{8,}+")
+    sets = [secret_scan.RULES, (secret_scan.BASE_RULES[0], strict), (strict,), (loose, *secret_scan.BASE_RULES[:2]), secret_scan.RULES, (secret_scan.BASE_RULES[1], secret_scan.BASE_RULES[0])]
+    pieces, path = texts(120), str(tmp_path / "ledger")
+    for k, rules in enumerate(sets):
+        rows = [(d, t if d % 3 else t + " 0123456789abcdef" * (k // 2)) for d, t in enumerate(pieces)]
+        df = spark.createDataFrame([*rows, (7, pieces[7]), (None, "deadbeef" * 5)], "doc_id long, text string").repartition(3)
+        fresh = secret_scan.findings(df, secret_scan.scan_unseen(df, None, rules), rules)
+        got = secret_scan.scan_into(df, path, rules)
+        key = lambda rows: sorted(rows, key=str)
+        assert key([tuple(map(str, r)) for r in got.collect()]) == key([tuple(map(str, r)) for r in fresh.collect()]), k
+        assert secret_scan.unseen(df, secret_scan.read_ledger(spark, path), rules).count() == 0
+    held = secret_scan.read_ledger(spark, path).selectExpr("blob", "explode(rules) as rule")
+    assert held.groupBy("blob", "rule").count().where("count > 1").count() == 0
+
+
+def test_a_ledger_row_that_is_there_twice(spark):
+    df = spark.createDataFrame([(1, "token=abcdefabcdef00")], "doc_id long, text string")
+    found, ledger = secret_scan.scan(df)
+    assert plain(secret_scan.findings(df, ledger.unionByName(ledger))) == plain(found)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000 + "token=abcdefabcdef00"
+    got = secret_scan.digests(secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]).first()
+    assert got.spans == f"assign:{len(text) - 20}:{len(text)}"
