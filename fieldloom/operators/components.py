@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder (spark.checkpoint.dir; a temporary one only if that is unset)."""
+    """Write df once to the shared checkpoint folder and cut its lineage.
+
+    The folder is the cluster's spark.checkpoint.dir. Where that is unset, a local session (tests, the bench) gets a
+    temporary folder; a cluster raises, since its executors would not find each other's files there.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldloom-"))
     return df.checkpoint(eager=True)
 
 
