@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpointed  # noqa: F401  the operators take it from here
+
 #: Upper and lower case letters that texts are folded by: A-Z only, so that "É" and "é" stay different.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: white space between words.
@@ -35,17 +36,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and cut its lineage.
-
-    The folder is the cluster's spark.checkpoint.dir; only a session without one (tests) gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint(eager=True)
-
-
 def folded(text):
     """The text with A-Z in lower case and nothing else changed; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -11,7 +11,7 @@
    (1 - 0.8 ** 6) ** 40 = 5e-6. The members of a bucket are joined to its least member, never to each other; the
    connected parts of that graph are candidate clusters, and no two sets of different clusters share a key.
 4. Verification. All pairs inside a cluster are compared on their full sets, so what banding found by chance counts for
-   nothing. A cluster is cut into blocks of about BLOCK sets or BLOCK_SHINGLES shingles, and a task compares two blocks
+   nothing. A cluster is cut into blocks of about BLOCK sets or BLOCK_SHINGLES shingles, and a group compares two blocks
    by one matrix product; it returns a spanning forest of the links, at most one row a set. A cluster of any size is
    spread over the tasks, and rows grow with its size times the number of its blocks, not with its pairs.
 5. Components of the links give each document the smallest id that it can reach.
@@ -34,7 +34,7 @@ from .common import checkpointed, raw_texts, small_batches, text_key, without, w
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 BLOCK, BLOCK_SHINGLES = 256, 400_000
-#: Ids of candidates are broadcast up to this many (some 40 MB); beyond, texts are shuffled to them.
+#: Tables of ids or nodes are broadcast up to this many rows (some 40 MB); beyond, they are shuffled.
 BROADCAST_ROWS = 400_000
 SLICE_DOCS, SLICE_BYTES, COLUMNS = 512, 2_000_000, 4096
 MAX_HASHES = 200_000
@@ -249,10 +249,24 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
     return connected_components(edges, "node", "_fl_least").withColumnRenamed("component", "cluster")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it has at most BROADCAST_ROWS rows.
+
+    Beyond, it is shuffled; as a checkpoint it has an exchange of its own, so AQE can split the other side at a hot key.
+    """
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def blocked(members: DataFrame) -> DataFrame:
-    """(cluster, i, j, part, ...) of (cluster, node, n_shingles, ...): each node once for each pair of blocks that it is in."""
-    size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_fl_blocks"))
-    placed = members.join(size, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_fl_blocks")).cast("int"))
+    """(cluster, i, j, part, ...) of (cluster, node, n_shingles, ...): each node once for each pair of blocks that it is in.
+
+    A cluster has as many blocks as its sets or shingles ask for, but no more than sets.
+    """
+    n = F.count(F.lit(1))
+    size = members.groupBy("cluster").agg(F.least(n, F.ceil(F.greatest(n / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("_fl_blocks"))
+    several = small(checkpointed(size.where("_fl_blocks > 1")))
+    placed = members.join(several, "cluster", "left").withColumn("_fl_blocks", F.coalesce("_fl_blocks", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("_fl_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_fl_blocks") - 1)).alias("_fl_other")
     return placed.select("*", other).withColumns({"i": F.least("part", "_fl_other"), "j": F.greatest("part", "_fl_other")}).drop("_fl_other", "_fl_blocks")
 
@@ -262,21 +276,25 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), text_key(F.col(text_col)).alias("_fl_key"))
     sketched = checkpointed(own.mapInArrow(_sketch(shingle), f"_fl_id {kind}, _fl_key long, node binary, n_shingles long, keys array<long>"))
-    nodes = checkpointed(sketched.where("node is not null").groupBy("node").agg(F.min("_fl_id").alias("_fl_first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")))
+    nodes = sketched.where("node is not null").groupBy("node").agg(F.min("_fl_id").alias("_fl_first"), F.count(F.lit(1)).alias("_fl_rows"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    nodes = checkpointed(nodes)
     clusters = checkpointed(candidate_clusters(nodes.select("node", "keys")).join(nodes.select("node", "_fl_first", "n_shingles"), "node"))
-    wanted = clusters.select(F.col("_fl_first").alias("_fl_want")).distinct()
-    if clusters.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small(checkpointed(clusters.select(F.col("_fl_first").alias("_fl_want")).distinct()))
     sets = own.join(wanted, F.col("_fl_id").eqNullSafe(F.col("_fl_want")), "left_semi").select("_fl_id", "_fl_text").mapInArrow(_sets(shingle), "node binary, shingles binary")
     parts = blocked(clusters.drop("_fl_first")).join(sets, "node").select("cluster", "i", "j", "node", "part", "shingles")
     parts = parts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = checkpointed(parts.mapInArrow(_verify(percent), "u binary, v binary"))
-    linked = connected_components(links)
-    named = nodes.select("node", "_fl_first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("_fl_first").alias("component_id"))
-    of_node = named.join(first, "component").select("node", "component_id")
-    out = sketched.select("_fl_id", "_fl_key", "node", "n_shingles").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("_fl_id")).otherwise(F.col("component_id"))
+
+    linked = checkpointed(connected_components(links).join(nodes.select("node", "_fl_first"), "node"))
+    first = small(checkpointed(linked.groupBy("component").agg(F.min("_fl_first").alias("component_id"))))
+    of_linked = checkpointed(linked.join(first, "component").select("node", "component_id"))
+    # a node of one row without a link is its own component, and needs no join
+    of_node = nodes.select("node", "_fl_first", "_fl_rows").join(small(of_linked), "node", "left").where("component_id is not null or _fl_rows > 1")
+    of_node = small(checkpointed(of_node.select(F.col("node").alias("_fl_node"), F.coalesce("component_id", "_fl_first").alias("component_id"))))
+    # rows without a set are linked with nothing; a key of their own spreads them
+    key = F.coalesce("node", F.xxhash64("_fl_id", "_fl_key").cast("string").cast("binary"))
+    out = sketched.select("_fl_id", "_fl_key", "n_shingles", key.alias("_fl_own")).join(of_node, F.col("_fl_own") == F.col("_fl_node"), "left")
+    component = F.coalesce("component_id", "_fl_id")
     return out.select("_fl_id", "_fl_key", "n_shingles", component.alias("component_id"), F.col("_fl_id").eqNullSafe(component).alias("kept"))
 
 

@@ -82,3 +82,10 @@ def test_empty_and_null_ids(spark):
     assert N.components(spark.createDataFrame([], schema)).count() == 0
     got = N.components(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], schema)).collect()
     assert sorted([(str(r.doc_id), r.component_id, r.kept) for r in got]) == [("3", 3, True), ("3", 3, True), ("None", 3, False)]
+
+
+def test_few_large_sets_are_few_blocks(spark):
+    members = spark.createDataFrame([("c", b"a", 4_000_000), ("c", b"b", 4_000_000), ("d", b"e", 5), ("d", b"f", 5)], "cluster string, node binary, n_shingles long")
+    got = N.blocked(members).collect()
+    assert sorted((r.cluster, bytes(r.node), r.i, r.j) for r in got if r.cluster == "d") == [("d", b"e", 0, 0), ("d", b"f", 0, 0)]
+    assert len([r for r in got if r.cluster == "c"]) == 4

@@ -71,7 +71,7 @@ def test_nulls_repeats_and_no_rows(spark):
 
 def test_mixing_keeps_as_large_a_share_at_every_size(spark):
     stage, kept = dict(corpus_pipeline.STAGES)["mixing"], []
-    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
         docs = spark.read.parquet(f"{sf}/documents.parquet")
         passed = quality.kept_documents(docs)
         kept.append(stage(spark, passed, sf).count() / passed.count())
