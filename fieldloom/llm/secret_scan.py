@@ -3,7 +3,7 @@
 Texts are content-addressed: every version of every path maps to the SHA-256 of its bytes. The ledger says which
 (blob, rule-version) pairs are scanned and what each rule version found. A scan takes the distinct hashes, leaves out the
 pairs that the ledger has, runs the remaining rules on one text of each remaining blob, adds the outcome to the ledger
-and joins findings of the rule versions asked for back to all paths. Only hashes are shuffled before the ledger has its
+and joins findings of the rule versions asked for back to all paths. Only hashes are shuffled before a ledger has its
 say, so a scan with nothing new moves no text. ``scan_into`` keeps the ledger as a Parquet table that is appended to.
 
 Positions without a UDF: the matches of a rule and the pieces between them (split by the same rule) alternate, so a
@@ -73,24 +73,28 @@ def _tags(rules):
     return F.array(*[F.lit(r.tag) for r in rules])
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unseen(docs: DataFrame, ledger: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(blob, _fl_first, rules) of the blobs that the ledger lacks under some of rules: the least id of one, the tags to run."""
     own = _texts(docs, id_col, text_col)
     blobs = own.select(blob_of(F.col("_fl_text")).alias("blob"), "_fl_id").groupBy("blob").agg(F.min("_fl_id").alias("_fl_first"))
-    if ledger is None:
-        return blobs.withColumn("rules", _tags(rules))
     seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("_fl_seen"))
     blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(_tags(rules), F.coalesce("_fl_seen", F.array().cast("array<string>"))))
     return blobs.where(F.size("rules") > 0).drop("_fl_seen")
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New ledger rows (blob, rules, spans) for the blobs of docs that the ledger lacks, or lacks under some rule version."""
-    todo = checkpointed(unseen(docs, ledger, rules, id_col, text_col))
-    if todo.count() <= BROADCAST_ROWS:
-        todo = F.broadcast(todo)
+    """New ledger rows (blob, rules, spans) for the blobs of docs that the ledger lacks, or lacks under some rule version.
+
+    Without a ledger every blob is unseen, and copies meet by their texts in one read.
+    """
     own = _texts(docs, id_col, text_col).withColumn("_fl_blob", blob_of(F.col("_fl_text")))
-    blobs = own.join(todo, (F.col("_fl_blob") == F.col("blob")) & F.col("_fl_id").eqNullSafe(F.col("_fl_first"))).select("blob", "rules", "_fl_text")
+    if ledger is None:
+        blobs = own.select(F.col("_fl_blob").alias("blob"), "_fl_text").distinct().withColumn("rules", _tags(rules))
+    else:
+        todo = checkpointed(unseen(docs, ledger, rules, id_col, text_col))
+        if todo.count() <= BROADCAST_ROWS:
+            todo = F.broadcast(todo)
+        blobs = own.join(todo, (F.col("_fl_blob") == F.col("blob")) & F.col("_fl_id").eqNullSafe(F.col("_fl_first"))).select("blob", "rules", "_fl_text")
     hits = blobs.withColumns({f"_fl_m{i}": F.when(F.array_contains("rules", r.tag), F.regexp_extract_all("_fl_text", F.lit(r.pattern), F.lit(0))) for i, r in enumerate(rules)})
 
     def measured(i: int, r: Rule):
@@ -102,7 +106,9 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, id_col:
         )
 
     hits = hits.select("blob", "rules", F.filter(F.array(*[measured(i, r) for i, r in enumerate(rules)]), lambda x: x.isNotNull()).alias("_fl_hits"))
-    kept = checkpointed(hits.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("_fl_hits").alias("_fl_hits")))  # a row that repeats an id and its text
+    if ledger is not None:  # a row may repeat an id and its text
+        hits = hits.groupBy("blob").agg(F.first("rules").alias("rules"), F.first("_fl_hits").alias("_fl_hits"))
+    kept = checkpointed(hits)
     each = kept.where(F.size("_fl_hits") > 0).select("blob", F.explode("_fl_hits").alias("h")).select("blob", "h.rule", F.posexplode("h.at").alias("pos", "at"))
     upto = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("end", F.sum(F.col("at.gap") + F.coalesce("at.len", F.lit(0))).over(upto).cast("int")).where("at.ok")
