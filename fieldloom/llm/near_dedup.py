@@ -241,12 +241,18 @@ def _verify(percent: int):
 
 
 def candidate_clusters(nodes: DataFrame) -> DataFrame:
-    """node, cluster of (node, keys): the connected parts of the graph that joins a bucket's members to its least."""
+    """node, cluster of (node, keys): the connected parts of the graph that joins a bucket's members to its least.
+
+    A node has a least in each of its buckets; it is joined to the smallest of them, and the others are too. Members of
+    a large cluster have the same few leasts, so that edges are about as many as nodes, not as bands.
+    """
     rows = nodes.select("node", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("node").alias("_fl_least"), F.max("node").alias("_fl_most")).where("_fl_least <> _fl_most").drop("_fl_most")
     least = checkpointed(least)  # so that AQE can split the join where a third of all rows share a key
-    edges = rows.join(least, "key").where("node <> _fl_least").select("node", "_fl_least").distinct()
-    return connected_components(edges, "node", "_fl_least").withColumnRenamed("component", "cluster")
+    own = rows.join(least, "key").groupBy("node").agg(F.array_sort(F.collect_set("_fl_least")).alias("_fl_leasts"))
+    ends = F.explode(F.array_append("_fl_leasts", F.col("node"))).alias("u")
+    edges = own.select(F.element_at("_fl_leasts", 1).alias("v"), ends)
+    return connected_components(edges).withColumnRenamed("component", "cluster")
 
 
 def small(table: DataFrame) -> DataFrame:
