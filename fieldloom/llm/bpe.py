@@ -1,22 +1,25 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last WINDOW bytes marks, among the starts of words, where a chunk begins; the same passage gives
-the same chunks in every document, wherever it stands. A worker keeps what it has encoded, by chunk and by word, in
-tables of a fixed size that outlive the task, and encodes only what it has not seen. At each chunk join, the words to
-both sides are encoded together; where that differs from what the chunks gave, the window grows by a word to each side
-until its ends agree, and replaces the words inside it.
-
-Exactness of cutting at words: the vocabulary's pre-tokenizer drops white space and never joins across it, its
-normaliser works on single characters and on marks after a base character, and blanks are neither; added tokens hold no
-blank. The joins are still verified, and tests hold whole texts against the library.
+the same chunks in every document, wherever it stands. A worker keeps the chunks that it has encoded in a table of a
+fixed size that outlives the task, and encodes only what it has not seen. At each chunk join, the words to both sides
+are encoded together and apart; where that differs, the two chunks become one, which is encoded anew, until all joins
+agree.
+
+Chunks are reused only with a tokenizer that is ``word_wise``: its pre-tokenizer drops white space and never joins
+across it, its normaliser works on single characters and on marks after a base character, and added tokens hold no
+blank. With any other tokenizer, whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import raw_texts, small_batches, worker_state
 
 WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(127)
-#: Bounds of the tables in a worker: words and chunks (in bytes of text).
-MAX_WORDS, MAX_ONCE, MAX_JOINS, MAX_CHUNK_BYTES = 200_000, 300_000, 50_000, 8_000_000
-#: Words of one call to the tokenizer, and a character between them whose token nothing else gives.
-GROUP, MARK, MARK_BYTE = 64, "\x01", b"\x01"
+#: Bounds of the tables in a worker: joins and chunks (in bytes of text).
+MAX_JOINS, MAX_CHUNK_BYTES = 100_000, 8_000_000
 PART_DOCS, PART_BYTES = 512, 2_000_000
+#: Bytes from which UTF-8 has characters beyond U+023F. Those below have no marks to compose and one lower-case form,
+#: so that str.lower() can stand for the normaliser (each worker compares them all first).
+LATIN = 0x240
+BEYOND_LATIN = re.compile(rb"[\xc9-\xff]")
 
 
 def _blank_table() -> np.ndarray:
@@ -84,6 +89,34 @@ class Kept(dict):
                 del self[k]
 
 
+def _steps(part: dict | None, key: str) -> list[dict]:
+    return [] if part is None else part[key] if part["type"] == "Sequence" else [part]
+
+
+def word_wise(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) encodes each word by itself, so that texts may be cut at blanks; no doubtful case is."""
+    pre, norm = _steps(spec.get("pre_tokenizer"), "pretokenizers"), _steps(spec.get("normalizer"), "normalizers")
+    if not pre or pre[0]["type"] != "Split" or pre[0]["behavior"] != "Removed" or not pre[0]["invert"] or "Regex" not in pre[0]["pattern"]:
+        return False
+    pattern = re.sub(r"\[\^\\s[^\]]*\]", "", pre[0]["pattern"]["Regex"])  # what is left must match no blank
+    return (
+        not any(x in pattern for x in (" ", ".", "[^", "(?", "\\s", "\\S", "\\W", "\\D", "\\P"))
+        and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in pre[1:])
+        and all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in norm)
+        and spec.get("decoder") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE"
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or len(x["content"].split()) != 1 for x in spec.get("added_tokens", ()))
+    )
+
+
+class Chunk(NamedTuple):
+    """An encoded chunk: ids as int32 bytes, its tokens joined by a blank, its first and last word (empty if it has none)."""
+
+    ids: bytes
+    tokens: str
+    first: bytes
+    last: bytes
+
+
 class Encoder:
     """Encodes whole texts as tokenizer.encode(text, add_special_tokens=False), decodes as decode(ids, skip_special_tokens=False)."""
 
@@ -91,126 +124,97 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.loads(json_text)
+        self.word_wise = word_wise(spec)
         self.tokenizer = Tokenizer.from_str(json_text)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = alone[0] if len(alone) == 1 else None
-        self.words: dict[bytes, tuple[bytes, str]] = {}
-        self.once: set[int] = set()  # hashes of words seen in one call so far
+        self.added = [x["content"].lower() for x in spec.get("added_tokens", ())]
+        self.bare = None  # the tokenizer for Latin texts in lower case, which need no normaliser
+        if self.word_wise and "Lowercase" in {x["type"] for x in _steps(spec.get("normalizer"), "normalizers")}:
+            bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "padding": None, "truncation": None}))
+            each = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}a" for c in range(LATIN)]
+            same = zip(self._ids(self.tokenizer, each), self._ids(bare, [x.lower() for x in each]), strict=True)
+            self.bare = bare if all(x == y for x, y in same) else None
         self.chunks, self.joins, self.chunk_bytes, self.seen, self.reused = Kept(), Kept(), 0, 0, 0
 
-    def _encode(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
-        """(ids as int32 bytes, tokens joined by a blank) of each text."""
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-        return [(np.array(e.ids, dtype=np.int32).tobytes(), self.decoded(e.ids)) for e in found]
-
-    def decoded(self, ids: list[int]) -> str:
-        return " ".join([self.token[i] for i in ids])
-
-    def _encode_words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        """As _encode, for words without blanks or the mark: GROUP words to a call, told apart by the mark's token."""
-        sep = f" {MARK} "
-        groups = [sep.join([w.decode("utf-8", "replace") for w in words[k : k + GROUP]]) for k in range(0, len(words), GROUP)]
-        out: list[tuple[bytes, str]] = []
-        token = self.token
-        for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False):
-            ids = e.ids
-            held, names = np.array(ids, dtype=np.int32), [token[i] for i in ids]
-            ends = np.flatnonzero(held == self.mark).tolist()
-            raw, a = held.tobytes(), 0
-            for b in (*ends, len(ids)):
-                out.append((raw[4 * a : 4 * b], " ".join(names[a:b])))
-                a = b + 1
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, parts: list[bytes]) -> list[list[int]]:
+        """The ids of texts, by the tokenizer without its normaliser where that is known to be the same."""
+        texts, plain = [], []
+        for x in parts:
+            text = x.decode("utf-8", "replace")
+            if self.bare is not None and not BEYOND_LATIN.search(x):
+                low = text.lower()
+                plain.append(not any(t in low for t in self.added))
+                texts.append(low if plain[-1] else text)
+            else:
+                plain.append(False)
+                texts.append(text)
+        out: list = [None] * len(parts)
+        for tokenizer, own in ((self.bare, True), (self.tokenizer, False)):
+            at = [i for i, p in enumerate(plain) if p is own]
+            if at:
+                for i, ids in zip(at, self._ids(tokenizer, [texts[i] for i in at]), strict=True):
+                    out[i] = ids
         return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """What each word encodes to. Words met in a second call are kept, so that the table fills with frequent ones."""
-        kept = self.words
-        out = {w: kept[w] for w in words if w in kept}
-        todo = [w for w in words if w not in kept]
-        plain = [w for w in todo if MARK_BYTE not in w] if self.mark is not None else []
-        if plain:
-            out.update(zip(plain, self._encode_words(plain), strict=True))
-        if len(plain) < len(todo):
-            rest = [w for w in todo if w not in out]
-            out.update(zip(rest, self._encode(rest), strict=True))
-        if len(kept) < MAX_WORDS:
-            once = self.once
-            kept.update((w, out[w]) for w in todo if hash(w) in once)
-            once.update(map(hash, todo))
-            if len(once) > MAX_ONCE:
-                once.clear()
-        return out
+    def _add(self, fresh: list[bytes]) -> None:
+        """Encode chunks and put them in the table."""
+        token = self.token
+        for c, ids in zip(fresh, self._encode(fresh), strict=True):
+            words = c.split(None, 1)
+            last = c.rsplit(None, 1)
+            self.chunks[c] = Chunk(np.array(ids, dtype=np.int32).tobytes(), " ".join([token[i] for i in ids]), words[0] if words else b"", last[-1].strip() if words else b"")
+            self.chunk_bytes += len(c)
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
         """ids (int32 bytes) and decoded text of each text."""
+        if not self.word_wise:
+            found = self._ids(self.tokenizer, [x.decode("utf-8", "replace") for x in texts])
+            return [np.array(x, dtype=np.int32).tobytes() for x in found], self.tokenizer.decode_batch(found, skip_special_tokens=False)
         cut = [chunks(t) for t in texts]
+        fresh = list(dict.fromkeys(c for own in cut for c in own if c not in self.chunks))
         self.seen += sum(map(len, cut))
-        fresh = {c: c.split() for c in {c for own in cut for c in own} if c not in self.chunks}
         self.reused += sum(map(len, cut)) - len(fresh)
-        of = self.learn(set().union(*fresh.values()))
-        for c, words in fresh.items():
-            ids_of, names_of = zip(*[of[w] for w in words], strict=True) if words else ((), ())
-            self.chunks[c] = (b"".join(ids_of), " ".join(filter(None, names_of)), words[0] if words else b"", words[-1] if words else b"")
-            self.chunk_bytes += len(c)
+        self._add(fresh)
         known = self.chunks
-        ends = {(known[a][3], known[b][2]) for own in cut for a, b in pairwise(own)}
-        bad = self.disagreeing(ends)
+        bad = self.disagreeing({(known[a].last, known[b].first) for own in cut for a, b in pairwise(own)})
         ids, decoded = [], []
-        for text, own in zip(texts, cut, strict=True):
-            parts = [known[c] for c in own]
-            if bad and any((a[3], b[2]) in bad for a, b in pairwise(parts)):
-                i, d = self.repaired(text, own)
-            else:
-                i, d = b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
-            ids.append(i)
-            decoded.append(d)
+        for own in cut:
+            parts = self.repaired(own) if bad and any((known[a].last, known[b].first) in bad for a, b in pairwise(own)) else [known[c] for c in own]
+            ids.append(b"".join([p.ids for p in parts]))
+            decoded.append(" ".join([p.tokens for p in parts if p.tokens]))
         if self.chunk_bytes > MAX_CHUNK_BYTES:
             self.chunks.trim(len(self.chunks) // 2)
             self.chunk_bytes = sum(map(len, self.chunks))
         return ids, decoded
 
-    def disagreeing(self, ends: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+    def disagreeing(self, joins: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
         """The joins (last word, first word) whose words, encoded together, differ from the two apart."""
         self.joins.trim(MAX_JOINS)
-        todo = [e for e in ends if e not in self.joins]
-        of = self.learn({w for e in todo for w in e if w})
-        both = self.tokenizer.encode_batch_fast([(a + b" " + b).decode("utf-8", "replace") for a, b in todo], add_special_tokens=False)
-        for e, x in zip(todo, both, strict=True):
-            apart = b"".join(of[w][0] for w in e if w)
-            self.joins[e] = np.array(x.ids, dtype=np.int32).tobytes() == apart
-        return {e for e in ends if not self.joins[e]}
-
-    def repaired(self, text: bytes, own: list[bytes]) -> tuple[bytes, str]:
-        """Words around each join are encoded together in a growing window until its outer words come out as they do alone."""
-        words, joins = [], []
-        for c in own:
-            if words:
-                joins.append(len(words))
-            words += c.split()
-        of = self.learn(set(words))
-        done: list[tuple[int, int, bytes]] = []  # windows, and what they hold instead
-        for j in joins:
-            reach = 1
-            while True:
-                a, b = max(0, j - reach), min(len(words), j + reach)
-                while done and done[-1][1] > a:
-                    a = min(a, done.pop()[0])
-                got = self._encode([b" ".join(words[a:b])])[0][0]
-                outer = (a == 0 or got.startswith(of[words[a]][0])) and (b == len(words) or got.endswith(of[words[b - 1]][0]))
-                if a == 0 and b == len(words) or reach > 1 and outer:
-                    done.append((a, b, got))
-                    break
-                reach += 1
-        out, at = [], 0
-        for a, b, got in done:
-            out += [of[w][0] for w in words[at:a]]
-            out.append(got)
-            at = b
-        ids = b"".join(out + [of[w][0] for w in words[at:]])
-        return ids, self.decoded(np.frombuffer(ids, dtype=np.int32).tolist())
+        todo = [x for x in joins if x not in self.joins]
+        words = list({w for x in todo for w in x})
+        alone = dict(zip(words, self._encode(words), strict=True))
+        for (a, b), ids in zip(todo, self._encode([a + b" " + b for a, b in todo]), strict=True):
+            self.joins[a, b] = ids == alone[a] + alone[b]
+        return {x for x in joins if not self.joins[x]}
+
+    def repaired(self, own: list[bytes]) -> list[Chunk]:
+        """The chunks of a text, where those to both sides of a join that disagrees are one, encoded anew."""
+        out = own[:1]
+        for c in own[1:]:
+            self._add([x for x in (out[-1], c) if x not in self.chunks])
+            if self.disagreeing({(self.chunks[out[-1]].last, self.chunks[c].first)}):
+                out[-1] += c
+            else:
+                out.append(c)
+        self._add([x for x in out if x not in self.chunks])
+        return [self.chunks[x] for x in out]
 
 
 def encoder(json_text: str) -> Encoder:
@@ -257,7 +261,8 @@ def _run(json_text: str):
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, ids (array<int>), decoded.
 
-    tokenizer_path is read on the driver and its content goes to the workers. Null texts count as empty and have no ids;
+    tokenizer_path is read on the driver and its content goes to the workers; chunks are reused if the tokenizer is
+    word_wise, else whole texts go to it. Null texts count as empty and have no ids;
     whole texts are encoded, however long; repeated ids give repeated rows; an empty table gives none; other columns
     are ignored.
     """

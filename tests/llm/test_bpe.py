@@ -47,16 +47,57 @@ def test_chunks_are_content_defined():
     assert len(set(a) & set(b)) >= len(a) - 3 > 5
 
 
-def test_repair_replaces_a_join_that_disagrees(library):
+def test_repair_joins_chunks_until_they_agree(library):
+    """As if words joined across a blank: every join is held to disagree, then every other one."""
+    import numpy as np
+
     with open(PATH) as f:
         own = bpe.Encoder(f.read())
-    text = " ".join(texts(30)).encode()
+    text = " ".join(texts(1500)).encode()
     cut = bpe.chunks(text)
-    ids, decoded = own.repaired(text, cut)
+    assert len(cut) > 4
+    want = library.encode(text.decode(), add_special_tokens=False).ids
+    disagreeing = own.disagreeing
+    for bad in (lambda x: True, lambda x: hash(x) % 2):
+        own.chunks.clear()
+        own.disagreeing = lambda joins, bad=bad: {x for x in joins if bad(x)}
+        parts = own.repaired(cut)
+        assert len(parts) < len(cut) and np.frombuffer(b"".join(p.ids for p in parts), dtype=np.int32).tolist() == want
+    own.disagreeing = disagreeing
+    assert own.disagreeing({(b"the", b"The"), (b"", b"a"), (b"don'", b"t")}) == set()
+    own.tokenizer = own.bare = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.disagreeing({(b"quick", b"brown")}) == {(b"quick", b"brown")}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_vocabulary_equals_the_library(name):
     import numpy as np
 
-    want = library.encode(text.decode(), add_special_tokens=False).ids
-    assert np.frombuffer(ids, dtype=np.int32).tolist() == want and decoded == library.decode(want, skip_special_tokens=False)
+    path = public_tokenizers.path(name)
+    other = Tokenizer.from_file(path)
+    with open(path) as f:
+        own = bpe.Encoder(f.read())
+    assert own.word_wise == name.startswith("word")
+    every = texts(200) + ["<|ENDOFTEXT|> x", "<|endoftext|>y <|StartOfText|>", "İstanbul Σας É " * 200]
+    ids, decoded = own.encode([t.encode() for t in every])
+    for t, i, d in zip(every, ids, decoded, strict=True):
+        want = other.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(i, dtype=np.int32).tolist() == want and d == other.decode(want, skip_special_tokens=False), t
+
+
+def test_latin_characters_need_no_normaliser():
+    with open(PATH) as f:
+        assert bpe.Encoder(f.read()).bare is not None
+
+
+def test_a_very_long_text(library):
+    import numpy as np
+
+    with open(PATH) as f:
+        own = bpe.Encoder(f.read())
+    text = " ".join(texts(4000)) + "x" * 100_000
+    ids, _ = own.encode([text.encode()])
+    assert np.frombuffer(ids[0], dtype=np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_table(spark, library):
