@@ -67,7 +67,7 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple]:
 
     message is complete in itself; start opens a message; delta adds to the latest message of the key and opens one if
     there is none; edit replaces its text; regenerate empties it for new deltas; delete takes it away. An unknown event
-    raises. Null roles and texts count as empty.
+    raises, a null one changes nothing. Null roles and texts count as empty.
     """
     key, role, parts, is_open = None, "", [], False
     for at, event, who, text in events:
@@ -75,6 +75,8 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple]:
             yield key, role, "".join(parts)
             is_open = False
         key = at
+        if event is None:
+            continue
         if event in ("message", "start"):
             role, parts, is_open = who or "", [text or ""], True
         elif event == "delta":

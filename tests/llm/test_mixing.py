@@ -88,3 +88,10 @@ def test_scarce_domains_do_not_thin_clean_documents(spark, monkeypatch):
     few = {"clean": 0.99, "low": 0.001, "toxic": 0.009}
     left = {r.doc_id for r in M.thinned(docs, lab, few).collect()}
     assert {k for k in range(400) if k % 50 != 1} <= left and len(left) < 398
+
+
+def test_a_very_long_text_and_repeated_ids(spark):
+    rows = [(1, "w1 w2 " * 200_000), (1, "w1"), (1, "w1"), (2, "junk")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 1), (1, 1), (1, 400_000), (2, 1)]

@@ -48,3 +48,9 @@ def test_table(spark):
     out = sorted(pii.scan(df).select("doc_id", "n_email", "spans").collect(), key=str)
     assert [tuple(r) for r in out] == [(1, 1, "email:5:12"), (1, 1, "email:5:12"), (2, 0, ""), (None, 0, "")]
     assert pii.scan(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    text = "word 1 " * 300_000 + "a@b.example"
+    got = pii.scan(spark.createDataFrame([(1, text), (1, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_email, r.spans.split(",")[-1]) for r in got) == [(0, ""), (1, f"email:{len(text) - 11}:{len(text)}")]

@@ -109,3 +109,9 @@ def test_every_language_has_its_reference(spark, monkeypatch):
     left = Q.kept_documents(df)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {d for d, r in whole.items() if r[-1]}
     assert all(whole[d][-1] for d, *_ in rows if d < 902)
+
+
+def test_a_very_long_text_and_repeated_ids(spark):
+    rows = [(1, " ".join(f"w{k}" for k in range(300_000)), "en"), (1, "a b", "en"), (1, "a b", None)]
+    got = Q.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r.n_words, r.base_failed) for r in got) == [(2, True), (2, True), (300_000, False)]
