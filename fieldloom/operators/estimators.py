@@ -22,6 +22,8 @@ from .components import checkpointed
 
 #: Stations whose matrices come to the driver.
 MAX_STATIONS = 500
+#: Nodes of a matrix that is inverted on the driver and broadcast.
+SOLVE_NODES = 2_000
 LINEAR = "fold string, station string, weight double, centre double, offset double"
 
 
@@ -461,25 +463,79 @@ def pca_basis(field: DataFrame, k: int) -> DataFrame:
     return out.withColumn("node", F.col("node").cast(kinds))
 
 
+def combined(terms: list[tuple[float, DataFrame]], identity: float = 0.0) -> DataFrame:
+    """The tall matrix (i, j, value) of sum of c * M + identity * I."""
+    rows = None
+    for c, m in terms:
+        own = m.select("i", "j", (F.col("value") * c).alias("value"))
+        rows = own if rows is None else rows.unionByName(own)
+    if identity:
+        rows = rows.unionByName(rows.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(float(identity)).alias("value")))
+    return rows.groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
 def solve_field(source: DataFrame, terms: list[tuple[float, DataFrame]], identity: float = 0.0) -> DataFrame:
-    """(t, node, z) with (sum of c * M + identity * I) z = source, for all times with one factorisation.
+    """(t, node, z) with (sum of c * M + identity * I) z = source for all times; the matrix is symmetric and positive.
 
-    source is (t, node, z), a missing node counts as 0. The inverse of a graph of up to DENSE_NODES nodes is a table, so
-    that times stay distributed: a join with a sum.
+    source is (t, node, z); a missing node counts as 0, a node outside the matrix is left out. A matrix of up to
+    SOLVE_NODES nodes is inverted once, sent to the executors (32 MB at most) and applied to a time's nodes at a time;
+    a larger one stays a table, see conjugate_gradients.
     """
-    from . import graph
+    matrix = checkpointed(combined(terms, identity))
+    nodes = [r[0] for r in matrix.select("i").distinct().orderBy("i").limit(SOLVE_NODES + 1).collect()]
+    if len(nodes) > SOLVE_NODES:
+        return conjugate_gradients(source, matrix)
+    rows, place = matrix.toArrow().to_pydict(), {n: k for k, n in enumerate(nodes)}
+    dense = np.zeros((len(nodes), len(nodes)))
+    dense[[place[i] for i in rows["i"]], [place[j] for j in rows["j"]]] = rows["value"]
+    held = source.sparkSession.sparkContext.broadcast((nodes, np.linalg.inv(dense)))
+    kind = source.schema["t"].dataType.simpleString(), source.schema["node"].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
 
-    first = graph.dense(terms[0][1])
-    nodes, a = first[0], terms[0][0] * first[1]
-    for c, m in terms[1:]:
-        own, d = graph.dense(m)
-        if own != nodes:
-            raise ValueError("matrices are over different nodes")
-        a = a + c * d
-    inverse = np.linalg.inv(a + identity * np.eye(len(nodes)))
-    rows = [(nodes[i], nodes[j], float(inverse[i, j])) for i in range(len(nodes)) for j in range(len(nodes))]
-    table = source.sparkSession.createDataFrame(rows, ["_to", "node", "_g"])
-    return source.join(table, "node").groupBy("t", F.col("_to").alias("node")).agg(F.sum(F.col("_g") * F.col("z")).alias("z"))
+        nodes, inverse = held.value
+        place = {n: k for k, n in enumerate(nodes)}
+        for df in frames:
+            b = np.zeros((len(df), len(nodes)))
+            for row, own in enumerate(df["own"]):
+                for x in own:
+                    if x["node"] in place:
+                        b[row, place[x["node"]]] += x["z"]
+            yield pd.DataFrame({"t": df["t"].repeat(len(nodes)), "node": np.tile(np.array(nodes), len(df)), "z": (b @ inverse).ravel()})
+
+    by_time = source.where("z is not null").groupBy("t").agg(F.collect_list(F.struct("node", "z")).alias("own"))
+    return by_time.mapInPandas(run, f"t {kind[0]}, node {kind[1]}, z double")
+
+
+def conjugate_gradients(source: DataFrame, matrix: DataFrame, close: float = 1e-10, rounds: int = 1000, checkpoint_every: int = 5) -> DataFrame:
+    """(t, node, z) with matrix z = source, for a symmetric positive tall matrix of any size, by diagonally scaled conjugate gradients.
+
+    A step multiplies by the matrix (a join with a sum) for all times at once; a time's step lengths are sums over its
+    nodes, so only one number a time is joined back. Steps end when every time's residual is close times its source, or
+    after so many rounds (RuntimeError). Nothing but the times' count that are not done comes to the driver.
+    """
+    diagonal = matrix.where("i = j").select(F.col("i").alias("node"), F.col("value").alias("_d"))
+    off = matrix.select(F.col("j").alias("node"), F.col("i").alias("_to"), "value")
+    own = source.where("z is not null").groupBy("t", "node").agg(F.sum("z").alias("b"))
+    every = own.select("t").distinct().join(diagonal).join(own, ["t", "node"], "left")
+    b = F.coalesce("b", F.lit(0.0))
+    now = every.select("t", "node", "_d", F.lit(0.0).alias("z"), b.alias("r"), (b / F.col("_d")).alias("p"))
+    sizes = checkpointed(now.groupBy("t").agg(F.sum(F.col("r") * F.col("r")).alias("_size")))
+    for k in range(1, rounds + 1):
+        now = checkpointed(now) if k % checkpoint_every == 1 else now
+        image = now.select("t", "node", "p").join(off, "node").groupBy("t", F.col("_to").alias("node")).agg(F.sum(F.col("value") * F.col("p")).alias("q"))
+        both = checkpointed(now.join(image, ["t", "node"]))
+        length = both.groupBy("t").agg(F.try_divide(F.sum(F.col("r") * F.col("r") / F.col("_d")), F.sum(F.col("p") * F.col("q"))).alias("_a"), F.sum(F.col("r") * F.col("r") / F.col("_d")).alias("_old"))
+        a = F.coalesce("_a", F.lit(0.0))
+        moved = both.join(length, "t").select("t", "node", "_d", "p", "_old", (F.col("z") + a * F.col("p")).alias("z"), (F.col("r") - a * F.col("q")).alias("r"))
+        moved = checkpointed(moved)
+        left = moved.groupBy("t").agg(F.sum(F.col("r") * F.col("r")).alias("_left"), F.sum(F.col("r") * F.col("r") / F.col("_d")).alias("_new"))
+        if left.join(sizes, "t").where(F.col("_left") > close * close * F.col("_size")).isEmpty():
+            return moved.select("t", "node", "z")
+        turn = F.coalesce(F.try_divide("_new", "_old"), F.lit(0.0))
+        now = moved.join(left, "t").select("t", "node", "_d", "z", "r", (F.col("r") / F.col("_d") + turn * F.col("p")).alias("p"))
+    raise RuntimeError(f"not solved after {rounds} steps")
 
 
 def screened_poisson(source: DataFrame, diffusion_matrix: DataFrame, mass: DataFrame, diffusion: float, absorption: float) -> DataFrame:

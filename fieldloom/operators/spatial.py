@@ -19,22 +19,24 @@ from .components import checkpointed
 SMALL_SIDE = 20_000
 
 
-def small(df: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
-    """df, to be broadcast; raises if it has more rows than that allows."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: give a radius, or use the bucketed joins")
-    return F.broadcast(df)
+def is_small(df: DataFrame) -> bool:
+    return df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
 
 
 def all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a.*, b.*, d) of two tables of (id, x, y) whose columns end in _a and _b; b is small."""
+    """(a.*, b.*, d) of two tables of (id, x, y) whose columns end in _a and _b.
+
+    The smaller side is broadcast if it is small; else both are dealt in blocks and each block meets each (the result
+    has that many rows anyhow).
+    """
     left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns])
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
-    return left.join(small(right)).withColumn("d", distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")))
+    pairs = left.join(F.broadcast(right)) if is_small(b) else F.broadcast(left).join(right) if is_small(a) else left.hint("shuffle_replicate_nl").join(right)
+    return pairs.withColumn("d", distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")))
 
 
 def cell(v: Column, size: float) -> Column:
-    return F.floor(v / size)
+    return F.floor(v / size).cast("long")
 
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -51,30 +53,71 @@ def _nearest_of(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.groupBy(*keep).agg(F.min(F.struct("d", "id_b")).alias("_m")).select(*[F.col(f"{c}_a").alias(c) for c in points.columns], F.col("_m.id_b").alias("nearest"), F.col("_m.d").alias("d"))
 
 
-def nearest(points: DataFrame, nodes: DataFrame, size: float | None = None) -> DataFrame:
-    """points with the id of the nearest node and its distance; of equals, the least id. Both have (id, x, y).
+def _placed(x: str = "x", y: str = "y") -> Column:
+    """Whether both coordinates are numbers."""
+    return F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+
 
-    Few nodes are broadcast. Otherwise points look into the cells around them; those that find a node no farther than a
-    cell's size are settled, the others try again with cells of twice the size.
+def _settled(points: DataFrame, others: DataFrame, size: float, found_in, columns: dict[str, str]) -> DataFrame:
+    """points with what found_in(points, size) finds near them, for sizes that double until all are settled.
+
+    A point is settled by what is no farther than size, for found_in sees all that near. Points without a place, and all
+    points if there are no others, get nulls; so the search ends once size spans all places.
     """
-    if size is None or nodes.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE:
-        return _nearest_of(all_pairs(points, nodes), points)
-    done, todo = None, points
+    placed = points.where(_placed())
+    done = points.where(~_placed()).select("*", *[F.lit(None).cast(k).alias(c) for c, k in columns.items()])
+    if others.isEmpty():
+        return done.unionByName(placed.select("*", *[F.lit(None).cast(k).alias(c) for c, k in columns.items()]))
+    todo = placed
     while True:
-        found = checkpointed(_nearest_of(radius_join(todo, nodes, size), points))
-        done = found if done is None else done.unionByName(found)
+        found = checkpointed(found_in(todo, size).where(F.col("d") <= size))
+        done = done.unionByName(found)
         todo = checkpointed(todo.join(found.select("id"), "id", "left_anti"))
         if todo.isEmpty():
             return done
         size *= 2
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points (id, x, y) with the nearest edge (u, v) of (u, v, ax, ay, bx, by) and its distance; of equals, the least (u, v)."""
+def nearest(points: DataFrame, nodes: DataFrame, size: float | None = None, cells: bool = False) -> DataFrame:
+    """points with the id of the nearest node and its distance; of equals, the least id. Both have (id, x, y).
+
+    Few nodes are broadcast, unless cells says otherwise. Else points look into the cells around them; those that find a
+    node no farther than a cell's size are settled, the others try again with cells of twice the size. Points without a
+    place (null or NaN) get null, nodes without one are no node's nearest.
+    """
+    nodes = nodes.where(_placed())
+    if size is None or not cells and is_small(nodes):
+        near = _nearest_of(all_pairs(points.where(_placed()), nodes), points)
+        kinds = {c: k for c, k in near.dtypes if c in ("nearest", "d")}
+        if nodes.isEmpty():
+            return points.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+        return near.unionByName(points.where(~_placed()).select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]))
+    kinds = {"nearest": dict(nodes.dtypes)["id"], "d": "double"}
+    # radius_join has what is nearer than its radius; a node at exactly the size is found with a hair more
+    return _settled(points, nodes, size, lambda todo, s: _nearest_of(radius_join(todo, nodes, s * (1 + 1e-9)), points), kinds)
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, size: float | None = None, cells: bool = False) -> DataFrame:
+    """points (id, x, y) with the nearest edge (u, v) of (u, v, ax, ay, bx, by) and its distance; of equals, the least (u, v).
+
+    As nearest: few edges are broadcast; many lie in all the cells that their bounding boxes meet, and points look into
+    the nine cells around them.
+    """
+    edges = edges.where(_placed("ax", "ay") & _placed("bx", "by"))
     d = segment_distance(*[F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")])
-    pairs = points.join(small(edges)).withColumn("d", d)
-    best = pairs.groupBy("id", "x", "y").agg(F.min(F.struct("d", "u", "v")).alias("_m"))
-    return best.select("id", "x", "y", F.col("_m.u").alias("u"), F.col("_m.v").alias("v"), F.col("_m.d").alias("d"))
+    best = lambda pairs: pairs.withColumn("d", d).groupBy("id", "x", "y").agg(F.min(F.struct("d", "u", "v")).alias("_m")).select("id", "x", "y", F.col("_m.u").alias("u"), F.col("_m.v").alias("v"), F.col("_m.d").alias("d"))
+    kinds = {"u": dict(edges.dtypes)["u"], "v": dict(edges.dtypes)["v"], "d": "double"}
+    points = points.select("id", "x", "y")
+    if size is None or not cells and is_small(edges):
+        return _settled(points, edges, float("inf"), lambda todo, s: best(todo.join(F.broadcast(edges) if is_small(edges) else edges.hint("shuffle_replicate_nl"))), kinds)
+
+    def found_in(todo: DataFrame, s: float) -> DataFrame:
+        span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b), s), cell(F.greatest(a, b), s)))
+        placed = edges.withColumn("_i", span("ax", "bx")).withColumn("_j", span("ay", "by")).withColumn("_cell", F.struct("_i", "_j")).drop("_i", "_j")
+        around = F.array(*[F.struct((cell(F.col("x"), s) + i).alias("_i"), (cell(F.col("y"), s) + j).alias("_j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        return best(todo.withColumn("_cell", F.explode(around)).join(placed, "_cell"))
+
+    return _settled(points, edges, size, found_in, kinds)
 
 
 def nearest_cell(v: Column, start: float, step: float, n: int) -> Column:
@@ -94,10 +137,14 @@ def kernel_mean(points: DataFrame, values: DataFrame, kernel: Callable[[Column],
     return weighted.groupBy(F.col("id_a").alias("id")).agg((F.sum(F.col("_w") * F.col("z_b")) / F.sum("_w")).alias("estimate"))
 
 
-def kernel_features(points: DataFrame, pixels: DataFrame, kernel: Callable[[Column], Column], colours: dict[str, int], normalise: bool = False) -> DataFrame:
-    """Per point and t, the kernel's sum over the pixels (id, x, y, t, colour) of each colour; optionally by its sum over all pixels."""
+def kernel_features(points: DataFrame, pixels: DataFrame, kernel: Callable[[Column], Column], colours: dict[str, int], normalise: bool = False, cut: float | None = None) -> DataFrame:
+    """Per point and t, the kernel's sum over the pixels (id, x, y, t, colour) of each colour; optionally by its sum over all pixels.
+
+    With cut, only pixels nearer than that count, found by cells. A pixel's colours of one t are counted first.
+    """
     places = pixels.select("id", "x", "y").distinct()
-    weights = all_pairs(points, places).withColumn("_w", kernel(F.col("d"))).select(F.col("id_a").alias("point"), F.col("id_b").alias("id"), "_w")
+    pairs = all_pairs(points, places) if cut is None else radius_join(points, places, cut)
+    weights = pairs.withColumn("_w", kernel(F.col("d"))).select(F.col("id_a").alias("point"), F.col("id_b").alias("id"), "_w")
     total = weights.groupBy("point").agg(F.sum("_w").alias("_all"))
     sums = pixels.select("id", "t", "colour").join(weights, "id").groupBy("point", "t").agg(*[F.sum(F.when(F.col("colour") == k, F.col("_w")).otherwise(0.0)).alias(c) for c, k in colours.items()])
     if not normalise:

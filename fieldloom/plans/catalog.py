@@ -57,12 +57,12 @@ def global_mean(x: Tables) -> DataFrame:
     return x.panel().agg(r6(F.avg("z"), "mean"), r6(F.median("z"), "median"), F.count(F.lit(1)).alias("n"))
 
 
-@query("snapshot_weighted_invvar", "select a.station, a.t, round(sum(b.z * w) / sum(w), 6) estimate from sparse a join sparse b on a.t = b.t and a.station <> b.station join (select station, 1 / var_samp(z) w from sparse group by 1) v on v.station = b.station where a.t % 24 = 0 group by 1, 2", ("sparse",))
+@query("snapshot_weighted_invvar", "select a.station, a.t, round(sum(b.z * w) / sum(w), 6) estimate from sparse a join sparse b on a.t = b.t and a.station <> b.station join (select station, 1 / var_samp(z) w from sparse group by 1) v on v.station = b.station group by 1, 2", ("sparse",))
 def snapshot_weighted_invvar(x: Tables) -> DataFrame:
     from ..operators.estimators import InverseVariance
 
     p, e = x.sparse(), InverseVariance()
-    out = e.predict(e.fit(p), p.where("t % 24 = 0")).where("estimate is not null")
+    out = e.predict(e.fit(p), p).where("estimate is not null")
     return out.select(F.col("fold").alias("station"), "t", r6("estimate", "estimate"))
 
 
@@ -160,9 +160,9 @@ def standardise(x: Tables) -> DataFrame:
     return P.standardised(x.sparse(), "z", ["station"]).groupBy("station").agg(r6(F.min("standardised"), "low"), r6(F.max("standardised"), "high"))
 
 
-@query("sorted_snapshot_vector", "select t, row_number() over (partition by t order by z, station) as rank, round(z, 6) z from panel where t % 24 = 12", ("panel",))
+@query("sorted_snapshot_vector", "select t, row_number() over (partition by t order by z, station) as rank, round(z, 6) z from panel", ("panel",))
 def sorted_snapshot_vector(x: Tables) -> DataFrame:
-    return P.sorted_snapshot(x.panel().where("t % 24 = 12")).select("t", "rank", r6("z", "z"))
+    return P.sorted_snapshot(x.panel()).select("t", "rank", r6("z", "z"))
 
 
 @query("last_n_rows", "select t, round(z, 6) z from panel where station = 'click' order by t desc limit 400", ("panel",))
@@ -276,9 +276,9 @@ def blend_by_distance(x: Tables) -> DataFrame:
 D2 = "sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))"
 
 
-@query("bbox_filter", "select id from points where x between (select min(x) from nodes where id < 20) and (select max(x) from nodes where id < 20) and y between (select min(y) from nodes where id < 20) and (select max(y) from nodes where id < 20)", ("points", "nodes"))
+@query("bbox_filter", "select id from points where x between (select min(x) from positions) and (select max(x) from positions) and y between (select min(y) from positions) and (select max(y) from positions)", ("points", "positions"))
 def bbox_filter(x: Tables) -> DataFrame:
-    return P.inside_box(x.points(), x.nodes().where("id < 20")).select("id")
+    return P.inside_box(x.points(), x.positions()).select("id")
 
 
 @query("bounds", "select round(min(x), 6) x0, round(max(x), 6) x1, round(min(y), 6) y0, round(max(y), 6) y1, round(sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)), 6) longest from places", ("places",))
@@ -292,13 +292,9 @@ def nearest_node(x: Tables) -> DataFrame:
     return spatial.nearest(x.points(), x.nodes().drop("z")).select("id", "nearest", r6("d", "d"))
 
 
-@query("nearest_node_bucketed", f"select id, node nearest, round(d, 6) d from (select a.id, b.id node, {D2} d, row_number() over (partition by a.id order by {D2}, b.id) k from points a, nodes b where a.id % 5 = 0) where k = 1", ("points", "nodes"))
+@query("nearest_node_bucketed", f"select id, node nearest, round(d, 6) d from (select a.id, b.id node, {D2} d, row_number() over (partition by a.id order by {D2}, b.id) k from points a, nodes b) where k = 1", ("points", "nodes"))
 def nearest_node_bucketed(x: Tables) -> DataFrame:
-    points, nodes = x.points().where("id % 5 = 0"), x.nodes().drop("z")
-    near = spatial.radius_join(points, nodes, 0.1)
-    found = spatial._nearest_of(near, points)
-    rest = points.join(found.select("id"), "id", "left_anti")
-    return found.unionByName(spatial.nearest(rest, nodes)).select("id", "nearest", r6("d", "d"))
+    return spatial.nearest(x.points(), x.nodes().drop("z"), 0.02, cells=True).select("id", "nearest", r6("d", "d"))
 
 
 SEGMENTS = "segments as (select a.id u, b.id v, a.x ax, a.y ay, b.x bx, b.y b_y from nodes a join nodes b on b.id = a.id + 1)"
@@ -356,13 +352,13 @@ def threshold_conv(x: Tables) -> DataFrame:
 
 
 @query("distance_model", f"""{with_tables('sparse', 'positions')}, w as (select a.station fold, b.station, exp(-{D2} * 5.0) w from positions a join positions b on a.station <> b.station)
-    select fold as station, t, round(sum(w * z) / sum(w), 6) estimate from sparse join w using (station) where t % 24 = 6 group by 1, 2""")
+    select fold as station, t, round(sum(w * z) / sum(w), 6) estimate from sparse join w using (station) group by 1, 2""")
 def distance_model(x: Tables) -> DataFrame:
     from ..operators.estimators import DistanceModel
 
     e = DistanceModel(x.positions(), lambda d: S.KERNELS["exponential"](d, 5.0))
     p = x.sparse()
-    return e.predict(e.fit(p), p.where("t % 24 = 6")).select(F.col("fold").alias("station"), "t", r6("estimate", "estimate"))
+    return e.predict(e.fit(p), p).select(F.col("fold").alias("station"), "t", r6("estimate", "estimate"))
 
 
 @query("bandwidth_sweep_corr", f"""{with_tables('points', 'nodes', 'places')}, s as (select unnest([0.05, 0.1, 0.2, 0.5]) sigma), e as (select sigma, id, sum(w * z) / sum(w) estimate from (select sigma, a.id, b.z, exp(-power({D2}, 2) / (2 * sigma * sigma)) w from points a, nodes b, s) group by 1, 2)
@@ -384,9 +380,9 @@ def best_bandwidth(x: Tables) -> DataFrame:
     return evaluate.best_parameter(losses, "sigma").select("sigma", r6("loss", "loss"))
 
 
-@query("running_mean_by_distance", f"select point, id, round(avg(z) over (partition by point order by d, id rows unbounded preceding), 6) running_mean from (select a.id point, b.id, b.z, {D2} d from points a, nodes b where a.id < 150)", ("points", "nodes"))
+@query("running_mean_by_distance", f"select point, id, round(avg(z) over (partition by point order by d, id rows unbounded preceding), 6) running_mean from (select a.id point, b.id, b.z, {D2} d from points a, nodes b)", ("points", "nodes"))
 def running_mean_by_distance(x: Tables) -> DataFrame:
-    pairs = spatial.all_pairs(x.points().where("id < 150"), x.nodes()).select(F.col("id_a").alias("point"), F.col("id_b").alias("id"), F.col("z_b").alias("z"), "d")
+    pairs = spatial.all_pairs(x.points(), x.nodes()).select(F.col("id_a").alias("point"), F.col("id_b").alias("id"), F.col("z_b").alias("z"), "d")
     return P.running_mean_by_rank(pairs, "z", ["d", "id"], ["point"]).select("point", "id", r6("running_mean", "running_mean"))
 
 
@@ -400,11 +396,11 @@ def colour_counts_per_edge(x: Tables) -> DataFrame:
     return traffic.colour_counts(p, edge, ("edge",))
 
 
-@query("kernel_weighted_colours", f"""{with_tables('pixels', 'points', 'nodes')}, w as (select a.id point, b.id pixel, exp(-{D2} * 5.0) w from points a, nodes b where a.id < 120), total as (select point, sum(w) total from w where pixel in (select pixel from pixels where t < 473376) group by 1)
-    select w.point, t, round(sum(case when colour = 1 then w else 0 end) / total, 6) green, round(sum(case when colour = 4 then w else 0 end) / total, 6) dark_red from pixels join w using (pixel) join total on total.point = w.point where t < 473376 group by w.point, t, total""")
+@query("kernel_weighted_colours", f"""{with_tables('pixels', 'points', 'nodes')}, w as (select a.id point, b.id pixel, exp(-{D2} * 5.0) w from points a, nodes b), total as (select point, sum(w) total from w where pixel in (select pixel from pixels) group by 1)
+    select w.point, t, round(sum(case when colour = 1 then w else 0 end) / total, 6) green, round(sum(case when colour = 4 then w else 0 end) / total, 6) dark_red from pixels join w using (pixel) join total on total.point = w.point group by w.point, t, total""")
 def kernel_weighted_colours(x: Tables) -> DataFrame:
-    p = x.pixels().where("t < 473376").join(x.nodes().select(F.col("id").alias("pixel"), "x", "y"), "pixel").withColumnRenamed("pixel", "id")
-    out = spatial.kernel_features(x.points().where("id < 120"), p, lambda d: S.KERNELS["exponential"](d, 5.0), {"green": 1, "dark_red": 4}, normalise=True)
+    p = x.pixels().join(x.nodes().select(F.col("id").alias("pixel"), "x", "y"), "pixel").withColumnRenamed("pixel", "id")
+    out = spatial.kernel_features(x.points(), p, lambda d: S.KERNELS["exponential"](d, 5.0), {"green": 1, "dark_red": 4}, normalise=True)
     return out.select("point", "t", r6("green", "green"), r6("dark_red", "dark_red"))
 
 
@@ -420,7 +416,8 @@ def active_pixels(x: Tables) -> DataFrame:
 
 @query("linear_colour_contraction", "select t, u, v, round(green * 0.1 + yellow * 0.3 + red * 0.7 + dark_red * 1.5, 6) emission from traffic_edge", ("traffic_edge",))
 def linear_colour_contraction(x: Tables) -> DataFrame:
-    return x.traffic_edge().select("t", "u", "v", r6(traffic.linear(x.traffic_edge(), {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}), "emission"))
+    q = x.traffic_edge()
+    return q.select("t", "u", "v", r6(traffic.linear(q, {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}), "emission"))
 
 
 def _colours(f) -> str:
@@ -654,6 +651,6 @@ def traffic_pollution_corr(x: Tables) -> DataFrame:
     return x.panel().join(traffic.activity(x.pixels()), "t").groupBy("station").agg(r6(F.corr("z", "active"), "corr"), F.count(F.lit(1)).alias("n"))
 
 
-@query("deterministic_sample", None)
+@query("deterministic_sample", "select event_id from events order by md5(cast(event_id as varchar)), event_id limit 50")
 def deterministic_sample(x: Tables) -> DataFrame:
-    return x.read("events").orderBy(F.xxhash64("event_id"), "event_id").limit(50).select("event_id")
+    return x.read("events").orderBy(F.md5(F.col("event_id").cast("string")), "event_id").limit(50).select("event_id")

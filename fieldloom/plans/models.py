@@ -367,15 +367,15 @@ def projection_best_k(x: Tables) -> DataFrame:
     "static_feature_sweep",
     """select sigma, round(corr(f, z), 6) as corr from (
         select sigma, a.id, max(a.z) z, sum(case when b.label % 2 = 0 then exp(-sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / sigma) else 0 end) f
-        from (select vec_id id, cast(embedding[1] as double) x, cast(embedding[2] as double) y, cast(embedding[3] as double) z from embeddings where vec_id >= 100) a,
-             (select label, cast(embedding[1] as double) x, cast(embedding[2] as double) y from embeddings where vec_id < 100) b,
+        from (select vec_id id, cast(embedding[1] as double) x, cast(embedding[2] as double) y, cast(embedding[5] as double) z from embeddings) a,
+             (select label, cast(embedding[3] as double) x, cast(embedding[4] as double) y from embeddings) b,
              (select unnest([0.02, 0.05, 0.1, 0.2, 0.5]) sigma) group by 1, 2) group by 1""",
 )
 def static_feature_sweep(x: Tables) -> DataFrame:
     """Correlation of a static mask's smoothed value with a target, for several bandwidths in one plan."""
     e = F.col("embedding")
-    points = x.read("embeddings").where("vec_id >= 100").select("vec_id", e[0].cast("double").alias("ax"), e[1].cast("double").alias("ay"), e[2].cast("double").alias("z"))
-    mask = x.read("embeddings").where("vec_id < 100 and label % 2 = 0").select(e[0].cast("double").alias("bx"), e[1].cast("double").alias("by"))
+    points = x.read("embeddings").select("vec_id", e[0].cast("double").alias("ax"), e[1].cast("double").alias("ay"), e[4].cast("double").alias("z"))
+    mask = x.read("embeddings").where("label % 2 = 0").select(e[2].cast("double").alias("bx"), e[3].cast("double").alias("by"))
     sigmas = F.explode(F.array(*[F.lit(v) for v in (0.02, 0.05, 0.1, 0.2, 0.5)])).alias("sigma")
     pairs = points.join(F.broadcast(mask)).withColumn("d", S.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).select("vec_id", "z", "d", sigmas)
     smooth = pairs.groupBy("sigma", "vec_id", "z").agg(F.sum(S.KERNELS["exp_by_scale"](F.col("d"), F.col("sigma"))).alias("f"))
