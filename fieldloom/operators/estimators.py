@@ -538,6 +538,36 @@ def conjugate_gradients(source: DataFrame, matrix: DataFrame, close: float = 1e-
     raise RuntimeError(f"not solved after {rounds} steps")
 
 
+def resistances(laplacian: DataFrame, at: list | None = None) -> DataFrame:
+    """(a, b, r) for a > b: resistance distances between nodes (of at, e.g. stations, or all) of a connected tall Laplacian.
+
+    With 1 / n in every entry the Laplacian has an inverse of the same differences; its columns at the nodes asked for
+    come from one factorisation and the pairs are rows made in the executors. Raises beyond DENSE_NODES nodes.
+    """
+    from . import graph
+
+    nodes, dense = graph.dense(laplacian)
+    place = {n: k for k, n in enumerate(nodes)}
+    wanted = nodes if at is None else [n for n in at if n in place]
+    own = [place[n] for n in wanted]
+    sides = np.zeros((len(nodes), len(own)))
+    sides[own, range(len(own))] = 1
+    g = np.linalg.solve(dense + 1 / len(nodes), sides)[own]
+    spark = laplacian.sparkSession
+    held = spark.sparkContext.broadcast((wanted, g))
+
+    def run(frames):
+        import pandas as pd
+
+        nodes, g = held.value
+        for df in frames:
+            for i in df["id"]:
+                yield pd.DataFrame({"a": [nodes[i]] * i, "b": nodes[:i], "r": g[i, i] + np.diag(g)[:i] - 2 * g[i, :i]})
+
+    kind = laplacian.schema["i"].dataType.simpleString()
+    return spark.range(1, max(len(own), 1)).mapInPandas(run, f"a {kind}, b {kind}, r double")
+
+
 def screened_poisson(source: DataFrame, diffusion_matrix: DataFrame, mass: DataFrame, diffusion: float, absorption: float) -> DataFrame:
     return solve_field(source, [(diffusion, diffusion_matrix), (absorption, mass)])
 

@@ -1,7 +1,7 @@
 """Named queries over the driver's tables, each with the SQL that must give the same rows.
 
-Doubles are rounded to 6 decimals on both sides. Queries without SQL are those that SQL can't express; tests hold them
-against small worked cases.
+Doubles are rounded to 6 decimals on both sides. Queries without SQL are those that SQL can't express well (eigenvectors,
+penalties by cross-validation, trees, a perceptron); tests hold their operators against brute force on small cases.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     def put(f):
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = f"{with_tables(*uses)} {sql}" if uses else sql
+            # a text that goes on with tables of its own begins with their name
+            ORACLE_SQL[name] = f"{with_tables(*uses)}{' ' if sql.startswith('select') else ', '}{sql}" if uses else sql
         return f
 
     return put

@@ -10,8 +10,9 @@ from ..functions import scalars as S
 from ..operators import estimators as E
 from ..operators import evaluate, graph, linalg, traffic
 from ..operators.components import checkpointed
+from . import solved as Q
 from .bindings import Tables, with_tables
-from .catalog import CORR, query, r6
+from .catalog import CORR, HOPS, query, r6
 
 CUT = 473712  # past and future of the hourly panel: 15 of its 30 days
 
@@ -35,7 +36,7 @@ def global_mean_loo(x: Tables) -> DataFrame:
     return E.GlobalMean().fit(x.sparse()).select(F.col("fold").alias("station"), r6("estimate", "estimate"))
 
 
-@query("snapshot_quantile")
+@query("snapshot_quantile", Q.quantile(CUT), ("sparse",))
 def snapshot_quantile(x: Tables) -> DataFrame:
     return _scores(E.SnapshotQuantile().evaluate(*_split(x)))
 
@@ -50,12 +51,12 @@ def snapshot_blue(x: Tables) -> DataFrame:
     return _scores(E.SnapshotBLUE().evaluate(*_split(x)))
 
 
-@query("nnls_weights")
+@query("nnls_weights", f"{Q.snapshot_weights(CUT)} select fold, station, round(w, 6) + 0.0 weight from weights", ("sparse",))
 def nnls_weights(x: Tables) -> DataFrame:
     return E.SnapshotWeighted(True).fit(_split(x)[0]).select("fold", "station", r6("weight", "weight"))
 
 
-@query("snapshot_weighted")
+@query("snapshot_weighted", Q.snapshot_weighted(CUT), ("sparse",))
 def snapshot_weighted(x: Tables) -> DataFrame:
     return _scores(E.SnapshotWeighted(True).evaluate(*_split(x)))
 
@@ -72,7 +73,7 @@ def snapshot_invvar_scores(x: Tables) -> DataFrame:
     return _scores(E.InverseVariance().evaluate(*_split(x)))
 
 
-@query("blue")
+@query("blue", Q.blue(CUT, 0.1), ("sparse",))
 def blue(x: Tables) -> DataFrame:
     return _scores(E.BLUE(0.1).evaluate(*_split(x)))
 
@@ -89,17 +90,17 @@ def blue_two_stations(x: Tables) -> DataFrame:
     return out.where("fold = 'view'").select("t", r6("estimate", "estimate"))
 
 
-@query("kriging_exponential")
+@query("kriging_exponential", Q.kriging(CUT, "exp(-5 * d)", 0.1), ("sparse", "positions"))
 def kriging_exponential(x: Tables) -> DataFrame:
     return _scores(E.Kriging(_xy(x), lambda d: np.exp(-5 * d), 0.1).evaluate(*_split(x)))
 
 
-@query("kriging_gaussian")
+@query("kriging_gaussian", Q.kriging(CUT, "exp(-d * d / (2 * power(0.2, 2)))", 0.1), ("sparse", "positions"))
 def kriging_gaussian(x: Tables) -> DataFrame:
     return _scores(E.Kriging(_xy(x), lambda d: np.exp(-d * d / (2 * 0.2**2)), 0.1).evaluate(*_split(x)))
 
 
-@query("kriging_old_form")
+@query("kriging_old_form", Q.kriging(CUT, "exp(-5 * d)", 0.1, old=True), ("sparse", "positions"))
 def kriging_old_form(x: Tables) -> DataFrame:
     return _scores(E.Kriging(_xy(x), lambda d: np.exp(-5 * d), 0.1, old=True).evaluate(*_split(x)))
 
@@ -144,8 +145,10 @@ def _regression(kind: str, degree: int = 1):
     return lambda x: _scores(E.Regression(_features(x), NAMES, kind, degree).evaluate(*_split(x)))
 
 
-for _name, _kind, _degree in (("source_lasso", "lasso", 1), ("source_poly_lasso", "lasso", 2), ("source_linear", "linear", 1), ("source_positive", "positive", 1), ("source_ridge", "ridge", 1), ("source_random_forest", "forest", 1), ("source_perceptron", "perceptron", 1)):
+for _name, _kind, _degree in (("source_lasso", "lasso", 1), ("source_poly_lasso", "lasso", 2), ("source_random_forest", "forest", 1), ("source_perceptron", "perceptron", 1)):
     query(_name)(_regression(_kind, _degree))
+for _kind, _sql in (("linear", Q.regression(CUT)), ("positive", Q.regression(CUT, positive=True)), ("ridge", Q.regression(CUT, alpha=1.0))):
+    query(f"source_{_kind}", _sql, ("sparse", "pixels"))(_regression(_kind))
 
 
 @query("traffic_mean_fit", "select round(regr_slope(z, active), 6) slope, round(regr_intercept(z, active), 6) intercept from panel join (select t, count(*) active from pixels where colour > 0 group by 1) using (t)", ("panel", "pixels"))
@@ -156,7 +159,7 @@ def traffic_mean_fit(x: Tables) -> DataFrame:
     return x.spark.range(1).select(r6(F.lit(float(e.weights[0])), "slope"), r6(F.lit(float(e.intercept)), "intercept"))
 
 
-@query("sequenciator")
+@query("sequenciator", Q.sequence(CUT), ("sparse", "pixels"))
 def sequenciator(x: Tables) -> DataFrame:
     return _scores(E.Sequence([E.SnapshotMean(), E.Regression(_features(x), NAMES, "ridge", residual=False)]).evaluate(*_split(x)))
 
@@ -171,38 +174,37 @@ def _three(x: Tables, part: int) -> DataFrame:
     return out
 
 
-@query("aggregator_stacked")
+@query("aggregator_stacked", Q.aggregator_stacked(CUT), ("sparse", "positions"))
 def aggregator_stacked(x: Tables) -> DataFrame:
     return _scores(E.ensemble(_three(x, 1), E.ensemble_weights(_three(x, 0), "regression"), "stacked"))
 
 
-@query("aggregator_weights")
+@query("aggregator_weights", Q.aggregator_weights(CUT), ("sparse", "positions"))
 def aggregator_weights(x: Tables) -> DataFrame:
     p = _three(x, 0)
     rows = [(how, m, w) for how in ("average", "mse", "std", "blue") for m, w in E.ensemble_weights(p, how).items()]
     return x.spark.createDataFrame(rows, "how string, model string, weight double").select("how", "model", r6("weight", "weight"))
 
 
-@query("aggregator_nested")
+@query("aggregator_nested", Q.aggregator_nested(CUT), ("sparse", "positions"))
 def aggregator_nested(x: Tables) -> DataFrame:
     return _scores(E.nested_ensemble(_three(x, 0), "mse"))
 
 
 def _node_field(x: Tables) -> tuple[DataFrame, DataFrame]:
     """Edges of the largest component and its node source as a field (t, node, z)."""
-    e = x.edges()
-    own = checkpointed(graph.induced_subgraph(e, graph.largest_component(e)))
+    own = _component(x)
     q = traffic.node_source(x.traffic_edge(), own)
     return own, q.select("t", "node", traffic.linear(q, {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}).alias("z"))
 
 
-@query("screened_poisson")
+@query("screened_poisson", Q.field_solution("length / 6 - 1000 / length", "sum(length / 3 + 1000 / length)"), ("ends", "traffic_edge", "degrees"))
 def screened_poisson(x: Tables) -> DataFrame:
     e, source = _node_field(x)
     return E.screened_poisson(source, graph.diffusion_matrix(e), graph.mass_matrix(e), 1000.0, 1.0).select("t", "node", r6("z", "z"))
 
 
-@query("soft_diffusion")
+@query("soft_diffusion", Q.field_solution("-10 / length", "sum(10 / length) + 1"), ("ends", "traffic_edge", "degrees"))
 def soft_diffusion(x: Tables) -> DataFrame:
     e, source = _node_field(x)
     return E.soft_diffusion(source, graph.laplacian(e, 1 / F.col("length")), 1.0, 10.0).select("t", "node", r6("z", "z"))
@@ -232,13 +234,10 @@ def assimilation(x: Tables) -> DataFrame:
     return E.assimilate(source, observed, basis, linalg.reduced(vectors, dense) + np.eye(4), 0.5, 1.0).select("t", "node", r6("z", "z"))
 
 
-@query("resistance_distance")
+@query("resistance_distance", Q.resistance(), ("ends",))
 def resistance_distance(x: Tables) -> DataFrame:
-    e, _ = _node_field(x)
-    nodes, dense = graph.dense(graph.laplacian(e, 1 / F.col("length")))
-    r = linalg.resistance(dense, list(range(len(nodes))))
-    rows = [(nodes[i], nodes[j], float(r[i, j])) for i in range(len(nodes)) for j in range(i)]
-    return x.spark.createDataFrame(rows, "a long, b long, r double").select("a", "b", r6("r", "r"))
+    e = _component(x)
+    return E.resistances(graph.laplacian(e, 1 / F.col("length"))).select("a", "b", (F.round("r", 4) + 0.0).alias("r"))
 
 
 @query("gnn_layer", "with recursive {0} select b.node, 'balance' feature, round(greatest(0, 0.5 * s_acctbal + 0.4 * m), 6) as value from (select distinct node from ends) b join supplier on s_suppkey = b.node join (select e.node, avg(s_acctbal) m from ends e join supplier on s_suppkey = e.other group by 1) k on k.node = b.node".format(with_tables("ends").removeprefix("with recursive ")))
@@ -302,7 +301,12 @@ def neighbour_edge_regression(x: Tables) -> DataFrame:
     return _scores(E.Regression(wide, names, "lasso").evaluate(*_split_days(_node_panel(x, e))))
 
 
-@query("decayed_hops_regression")
+DECAYED = "with recursive {0} select q.t, source node, {1} from near n join ends e on e.node = n.node join degrees a on a.node = e.node join degrees b on b.node = e.other join traffic_edge q on q.u = least(e.node, e.other) and q.v = greatest(e.node, e.other) join edge_norm w on w.u = q.u and w.v = q.v group by 1, 2".format(
+    HOPS.format(1), ", ".join(f"sum(power(0.5, depth) * length * lanes / power(a.degree, 0.5) / power(b.degree, 0.5) * {c} / norm) {c}" for c in traffic.NAMES)
+)
+
+
+@query("decayed_hops_regression", Q.node_regression(CUT // 24, DECAYED, 1.0), ("ends", "edge_norm", "degrees", "traffic_edge"))
 def decayed_hops_regression(x: Tables) -> DataFrame:
     e = _component(x)
     features = _as_station(traffic.decayed_hops(x.traffic_edge(), e, 1, 0.5, 0.5))

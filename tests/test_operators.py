@@ -171,3 +171,68 @@ def test_nested_ensemble_has_all_stations(spark, monkeypatch):
         want = {(r.station, r.t): r.estimate for k in range(5) for r in E.ensemble(p.where(f"station = 's{k}'"), E.ensemble_weights(p.where(f"station <> 's{k}'"), how)).collect()}
         assert len(got) == 30 and got.keys() == want.keys() and got["s2", 1] is None
         assert all(abs(got[k] - v) < 1e-6 for k, v in want.items() if v is not None)
+
+
+def test_conjugate_gradients_equal_the_inverse(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(k, k + 1, float(rng.uniform(1, 9)), 1.0) for k in range(12)] + [(0, 7, 2.0, 1.0), (3, 11, 5.0, 1.0)], "u long, v long, length double, lanes double")
+    source = spark.createDataFrame([(t, n, float(rng.normal())) for t in range(3) for n in range(0, 13, 2)] + [(1, 99, 7.0), (1, 2, None)], "t long, node long, z double")
+    terms = lambda: (source, graph.diffusion_matrix(edges), graph.mass_matrix(edges), 3.0, 1.0)
+    want = {(r.t, r.node): r.z for r in E.screened_poisson(*terms()).collect()}
+    monkeypatch.setattr(E, "SOLVE_NODES", 3)
+    got = {(r.t, r.node): r.z for r in E.screened_poisson(*terms()).collect()}
+    assert len(want) == 39 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-8 for k, v in want.items())
+
+
+def test_resistances_between_some_nodes(spark):
+    lap = graph.laplacian(path(spark), 1 / F.col("length"))
+    assert {(r.a, r.b): round(r.r, 9) for r in E.resistances(lap).collect()} == {(2, 1): 2.0, (3, 1): 6.0, (3, 2): 4.0}
+    assert {(r.a, r.b): round(r.r, 9) for r in E.resistances(lap, [1, 3]).collect()} == {(3, 1): 6.0}
+
+
+def test_nearest_by_cells_with_places_missing(spark):
+    rng = np.random.default_rng(5)
+    xy = lambda n, k: [(k + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (n, 2)))]
+    lost = [(900, None, 1.0), (901, 1.0, float("nan"))]
+    points = spark.createDataFrame(xy(60, 0) + lost, "id long, x double, y double")
+    nodes = spark.createDataFrame(xy(40, 100) + lost, "id long, x double, y double")
+    a, b = ({r.id: (r.nearest, r.d) for r in spatial.nearest(points, nodes, 0.05, cells=c).collect()} for c in (False, True))
+    assert a == b and len(a) == 62 and a[900] == a[901] == (None, None) and a[0][0] is not None
+    ends = [(u, u + 1, *p, *q) for u, (p, q) in enumerate(zip(rng.uniform(-3, 3, (30, 2)).tolist(), rng.uniform(-3, 3, (30, 2)).tolist(), strict=True))] + [(77, 78, None, 0.0, 0.0, 0.0)]
+    edges = spark.createDataFrame(ends, "u long, v long, ax double, ay double, bx double, by double")
+    a, b = ({r.id: (r.u, r.v, r.d) for r in spatial.nearest_edge(points, edges, 0.1, cells=c).collect()} for c in (False, True))
+    assert a == b and len(a) == 62 and a[901] == (None, None, None)
+    assert spatial.nearest(points, nodes.limit(0), 1.0).where("nearest is null").count() == spatial.nearest_edge(points, edges.limit(0)).where("u is null").count() == 62
+
+
+def test_a_whole_raster_of_pixels(spark):
+    """800 by 1,000 pixels and 1,000 points: the cut kernel by cells, and all pixels for a few points."""
+    pixels = spark.range(800_000).select("id", (F.col("id") % 1000).cast("double").alias("x"), F.floor(F.col("id") / 1000).cast("double").alias("y"), F.lit(0).alias("t"), (F.col("id") % 5).cast("int").alias("colour"))
+    points = spark.range(1000).select("id", (F.col("id") * 0.9 + 20).alias("x"), (F.col("id") * 0.7 + 20).alias("y"))
+    near = spatial.kernel_features(points, pixels, lambda d: S.KERNELS["gaussian"](d, 2.0), {"green": 1}, cut=8.0)
+    assert near.count() == 1000
+    few = points.where("id in (0, 500, 999)")
+    every = {r.point: r.green for r in spatial.kernel_features(few, pixels, lambda d: S.KERNELS["gaussian"](d, 2.0), {"green": 1}).collect()}
+    cut = {r.point: r.green for r in near.where("point in (0, 500, 999)").collect()}
+    assert all(abs(every[k] - cut[k]) < 0.02 for k in every)
+
+
+def test_lasso_penalty_is_the_best_of_a_slow_search(spark):
+    rng = np.random.default_rng(6)
+    rows = [(t, s, float(a), float(b), float(2 * a - 0.01 * b + rng.normal(0, 0.4))) for t in range(25) for s in "abc" for a, b in [rng.normal(size=2)]]
+    panel = spark.createDataFrame([(t, s, z) for t, s, _, _, z in rows], "t long, station string, z double")
+    features = spark.createDataFrame([(t, s, a, b) for t, s, a, b, _ in rows], "t long, station string, f0 double, f1 double")
+    e = E.Regression(features, ("f0", "f1"), "lasso", residual=False)
+    e.fit(panel)
+    x, y, who = np.array([r[2:4] for r in rows]), np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
+
+    def fitted(keep, alpha):
+        mx, my = x[keep].mean(0), y[keep].mean()
+        w = linalg.lasso((x[keep] - mx).T @ (x[keep] - mx), (x[keep] - mx).T @ (y[keep] - my), keep.sum(), alpha)
+        return w, my - w @ mx
+
+    every = np.ones(len(y), dtype=bool)
+    grid = linalg.lasso_grid((x - x.mean(0)).T @ (y - y.mean()), len(y), 30)
+    losses = [sum(((y[who == s] - x[who == s] @ w - b) ** 2).sum() for s in "abc" for w, b in [fitted(who != s, a)]) for a in grid]
+    best = grid[int(np.argmin(losses))]
+    assert np.isclose(e.chosen_alpha, best) and np.allclose(e.weights, fitted(every, best)[0], atol=1e-6)
