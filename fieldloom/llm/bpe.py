@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, small_batches, worker_state
+from .common import give_back, lean, raw_texts, small_batches, worker_state
 
 WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(127)
 #: Bounds of the tables in a worker: joins and chunks (in bytes of text).
-MAX_JOINS, MAX_CHUNK_BYTES = 100_000, 8_000_000
+MAX_JOINS, MAX_CHUNK_BYTES = 50_000, 6_000_000
 PART_DOCS, PART_BYTES = 512, 2_000_000
 #: Bytes from which UTF-8 has characters beyond U+023F. Those below have no marks to compose and one lower-case form,
 #: so that str.lower() can stand for the normaliser (each worker compares them all first).
@@ -117,28 +117,46 @@ class Chunk(NamedTuple):
     last: bytes
 
 
+class Traits(NamedTuple):
+    """What a tokenizer's JSON says about it; read once, since parsing it in every worker takes memory."""
+
+    word_wise: bool
+    lower: bool
+    added: tuple[str, ...]
+
+
+def traits(json_text: str) -> Traits:
+    spec = json.loads(json_text)
+    lower = "Lowercase" in {x["type"] for x in _steps(spec.get("normalizer"), "normalizers")}
+    return Traits(word_wise(spec), lower, tuple(x["content"].lower() for x in spec.get("added_tokens", ())))
+
+
 class Encoder:
     """Encodes whole texts as tokenizer.encode(text, add_special_tokens=False), decodes as decode(ids, skip_special_tokens=False)."""
 
-    def __init__(self, json_text: str):
+    def __init__(self, json_text: str, known: Traits | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        spec = json.loads(json_text)
-        self.word_wise = word_wise(spec)
-        self.tokenizer = Tokenizer.from_str(json_text)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.word_wise, lower, self.added = known or traits(json_text)
+        self.tokenizer = self._load(json_text)
         self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.added = [x["content"].lower() for x in spec.get("added_tokens", ())]
         self.bare = None  # the tokenizer for Latin texts in lower case, which need no normaliser
-        if self.word_wise and "Lowercase" in {x["type"] for x in _steps(spec.get("normalizer"), "normalizers")}:
-            bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "padding": None, "truncation": None}))
+        if self.word_wise and lower:
+            bare = self._load(json_text)
+            bare.normalizer = None
             each = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}a" for c in range(LATIN)]
             same = zip(self._ids(self.tokenizer, each), self._ids(bare, [x.lower() for x in each]), strict=True)
             self.bare = bare if all(x == y for x, y in same) else None
         self.chunks, self.joins, self.chunk_bytes, self.seen, self.reused = Kept(), Kept(), 0, 0, 0
 
+    @staticmethod
+    def _load(json_text: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(json_text)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return tokenizer
+
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -217,13 +235,14 @@ class Encoder:
         return [self.chunks[x] for x in out]
 
 
-def encoder(json_text: str) -> Encoder:
+def encoder(json_text: str, known: Traits) -> Encoder:
     """One encoder for each vocabulary in a worker, kept between tasks."""
     held = worker_state("bpe", dict)
     key = hash(json_text)
     if key not in held:
         held.clear()
-        held[key] = Encoder(json_text)
+        held[key] = Encoder(json_text, known)
+        give_back()
     return held[key]
 
 
@@ -239,11 +258,11 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
-def _run(json_text: str):
+def _run(json_text: str, known: Traits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        own = encoder(json_text)
+        own = encoder(json_text, known)
         gc.disable()  # the tables are large and nothing here makes cycles
         try:
             for batch in batches:
@@ -270,7 +289,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         json_text = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
     own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"))
-    return own.mapInArrow(_run(json_text), f"_fl_id {kind}, ids array<int>, decoded string").withColumnRenamed("_fl_id", id_col)
+    return own.mapInArrow(lean(_run(json_text, traits(json_text))), f"_fl_id {kind}, ids array<int>, decoded string").withColumnRenamed("_fl_id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -73,6 +73,27 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) ->
     return docs.join(dropped, same, "left_anti")
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the machine; workers idle between the stages of other operators."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it keeps its memory
+
+
+def lean(run):
+    """A function for mapInArrow that gives memory back when its task is over."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 _KEPT: dict = {"name": None, "value": None}
 
 
@@ -83,14 +104,8 @@ def worker_state(name: str, make):
     first and its memory given back.
     """
     if _KEPT["name"] != name:
-        import pyarrow as pa
-
         _KEPT.update(name=None, value=None)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library; it keeps its memory
+        give_back()
         _KEPT.update(name=name, value=make())
     return _KEPT["value"]

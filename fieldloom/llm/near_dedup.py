@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import checkpointed, raw_texts, small_batches, text_key, without, worker_state
+from .common import checkpointed, lean, raw_texts, small_batches, text_key, without, worker_state
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
@@ -281,15 +281,15 @@ def _components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """_fl_id, _fl_key (of the text), n_shingles, component_id, kept of each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
     own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), text_key(F.col(text_col)).alias("_fl_key"))
-    sketched = checkpointed(own.mapInArrow(_sketch(shingle), f"_fl_id {kind}, _fl_key long, node binary, n_shingles long, keys array<long>"))
+    sketched = checkpointed(own.mapInArrow(lean(_sketch(shingle)), f"_fl_id {kind}, _fl_key long, node binary, n_shingles long, keys array<long>"))
     nodes = sketched.where("node is not null").groupBy("node").agg(F.min("_fl_id").alias("_fl_first"), F.count(F.lit(1)).alias("_fl_rows"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     nodes = checkpointed(nodes)
     clusters = checkpointed(candidate_clusters(nodes.select("node", "keys")).join(nodes.select("node", "_fl_first", "n_shingles"), "node"))
     wanted = small(checkpointed(clusters.select(F.col("_fl_first").alias("_fl_want")).distinct()))
-    sets = own.join(wanted, F.col("_fl_id").eqNullSafe(F.col("_fl_want")), "left_semi").select("_fl_id", "_fl_text").mapInArrow(_sets(shingle), "node binary, shingles binary")
+    sets = own.join(wanted, F.col("_fl_id").eqNullSafe(F.col("_fl_want")), "left_semi").select("_fl_id", "_fl_text").mapInArrow(lean(_sets(shingle)), "node binary, shingles binary")
     parts = blocked(clusters.drop("_fl_first")).join(sets, "node").select("cluster", "i", "j", "node", "part", "shingles")
     parts = parts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = checkpointed(parts.mapInArrow(_verify(percent), "u binary, v binary"))
+    links = checkpointed(parts.mapInArrow(lean(_verify(percent)), "u binary, v binary"))
 
     linked = checkpointed(connected_components(links).join(nodes.select("node", "_fl_first"), "node"))
     first = small(checkpointed(linked.groupBy("component").agg(F.min("_fl_first").alias("component_id"))))
