@@ -24,6 +24,8 @@ from .components import checkpointed
 MAX_STATIONS = 500
 #: Nodes of a matrix that is inverted on the driver and broadcast.
 SOLVE_NODES = 2_000
+#: Patterns of missing stations whose weights a task of SnapshotBLUE keeps.
+MAX_PATTERNS = 10_000
 LINEAR = "fold string, station string, weight double, centre double, offset double"
 
 
@@ -178,12 +180,14 @@ class SnapshotBLUE(Estimator):
 
     def fit(self, past: DataFrame) -> DataFrame:
         m = moments(past)
-        self.moments = m
-        return past.sparkSession.createDataFrame([(s,) for s in m.stations], "fold string")
+        rows = [(a, b, float(m.corr[i, j]), float(m.mean[i]), float(m.sd[i])) for i, a in enumerate(m.stations) for j, b in enumerate(m.stations)]
+        return past.sparkSession.createDataFrame(rows, "fold string, station string, corr double, mean double, sd double")
 
     def predict(self, parameters: DataFrame, panel: DataFrame) -> DataFrame:
-        m, alpha = self.moments, self.alpha
-        at = {s: i for i, s in enumerate(m.stations)}
+        rows, alpha = parameters.orderBy("fold", "station").toPandas(), self.alpha  # stations squared, counted by fit
+        own = rows.drop_duplicates("fold")
+        at = {s: i for i, s in enumerate(own["fold"])}
+        corr, mean, sd = rows["corr"].to_numpy().reshape(len(at), len(at)), own["mean"].to_numpy(), own["sd"].to_numpy()
 
         def run(frames):
             import pandas as pd
@@ -191,6 +195,8 @@ class SnapshotBLUE(Estimator):
             solved: dict = {}
             for df in frames:
                 out = []
+                if len(solved) > MAX_PATTERNS:
+                    solved.clear()
                 for t, names, values in zip(df["t"], df["names"], df["values"], strict=True):
                     held = [(at[s], v) for s, v in zip(names, values, strict=True) if s in at]
                     for fold, f in at.items():
@@ -198,14 +204,14 @@ class SnapshotBLUE(Estimator):
                         if len(own) < 2:
                             continue
                         if own not in solved:
-                            c = m.corr[np.ix_(own, own)]
+                            c = corr[np.ix_(own, own)]
                             total = np.zeros(len(own))
                             for j, target in enumerate(own):
                                 rest = [i for i in range(len(own)) if i != j]
-                                total[rest] += linalg.ridge(c[np.ix_(rest, rest)], c[rest, j], alpha) * m.sd[target]
-                            solved[own] = total / m.sd[list(own)] / len(own)
+                                total[rest] += linalg.ridge(c[np.ix_(rest, rest)], c[rest, j], alpha) * sd[target]
+                            solved[own] = total / sd[list(own)] / len(own)
                         z = np.array([v for i, v in held if i != f])
-                        out.append((fold, t, float(m.mean[list(own)].mean() + solved[own] @ (z - m.mean[list(own)]))))
+                        out.append((fold, t, float(mean[list(own)].mean() + solved[own] @ (z - mean[list(own)]))))
                 yield pd.DataFrame(out, columns=["fold", "t", "estimate"])
 
         rows = panel.where("z is not null").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("station", "z"))).alias("r"))
@@ -333,9 +339,11 @@ class DistanceModel(Estimator):
 class Regression(Estimator):
     """Regression of a value on features (t, station, f0, f1, ...): normal equations by one aggregate, solved small.
 
-    kind: "linear", "positive", "ridge", "lasso" (the penalty by leave-one-station-out over a grid), "forest" (pyspark.ml)
-    or "perceptron" (on at most SAMPLE rows). degree expands features to all monomials. With residual, the value is
-    taken less the mean of the others at its time, and the mean is added back.
+    kind: "linear", "positive", "ridge", "lasso", "positive_lasso" (the penalty by leave-one-station-out over a grid),
+    "forest" (pyspark.ml; with a grid, its settings by cross-validation over groups of stations) or "perceptron" (on at
+    most SAMPLE rows). degree expands features to all monomials. With residual, the value is taken less the mean of the
+    others at its time, and the mean is added back. fit gives (term, weight, alpha) with the intercept under INTERCEPT,
+    a pyspark.ml model for a forest, and the layers of a perceptron as rows; nothing is kept in the estimator.
     """
 
     features: DataFrame
@@ -344,7 +352,8 @@ class Regression(Estimator):
     degree: int = 1
     residual: bool = True
     alpha: float = 1.0
-    SAMPLE = 50_000
+    grid: dict[str, tuple] = field(default_factory=dict)
+    SAMPLE, FOLDS, INTERCEPT = 50_000, 5, "intercept"
 
     def _terms(self):
         terms = [t for t in linalg.polynomial_terms(len(self.names), self.degree) if t]
@@ -358,16 +367,10 @@ class Regression(Estimator):
     def fit(self, past: DataFrame):
         terms, frame = list(self._terms()), self._frame(past.where("z is not null")).withColumn("_y", F.col("z") - F.col("estimate"))
         if self.kind == "forest":
-            from pyspark.ml.feature import VectorAssembler
-            from pyspark.ml.regression import RandomForestRegressor
-
-            self.assembler = VectorAssembler(inputCols=terms, outputCol="_x")
-            self.model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=50, maxDepth=3, seed=1).fit(self.assembler.transform(frame))
-            return None
+            return self._forest(terms, frame)
         if self.kind == "perceptron":
             rows = frame.select(*terms, "_y").orderBy(F.xxhash64("t", "station")).limit(self.SAMPLE).toPandas().to_numpy(dtype=float)
-            self.model = linalg.Perceptron().fit(rows[:, :-1], rows[:, -1])
-            return None
+            return past.sparkSession.createDataFrame(linalg.Perceptron().fit(rows[:, :-1], rows[:, -1]).rows(), "part string, layer int, row int, values array<double>")
         columns = [*terms, "_y"]
         sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(columns)] + [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
         by = {r["station"]: r for r in frame.groupBy("station").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
@@ -385,11 +388,11 @@ class Regression(Estimator):
         def weights(rows, alpha):
             n, mean, p = gram(rows)
             g, m = p[:k, :k], p[:k, k]
-            w = {"linear": lambda: linalg.solve(g, m), "positive": lambda: linalg.nonnegative(g, m), "ridge": lambda: linalg.ridge(g, m, alpha), "lasso": lambda: linalg.lasso(g, m, n, alpha)}[self.kind]()
+            w = {"linear": lambda: linalg.solve(g, m), "positive": lambda: linalg.nonnegative(g, m), "ridge": lambda: linalg.ridge(g, m, alpha), "lasso": lambda: linalg.lasso(g, m, n, alpha), "positive_lasso": lambda: linalg.lasso(g, m, n, alpha, positive=True)}[self.kind]()
             return w, mean[k] - w @ mean[:k]
 
         alpha, rows = self.alpha, list(by.values())
-        if self.kind == "lasso" and len(rows) > 1:
+        if self.kind in ("lasso", "positive_lasso") and len(rows) > 1:
             n, _, p = gram(rows)
             grid = linalg.lasso_grid(p[:k, k], n, 30)
             losses = []
@@ -406,17 +409,35 @@ class Regression(Estimator):
                     loss += c @ full @ c - 2 * b * (c @ s1) + held["n"] * b * b
                 losses.append(loss)
             alpha = float(grid[int(np.argmin(losses))])
-        self.weights, self.intercept = weights(rows, alpha)
-        self.chosen_alpha = alpha
-        return None
+        w, b = weights(rows, alpha)
+        return past.sparkSession.createDataFrame([(c, float(x), float(alpha)) for c, x in [*zip(terms, w, strict=True), (self.INTERCEPT, b)]], "term string, weight double, alpha double")
+
+    def _forest(self, terms: list[str], frame: DataFrame):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.evaluation import RegressionEvaluator
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import RandomForestRegressor
+        from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+        forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=50, maxDepth=3, seed=1)
+        pipeline = Pipeline(stages=[VectorAssembler(inputCols=terms, outputCol="_x"), forest])
+        if not self.grid:
+            return pipeline.fit(frame)
+        tried = ParamGridBuilder()
+        for name, values in self.grid.items():
+            tried = tried.addGrid(forest.getParam(name), list(values))
+        stations = station_list(frame)
+        folds = frame.sparkSession.createDataFrame([(x, k % self.FOLDS) for k, x in enumerate(stations)], "station string, _group int")
+        rated = CrossValidator(estimator=pipeline, estimatorParamMaps=tried.build(), evaluator=RegressionEvaluator(labelCol="_y"), numFolds=min(self.FOLDS, len(stations)), foldCol="_group", seed=1)
+        return rated.fit(frame.join(F.broadcast(folds), "station")).bestModel
 
     def predict(self, parameters, panel: DataFrame) -> DataFrame:
         frame = self._frame(panel)
         terms = list(self._terms())
         if self.kind == "forest":
-            out = self.model.transform(self.assembler.transform(frame)).withColumn("_e", F.col("prediction"))
+            out = parameters.transform(frame).withColumn("_e", F.col("prediction"))
         elif self.kind == "perceptron":
-            model = self.model
+            model = linalg.Perceptron.of([tuple(r) for r in parameters.collect()])
 
             @F.pandas_udf("double")
             def apply(*xs):
@@ -426,10 +447,71 @@ class Regression(Estimator):
 
             out = frame.withColumn("_e", apply(*terms))
         else:
-            out = frame.withColumn("_e", sum((F.col(c) * float(w) for c, w in zip(terms, self.weights, strict=True)), F.lit(float(self.intercept))))
+            out = with_weights(frame, parameters).withColumn("_e", weighted(terms))
         return out.select(F.col("station").alias("fold"), "t", (F.col("estimate") + F.col("_e")).alias("estimate"))
 
 
+def with_weights(df: DataFrame, parameters: DataFrame) -> DataFrame:
+    """df with a regression's weights as a map, from one broadcast row of as many entries as it has terms."""
+    return df.join(F.broadcast(parameters.agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_weights"))))
+
+
+def weighted(terms: list[str], columns: list[str] | None = None):
+    """Intercept and weighted sum of columns (named as the terms, if not given)."""
+    w = F.col("_weights")
+    return sum((F.col(c) * w[term] for term, c in zip(terms, columns or terms, strict=True)), w[Regression.INTERCEPT])
+
+
+@dataclass
+class ProjectedRegression(Estimator):
+    """Regression on colours of a field (t, node, names) that are first projected on a basis (node, k, b), k from 0.
+
+    Each colour is taken less its mean over time at the node (a missing node counts as 0), projected on the first size
+    vectors and its mean added back. size None: the number from 1 to most with the least training error, the least of
+    equals. A station is a node, its name the node's as text. The parameters are the regression's with a column size.
+    """
+
+    source: DataFrame
+    basis: DataFrame
+    names: tuple[str, ...]
+    most: int = 6
+    size: int | None = None
+    kind: str = "ridge"
+
+    def features(self, size: int) -> DataFrame:
+        """(t, station, names) for all nodes of the basis and all times of the source."""
+        zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in self.names]
+        times = self.source.select("t").distinct()
+        mean = self.source.groupBy("node").agg(*[F.sum(c).alias(f"_s_{c}") for c in self.names]).join(F.broadcast(times.agg(F.count(F.lit(1)).alias("_n"))))
+        mean = mean.select("node", *[(F.col(f"_s_{c}") / F.col("_n")).alias(c) for c in self.names])
+        basis = self.basis.where(F.col("k") < size)
+        of_mean = mean.join(basis, "node").groupBy("k").agg(*[F.sum(F.col(c) * F.col("b")).alias(f"_m_{c}") for c in self.names])
+        own = self.source.join(basis, "node").groupBy("t", "k").agg(*[F.sum(F.col(c) * F.col("b")).alias(c) for c in self.names])
+        every = times.join(F.broadcast(of_mean)).join(own, ["t", "k"], "left").select("t", "k", *[(F.coalesce(c, F.lit(0.0)) - F.col(f"_m_{c}")).alias(c) for c in self.names])
+        back = every.join(basis, "k").groupBy("t", "node").agg(*[F.sum(F.col(c) * F.col("b")).alias(f"_p_{c}") for c in self.names])
+        out = back.join(mean.select("node", *zero), "node", "left")
+        return out.select("t", F.col("node").cast("string").alias("station"), *[(F.col(f"_p_{c}") + F.coalesce(c, F.lit(0.0))).alias(c) for c in self.names])
+
+    def _regression(self, size: int) -> Regression:
+        return Regression(self.features(size), self.names, self.kind)
+
+    def fit(self, past: DataFrame) -> DataFrame:
+        best = None
+        for size in range(1, self.most + 1) if self.size is None else [self.size]:
+            own = self._regression(size)
+            found = own.fit(past)
+            error = 0.0
+            if self.size is None:
+                both = with_truth(own.predict(found, past), past, "").where("estimate is not null and truth is not null")
+                error = both.agg(F.avg(F.pow(F.col("estimate") - F.col("truth"), 2))).first()[0]
+            if best is None or error is not None and error < best[0]:
+                best = (math.inf if error is None else error, found.withColumn("size", F.lit(size)))
+        return best[1]
+
+    def predict(self, parameters: DataFrame, panel: DataFrame) -> DataFrame:
+        return self._regression(parameters.first()["size"]).predict(parameters.drop("size"), panel)
+
+
 def math_product(columns: list):
     out = F.lit(1.0)
     for c in columns:

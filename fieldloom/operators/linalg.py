@@ -129,5 +129,20 @@ class Perceptron:
             acts.append(z if k == len(self.w) - 1 else 1 / (1 + np.exp(-z)))
         return acts
 
+    def rows(self) -> list[tuple]:
+        """What was learned, as rows (part, layer, row, values)."""
+        scale = [("x", 0, 0, self.mx.tolist()), ("x", 0, 1, self.sx.tolist()), ("y", 0, 0, [float(self.my), float(self.sy)])]
+        return scale + [("w", k, i, line.tolist()) for k, (w, b) in enumerate(self.w) for i, line in enumerate([*w, b])]
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Perceptron:
+        """The perceptron of these rows, in any order; a layer's last row is its offsets."""
+        own, out = {(part, k, i): np.array(v) for part, k, i, v in rows}, cls()
+        out.mx, out.sx = own["x", 0, 0], own["x", 0, 1]
+        out.my, out.sy = own["y", 0, 0]
+        layers = [[own["w", k, i] for i in sorted(i for part, j, i in own if (part, j) == ("w", k))] for k in sorted({k for part, k, _ in own if part == "w"})]
+        out.w = [[np.array(x[:-1]), x[-1]] for x in layers]
+        return out
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self._acts((x - self.mx) / self.sx)[-1][:, 0] * self.sy + self.my

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import estimators as E
-from ..operators import evaluate, graph, linalg, traffic
-from ..operators.components import checkpointed
+from ..operators import evaluate, graph, linalg, runs, traffic
+from ..operators.components import checkpointed, shared_folder
 from . import solved as Q
 from .bindings import Tables, with_tables
 from .catalog import CORR, HOPS, query, r6
@@ -155,8 +157,7 @@ for _kind, _sql in (("linear", Q.regression(CUT)), ("positive", Q.regression(CUT
 def traffic_mean_fit(x: Tables) -> DataFrame:
     features = x.panel().select("station", "t").join(traffic.activity(x.pixels()), "t").withColumn("f0", F.col("active").cast("double"))
     e = E.Regression(features.select("t", "station", "f0"), ("f0",), "linear", residual=False)
-    e.fit(x.panel())
-    return x.spark.range(1).select(r6(F.lit(float(e.weights[0])), "slope"), r6(F.lit(float(e.intercept)), "intercept"))
+    return e.fit(x.panel()).agg(*[r6(F.max(F.when(F.col("term") == term, F.col("weight"))), name) for term, name in (("_p0", "slope"), (e.INTERCEPT, "intercept"))])
 
 
 @query("sequenciator", Q.sequence(CUT), ("sparse", "pixels"))
@@ -174,6 +175,35 @@ def _three(x: Tables, part: int) -> DataFrame:
     return out
 
 
+@query(
+    "grid_run",
+    f"{Q.split(CUT)}, {Q.three('future', 'p')} select model, station, {Q.SCORES} from (select *, avg(z) over (partition by model, station) m from p where e is not null) group by 1, 2",
+    ("sparse", "positions"),
+)
+def grid_run(x: Tables) -> DataFrame:
+    """Three models over all stations, written to a folder as they end, and scored from there."""
+    models = {"mean": E.SnapshotMean(), "invvar": E.InverseVariance(), "distance": E.DistanceModel(x.positions(), lambda d: S.KERNELS["exponential"](d, 5.0))}
+    return _scores(runs.run_models(models, *_split(x), f"{shared_folder(x.spark)}/runs-{uuid.uuid4().hex}"))
+
+
+@query("source_lasso_conditions", "select kind, term, true holds from (select unnest(['lasso', 'positive_lasso']) kind), (select unnest(['_p0', '_p1', '_p2', '_p3']) term)")
+def source_lasso_conditions(x: Tables) -> DataFrame:
+    """Whether each weight is optimal at the penalty chosen: the rate of the square error's fall is alpha with the weight's sign, or at most alpha at 0."""
+    past, out = _split(x)[0], None
+    for kind in ("lasso", "positive_lasso"):
+        e = E.Regression(_features(x), NAMES, kind)
+        found = e.fit(past)
+        frame = e._frame(past)
+        terms = list(e._terms())
+        left = E.with_weights(frame, found).withColumn("_r", F.col("z") - F.col("estimate") - E.weighted(terms))
+        rates = left.agg(*[F.covar_pop(c, "_r").alias(c) for c in terms]).unpivot([], terms, "term", "rate").join(found, "term")
+        close, rate = 1e-6, F.when(F.col("weight") == 0, F.col("rate") if kind == "positive_lasso" else F.abs("rate"))
+        holds = F.when(F.col("weight") == 0, rate <= F.col("alpha") + close).otherwise(F.abs(F.col("rate") - F.signum("weight") * F.col("alpha")) <= close)
+        own = rates.select(F.lit(kind).alias("kind"), "term", (holds & (F.lit(kind == "lasso") | (F.col("weight") >= 0))).alias("holds"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("aggregator_stacked", Q.aggregator_stacked(CUT), ("sparse", "positions"))
 def aggregator_stacked(x: Tables) -> DataFrame:
     return _scores(E.ensemble(_three(x, 1), E.ensemble_weights(_three(x, 0), "regression"), "stacked"))
@@ -347,12 +377,20 @@ def projection_after_source(x: Tables) -> DataFrame:
     e = _component(x)
     q = traffic.node_source(x.traffic_edge(), e)
     r = E.Regression(_as_station(q), traffic.NAMES, "ridge", residual=False)
-    r.fit(_split_days(_node_panel(x, e))[0])
-    field = q.select("t", "node", (sum((F.col(c) * float(w) for c, w in zip(traffic.NAMES, r.weights, strict=True)), F.lit(float(r.intercept)))).alias("z"))
+    found = r.fit(_split_days(_node_panel(x, e))[0])
+    field = E.with_weights(q, found).select("t", "node", E.weighted([f"_p{k}" for k in range(len(traffic.NAMES))], list(traffic.NAMES)).alias("z"))
     basis = E.laplacian_basis(graph.normalised_laplacian(e, F.col("length") * F.col("lanes")), 5)
     return E.project(field, basis).select("t", "node", r6("z", "z"))
 
 
+@query("projected_source")
+def projected_source(x: Tables) -> DataFrame:
+    """Regression on the node source projected on smooth modes of the graph, their number by training error."""
+    e = _component(x)
+    basis = E.laplacian_basis(graph.normalised_laplacian(e, F.col("length") * F.col("lanes")), 4)
+    return _scores(E.ProjectedRegression(checkpointed(traffic.node_source(x.traffic_edge(), e)), checkpointed(basis), traffic.NAMES, 4).evaluate(*_split_days(_node_panel(x, e))))
+
+
 @query("projection_best_k")
 def projection_best_k(x: Tables) -> DataFrame:
     """Mean square error of the projected source by number of principal vectors: all numbers in one plan."""

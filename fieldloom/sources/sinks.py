@@ -42,3 +42,37 @@ def read_predictions(spark: SparkSession, path: str, models: list[str] | None =
 
 def write_run_info(spark: SparkSession, path: str, values: dict) -> None:
     spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string").coalesce(1).write.mode("append").parquet(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_model(parameters, path: str) -> None:
+    """What an estimator's fit gave: a table, a pyspark.ml model, or a list of these; complete once its table kind is there."""
+    spark, path = SparkSession.active(), path.rstrip("/")
+    if isinstance(parameters, list):
+        kind, size = "list", len(parameters)
+        for k, x in enumerate(parameters):
+            write_model(x, f"{path}/{k}")
+    elif isinstance(parameters, DataFrame):
+        kind, size = "table", 1
+        write_table(parameters, f"{path}/table")
+    else:
+        kind, size = "model", 1
+        parameters.write().overwrite().save(f"{path}/model")
+    write_table(spark.createDataFrame([(kind, size)], "kind string, size int"), f"{path}/kind")
+
+
+def has_model(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path.rstrip('/')}/kind")
+
+
+def read_model(spark: SparkSession, path: str):
+    from pyspark.ml import PipelineModel
+
+    path = path.rstrip("/")
+    own = spark.read.parquet(f"{path}/kind").first()
+    if own.kind == "list":
+        return [read_model(spark, f"{path}/{k}") for k in range(own.size)]
+    return spark.read.parquet(f"{path}/table") if own.kind == "table" else PipelineModel.load(f"{path}/model")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars as S
 from fieldloom.operators import estimators as E
-from fieldloom.operators import evaluate, graph, linalg, spatial, traffic
+from fieldloom.operators import evaluate, graph, linalg, runs, spatial, traffic
 from fieldloom.operators import panel as P
 
 PATH = [(1, 2, 2.0, 1.0), (2, 3, 4.0, 2.0)]
@@ -223,7 +223,7 @@ def test_lasso_penalty_is_the_best_of_a_slow_search(spark):
     panel = spark.createDataFrame([(t, s, z) for t, s, _, _, z in rows], "t long, station string, z double")
     features = spark.createDataFrame([(t, s, a, b) for t, s, a, b, _ in rows], "t long, station string, f0 double, f1 double")
     e = E.Regression(features, ("f0", "f1"), "lasso", residual=False)
-    e.fit(panel)
+    found = {r.term: r for r in e.fit(panel).collect()}
     x, y, who = np.array([r[2:4] for r in rows]), np.array([r[4] for r in rows]), np.array([r[1] for r in rows])
 
     def fitted(keep, alpha):
@@ -235,4 +235,69 @@ def test_lasso_penalty_is_the_best_of_a_slow_search(spark):
     grid = linalg.lasso_grid((x - x.mean(0)).T @ (y - y.mean()), len(y), 30)
     losses = [sum(((y[who == s] - x[who == s] @ w - b) ** 2).sum() for s in "abc" for w, b in [fitted(who != s, a)]) for a in grid]
     best = grid[int(np.argmin(losses))]
-    assert np.isclose(e.chosen_alpha, best) and np.allclose(e.weights, fitted(every, best)[0], atol=1e-6)
+    w, b = fitted(every, best)
+    assert np.isclose(found["_p0"].alpha, best) and np.allclose([found[k].weight for k in ("_p0", "_p1", "intercept")], [*w, b], atol=1e-6)
+
+
+def _small_panel(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, s, float(a), float(b), float(a - b + rng.normal(0, 0.1))) for t in range(12) for s in "abcd" for a, b in [rng.normal(size=2)]]
+    panel = spark.createDataFrame([(t, s, z) for t, s, _, _, z in rows], "t long, station string, z double")
+    return panel, spark.createDataFrame([(t, s, a, b) for t, s, a, b, _ in rows], "t long, station string, f0 double, f1 double")
+
+
+def test_models_are_kept_and_a_run_is_taken_up_again(spark, tmp_path):
+    panel, features = _small_panel(spark)
+    past, future = panel.where("t < 8"), panel.where("t >= 8")
+    regression = lambda kind, **more: E.Regression(features, ("f0", "f1"), kind, **more)
+    models = {
+        "ridge": regression("ridge"), "perceptron": regression("perceptron"), "forest": regression("forest", grid={"maxDepth": (1, 2), "numTrees": (5,)}),
+        "blue": E.SnapshotBLUE(), "both": E.Sequence([E.SnapshotMean(), regression("linear", residual=False)]),
+    }
+    folder = str(tmp_path / "run")
+    rows = lambda df: sorted((r.model, r.station, r.t, round(r.estimate, 9)) for r in df.collect())
+    first = runs.run_models(models, past, future, folder)
+    got = rows(first)
+    assert len(got) == 5 * 16 and first.where("seconds <= 0").isEmpty()
+    for name, e in models.items():
+        direct = e.predict(e.fit(past), future)
+        assert sorted((name, r.fold, r.t, round(r.estimate, 9)) for r in direct.collect()) == [x for x in got if x[0] == name]
+
+    class Never(E.Estimator):
+        def fit(self, past):
+            raise AssertionError("fitted again")
+
+        def predict(self, parameters, panel):
+            raise AssertionError("predicted again")
+
+    assert rows(runs.run_models(dict.fromkeys(models, Never()), past, future, folder)) == got
+    weights = E.ensemble_weights(sinks_read(spark, folder, ["ridge", "blue"]), "mse")  # models read again can be stacked
+    assert set(weights) == {"ridge", "blue"} and abs(sum(weights.values()) - 1) < 1e-9
+
+
+def sinks_read(spark, folder, names):
+    return spark.read.parquet(*[f"{folder}/{n}/predictions" for n in names])
+
+
+def test_projected_features_and_their_number(spark):
+    """Against dense numpy: a field of 5 times and 4 nodes, some missing, on 3 orthonormal vectors."""
+    rng = np.random.default_rng(9)
+    full, b = rng.normal(size=(5, 4)), np.linalg.qr(rng.normal(size=(4, 3)))[0]
+    full[1, 2] = full[4, 0] = 0
+    source = spark.createDataFrame([(t, n, float(full[t, n])) for t in range(5) for n in range(4) if full[t, n]], "t long, node long, f0 double")
+    basis = spark.createDataFrame([(n, k, float(b[n, k])) for n in range(4) for k in range(3)], "node long, k long, b double")
+    panel = spark.createDataFrame([(t, str(n), float(rng.normal())) for t in range(5) for n in range(4)], "t long, station string, z double")
+    z = np.array([r.z for r in panel.orderBy("t", "station").collect()]).reshape(5, 4)
+    base, errors, mean = (z.sum(1, keepdims=True) - z) / 3, [], full.mean(0)
+    for size in (1, 2, 3):
+        want = (full - mean) @ b[:, :size] @ b[:, :size].T + mean
+        e = E.ProjectedRegression(source, basis, ("f0",), 3, kind="linear")
+        got = {(r.t, int(r.station)): r.f0 for r in e.features(size).collect()}
+        assert len(got) == 20 and all(abs(got[t, n] - want[t, n]) < 1e-9 for t in range(5) for n in range(4))
+        x, y = want.ravel(), (z - base).ravel()
+        slope = np.polyfit(x, y, 1)
+        errors.append(((np.polyval(slope, x) - y) ** 2).mean())
+    found = e.fit(panel)
+    assert found.first()["size"] == 1 + int(np.argmin(errors))
+    own = e.predict(found, panel).collect()
+    assert len(own) == 20 and abs(np.mean([(r.estimate - z[r.t, int(r.fold)]) ** 2 for r in own]) - min(errors)) < 1e-9
