@@ -525,8 +525,18 @@ def project(field: DataFrame, basis: DataFrame) -> DataFrame:
     return c.join(basis, "k").groupBy("t", "node").agg(F.sum(F.col("c") * F.col("b")).alias("z"))
 
 
+def energy_filter(field: DataFrame, basis: DataFrame, share: float) -> DataFrame:
+    """(t, node, z) of a field on the first basis vectors (by k) that hold at most this share of a time's energy, the sum of squared coefficients."""
+    c = field.join(basis, "node").groupBy("t", "k").agg(F.sum(F.col("z") * F.col("b")).alias("c"))
+    kept = P.cumulative_energy(c, "c", "k", ["t"]).where(F.col("energy") <= share)
+    return kept.join(basis, "k").groupBy("t", "node").agg(F.sum(F.col("c") * F.col("b")).alias("z"))
+
+
 def basis_table(spark: SparkSession, nodes: list, vectors: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(n, k, float(vectors[i, k])) for i, n in enumerate(nodes) for k in range(vectors.shape[1])], ["node", "k", "b"])
+    import pyarrow as pa
+
+    n, k = vectors.shape
+    return spark.createDataFrame(pa.table({"node": pa.array(nodes).take(pa.array(np.repeat(np.arange(n), k))), "k": np.tile(np.arange(k), n), "b": np.ascontiguousarray(vectors, dtype=float).ravel()}))
 
 
 def laplacian_basis(matrix: DataFrame, k: int, which: str = "smallest") -> DataFrame:

@@ -188,3 +188,16 @@ def correlations(panel: DataFrame, least: int = 2) -> DataFrame:
     right = panel.where("z is not null").select("t", F.col("station").alias("b"), F.col("z").alias("_y"))
     pairs = left.join(right, "t").where("a < b")
     return pairs.groupBy("a", "b").agg(F.corr("_x", "_y").alias("corr"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (only_a, only_b): how many rows, repeats counted, each of two tables of the same columns has beyond the other; 0 and 0 if they are equal."""
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_side").alias("_n"))
+    return left.agg(*[F.coalesce(F.sum(F.greatest(c, F.lit(0))), F.lit(0)).alias(n) for n, c in (("only_a", F.col("_n")), ("only_b", -F.col("_n")))])
+
+
+def in_order(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """df with place, the position of column's value in names, sorted by it; values that names lacks come last, with null."""
+    place = F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column)), F.lit(0)) if names else F.lit(None).cast("long")
+    return df.withColumn("place", place).orderBy(F.asc_nulls_last("place"), column)

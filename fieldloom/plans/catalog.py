@@ -119,6 +119,17 @@ def time_except(x: Tables) -> DataFrame:
     return P.times_except(a, c)
 
 
+@query("station_set_equality", "select (select count(*) from (select distinct station from sparse except select station from positions)) only_a, (select count(*) from (select station from positions except select distinct station from sparse)) only_b", ("sparse", "positions"))
+def station_set_equality(x: Tables) -> DataFrame:
+    return P.differences(x.sparse().select("station").distinct(), x.positions().select("station"))
+
+
+@query("station_order", "select event_type station, count(*) n, cast(case event_type when 'purchase' then 1 when 'view' then 2 when 'click' then 3 end as bigint) place from events group by 1")
+def station_order(x: Tables) -> DataFrame:
+    counts = x.read("events").groupBy(F.col("event_type").alias("station")).agg(F.count(F.lit(1)).alias("n"))
+    return P.in_order(counts, "station", ["purchase", "view", "click"])
+
+
 @query("traffic_on_available_times", "select pixel, count(*) n from pixels where t in (select t from panel where station = 'error') group by 1", ("pixels", "panel"))
 def traffic_on_available_times(x: Tables) -> DataFrame:
     return x.pixels().join(x.panel().where("station = 'error'").select("t"), "t", "left_semi").groupBy("pixel").agg(F.count(F.lit(1)).alias("n"))

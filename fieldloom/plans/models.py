@@ -247,6 +247,12 @@ def laplacian_projection(x: Tables) -> DataFrame:
     return E.project(source, basis).select("t", "node", r6("z", "z"))
 
 
+@query("energy_filtered")
+def energy_filtered(x: Tables) -> DataFrame:
+    e, source = _node_field(x)
+    return E.energy_filter(source, E.laplacian_basis(graph.laplacian(e, F.col("length")), E.SOLVE_NODES), 0.9).select("t", "node", r6("z", "z"))
+
+
 @query("pca_projection")
 def pca_projection(x: Tables) -> DataFrame:
     _, source = _node_field(x)

@@ -107,6 +107,18 @@ def build_name(lat, lon, zoom, t):
     return F.concat(F.lit("Screenshot_"), F.concat_ws("_", *[F.format_string("%s", c) for c in (lat, lon, zoom, F.year(t), F.month(t), F.day(t), F.hour(t), F.minute(t))]), F.lit(".png"))
 
 
+def traffic_matrix(spark: SparkSession, path, rows: int | None = None) -> DataFrame:
+    """(t, r, c, colour) of CSV files with a time in the first column and a colour code under each pixel "(r, c)"; rows: only so many lines."""
+    from ..functions.scalars import pair_of
+
+    wide = spark.read.csv(path, header=True)
+    wide = wide if rows is None else wide.limit(rows)
+    pixels = [F.col(f"`{c}`") for c in wide.columns[1:]]
+    tall = wide.withColumnRenamed(wide.columns[0], "_t").unpivot("_t", pixels, "_pixel", "_colour")
+    r, c = pair_of(F.col("_pixel"))
+    return tall.select(F.col("_t").try_cast("timestamp_ntz").alias("t"), r.alias("r"), c.alias("c"), F.col("_colour").try_cast("double").cast("int").alias("colour"))
+
+
 def graphml(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(nodes (node, x, y), edges (u, v, length, lanes, highway)) of a GraphML file; lanes and highway may be lists written as ['a', 'b']."""
     found = spark.read.format("xml").option("rowTag", "key").schema("`_attr.name` string, _id string, _for string").load(path).collect()

@@ -85,3 +85,12 @@ def test_synthetic_and_projection(spark):
     lat, lon = S.lambert93(F.lit(700000.0), F.lit(6600000.0))
     r = spark.range(1).select(lat.alias("lat"), lon.alias("lon")).first()
     assert abs(r.lat - 46.5) < 1e-5 and abs(r.lon - 3) < 1e-9
+
+
+def test_traffic_matrix(spark, tmp_path):
+    for k, line in enumerate(("2020-01-01 10:00:00,1,0", "2020-01-02 10:15:00,,4.0")):
+        (tmp_path / f"{k}.csv").write_text(f'time,"(0, 3)","(12, 7)"\n{line}\n')
+    got = [(str(r.t), r.r, r.c, r.colour) for r in readers.traffic_matrix(spark, str(tmp_path)).collect()]
+    a, b = "2020-01-01 10:00:00", "2020-01-02 10:15:00"
+    assert sorted(got, key=str) == sorted([(a, 0, 3, 1), (a, 12, 7, 0), (b, 0, 3, None), (b, 12, 7, 4)], key=str)
+    assert readers.traffic_matrix(spark, str(tmp_path), rows=1).count() == 2
