@@ -421,9 +421,6 @@ class Regression(Estimator):
 
         forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=50, maxDepth=3, seed=1)
         pipeline = Pipeline(stages=[VectorAssembler(inputCols=terms, outputCol="_x"), forest])
-        # trees draw rows by their place in a partition: placed by key and sorted, the same rows give the same forest
-        parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        frame = frame.repartition(parts, "station", "t").sortWithinPartitions("station", "t")
         if not self.grid:
             return pipeline.fit(frame)
         tried = ParamGridBuilder()
