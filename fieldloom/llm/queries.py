@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, html_text, lm_score, mixing, near_dedup, pii, quality, secret_scan
+from . import bpe, chat_format, clustering, exact_dedup, html_text, lm_score, mixing, near_dedup, phrases, pii, quality, secret_scan, simhash
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_mixing": op2_mixing,
@@ -69,8 +81,13 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
+    "op11_clusters": op11_clusters,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
 ORACLE_SQL = {
     "op4_chat_format": chat_format.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_clusters": clustering.oracle(),
+    "op12_collocations": phrases.ORACLE,
 }
