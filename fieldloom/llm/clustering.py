@@ -40,7 +40,7 @@ def first_centroids(vectors: DataFrame, k: int) -> np.ndarray:
     """The k vectors with the smallest sha256 of ``1:<id>``, in that order; of rows that repeat an id, by components."""
     name = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     rows = vectors.select(name.alias("name"), "x").orderBy("name", "x").limit(k).collect()
-    return np.array([r.x for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.x for r in rows], dtype=np.int64)
 
 
 def _assigned(state: DataFrame, centroids: np.ndarray, moved: list[int]) -> DataFrame:

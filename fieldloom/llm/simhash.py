@@ -198,7 +198,7 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         if large is None:
             return checkpointed(found.distinct())
-        finer = {_signed(m): [_signed(x) for x in finer_masks(m & ((1 << BITS) - 1), radius)] for m in masks}
+        finer = {m: [_signed(x) for x in finer_masks(m & ((1 << BITS) - 1), radius)] for m in masks}
         children = F.create_map(*(x for m, own in finer.items() for x in (F.lit(m), F.array(*map(F.lit, own)))))
         rows = checkpointed(rows.join(large, ["mask", "key"], "left_semi").select("fp", F.explode(F.element_at(children, F.col("mask"))).alias("mask")).select("mask", fp.bitwiseAND(F.col("mask")).alias("key"), "fp"))
         masks = sorted({x for own in finer.values() for x in own})

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import tracemalloc
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from fieldloom.llm import gru_lm as G
 from fieldloom.llm import lm_score as L
@@ -109,8 +111,24 @@ def test_training_learns_from_every_target(spark):
     rows = [(f"{k} " * 40 + "b c " * 60,) for k in range(5)] + [("a",), (None,)]
     texts = spark.createDataFrame(rows, "text string")
     parts = L.build_lexicon(L.token_counts(texts))
-    out = list(L._learn(parts, None)([pa.RecordBatch.from_arrays([pa.array([t for t, in rows], pa.string())], ["text"])]))
-    assert out[0].column(1)[0].as_py() == sum(len((t or "").split()) + 1 for t, in rows)
+    batch = lambda own, group: pa.RecordBatch.from_arrays([pa.array([group] * len(own), pa.int32()), pa.array([t for t, in own], pa.string())], ["group", "text"])
+    out = list(L._learn(parts, None)([batch(rows[:2], 0), batch(rows[2:4], 0), batch(rows[4:], 3)]))
+    targets = lambda own: sum(len((t or "").split()) + 1 for t, in own)
+    assert [b.column(1)[0].as_py() for b in out] == [targets(rows[:4]), targets(rows[4:])]
+
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_the_model_beats_the_base_on_real_rows_however_rows_are_placed(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROUP", 150_000)  # so that groups are averaged
+    docs = spark.read.parquet(SF)
+    gains = []
+    for rows in (docs.coalesce(1), docs.repartition(5)):
+        r = L.score(rows).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
+        gains.append(r.s - r.b)
+    assert min(gains) > 0.1 and abs(gains[0] - gains[1]) < 1e-3, gains
 
 
 def test_the_end_is_a_word_of_the_model_however_rare(spark, monkeypatch):
