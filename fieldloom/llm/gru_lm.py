@@ -16,7 +16,12 @@ from dataclasses import dataclass, field
 import numpy as np
 
 HIDDEN, EMBED, CLASSES = 16, 16, 64
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 16, 0.4, 4.0
+TRAIN_LANES, TRAIN_WINDOW, CLIP = 256, 16, 4.0
+#: The learning rate falls from RATE by the share FALL over a call of train, which makes about STEPS steps: of few
+#: documents the lanes are fewer, so that a small corpus is not learned in a handful of large steps.
+RATE, FALL, STEPS = 0.2, 0.9, 320
+#: Adagrad's sums at the start. The output biases are the corpus's own counts, hence right from the start: they stay.
+START = {"E": 1e-4, "W": 1e-4, "U": 1e-4, "b": 1e-4, "C": 3e-3, "O": 3e-3, "cb": 1e12, "ob": 1e12}
 SCORE_LANES, SCORE_WINDOW = 512, 32
 #: Most steps of a window when few lanes are left.
 TRAIN_LONGEST, SCORE_LONGEST = 64, 512
@@ -121,14 +126,19 @@ class Lanes:
         sizes = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
         width = max(1, min(width, len(docs)))
         load = [(0, k) for k in range(width)]
-        lane, within = np.zeros(len(docs), dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
+        lane = np.zeros(len(docs), dtype=np.int64)
         for i in np.argsort(-sizes, kind="stable").tolist():
             used, k = heapq.heappop(load)
-            lane[i], within[i] = k, used
+            lane[i] = k
             heapq.heappush(load, (used + int(sizes[i]), k))
         used = np.zeros(width, dtype=np.int64)
         for n, k in load:
             used[k] = n
+        # inside a lane documents keep their order, so that long and short ones mix
+        by_lane = np.argsort(lane, kind="stable")
+        before = np.concatenate(([0], np.cumsum(sizes[by_lane])[:-1])) if len(docs) else sizes
+        within = np.empty(len(docs), dtype=np.int64)
+        within[by_lane] = before - np.repeat(np.concatenate(([0], np.cumsum(used)[:-1])), np.bincount(lane, minlength=width))
         order = np.argsort(-used, kind="stable")
         self.lengths = used[order]
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
@@ -283,8 +293,8 @@ def score(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout
     return sums
 
 
-def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout, rate: float = RATE, memory: dict | None = None) -> tuple[int, float]:
-    """Change weights by one pass over the documents, learning from every window.
+def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout, rate: float = RATE, memory: dict | None = None, fall: float = FALL) -> tuple[int, float]:
+    """Change weights by one pass over the documents, learning from every window, at a rate that falls to (1 - fall) of it.
 
     memory holds Adagrad's sums between calls. Returns the targets learned from and their summed log-probability.
     """
@@ -292,23 +302,25 @@ def train(docs: list[np.ndarray], weights: dict[str, np.ndarray], layout: Layout
         return 0, 0.0
     memory = {} if memory is None else memory
     for k in SHAPES:
-        memory.setdefault(k, np.full(weights[k].shape, 1e-2, dtype=f32))
+        memory.setdefault(k, np.full(weights[k].shape, START[k], dtype=f32))
     n, e, w, u, bias = HIDDEN, weights["E"], weights["W"], weights["U"], weights["b"]
     # output weights with their biases as a last row or column
     to_class, class_memory = (np.vstack((x["C"], x["cb"])) for x in (weights, memory))
     to_word, word_memory = (np.column_stack((x["O"], x["ob"])) for x in (weights, memory))
-    lanes = Lanes(docs, TRAIN_LANES)
+    total_targets = sum(map(len, docs))
+    lanes = Lanes(docs, min(TRAIN_LANES, max(8, total_targets // (TRAIN_WINDOW * STEPS))))
     h = np.zeros((n, len(lanes.lengths)), dtype=f32)
-    learned, likelihood = 0, 0.0
+    learned, likelihood, now = 0, 0.0, f32(rate)
 
     def step(values: np.ndarray, m: np.ndarray, g: np.ndarray) -> None:
         m += g * g
-        g *= f32(rate)
+        g *= now
         g /= np.sqrt(m)
         values -= g
 
     for x, y, begins, live, _ in lanes.windows(TRAIN_WINDOW, TRAIN_LONGEST):
         steps, width = x.shape
+        now = f32(rate * (1 - fall * learned / total_targets))
         xp = _projected(e @ w + bias, x)
         states, before, z, r, un, new = _forward(xp, begins, h[:, :width], np.ascontiguousarray(u.T))
         h = states[-1]

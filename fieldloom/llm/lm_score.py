@@ -6,10 +6,11 @@ Over all training documents (crc32 of the id as text, mod 5, is not 1), distribu
 2. The head, the most frequent tokens and the end: HEAD of them at most (a bound on what is broadcast), by a threshold
    from a histogram of counts; the end and the VOCAB most frequent are the model's words. All other tokens are in the model by shape, with
    the share (c + 0.5) / (mass of the shape) inside it, so that model and base score the same events.
-3. Training. Each task reads whole documents with the state carried and learns from every window; the tasks' weights are
-   averaged by the targets they learned from. First a pass over one document in FIRST_PASS
-   from the unigram model, so that the tasks start alike, then one over all from the first average. What is gathered
-   grows with the number of tasks.
+3. Training. Documents are dealt by a hash of id and text to groups of about GROUP tokens, in an order of that hash. Each
+   group is read with the state carried over whole documents and learned from in every window, at a falling rate; the
+   groups' weights are averaged by the targets they learned from. First a pass over one document in FIRST_PASS from the
+   unigram model, so that the groups start alike, then one over all from the first average. Groups don't depend on how
+   rows fall into tasks, so neither do scores; what is gathered grows with the number of groups.
 4. Scoring. Whole documents; tokens outside the head are joined to their counts and added per document.
 """
 
@@ -30,7 +31,7 @@ from .common import checkpointed, raw_texts, small_batches, worker_state
 
 FOLDS, HELD_OUT = 5, 1
 HEAD, VOCAB = 1 << 18, 4096
-FIRST_PASS = 8
+FIRST_PASS, GROUP = 8, 2_000_000
 SLICE_BYTES, CHUNK_BYTES, OUT_ROWS = 32_000_000, 6_000_000, 20_000
 PIECE = 512
 LOG10 = float(np.log(10))
@@ -206,20 +207,37 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
         yield pa.concat_batches([b for b in held if len(b)]), texts
 
 
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], bool]]:
+    """(group, texts, whether they end it) of rows in the order of groups; up to SLICE_BYTES of texts at a time."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        for group, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+            if held and (group != now or size + len(text) > SLICE_BYTES):
+                yield now, held, group != now
+                held, size = [], 0
+            now = group
+            held.append(text)
+            size += len(text)
+    if held:
+        yield now, held, True
+
+
 def _learn(parts: tuple, flat: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon(*parts)
-        weights = gru_lm.initial(lex.layout)
+        start = gru_lm.initial(lex.layout)
         if flat is not None:
-            weights = gru_lm.unpacked(np.frombuffer(flat, dtype=np.float32), weights)
-        memory: dict = {}
-        learned = 0
-        for _, texts in _gathered(batches, 0):
+            start = gru_lm.unpacked(np.frombuffer(flat, dtype=np.float32), start)
+        weights: dict | None = None
+        for _, texts, over in _by_group(batches):
+            if weights is None:
+                weights, memory, learned = {k: w.copy() for k, w in start.items()}, {}, 0
             learned += gru_lm.train([x for chunk in _chunks(texts) for x in lex.model_symbols(tokenised(chunk))], weights, lex.layout, memory=memory)[0]
-        if learned:
-            out = gru_lm.packed(weights) * np.float32(learned)
-            pieces = [out[k : k + PIECE].tobytes() for k in range(0, len(out), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([learned] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "learned", "weights"])
+            if over:
+                out = gru_lm.packed(weights) * np.float32(learned)
+                pieces = [out[k : k + PIECE].tobytes() for k in range(0, len(out), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([learned] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "learned", "weights"])
+                weights = None
 
     return run
 
@@ -236,9 +254,15 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[k] / learned[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["piece", "weights"])
 
 
-def averaged(texts: DataFrame, parts: tuple, flat: bytes | None) -> bytes | None:
-    """The tasks' weights after a pass over texts, averaged piece by piece; the model comes to the driver (half a MB)."""
-    own = texts.mapInArrow(_learn(parts, flat), "piece int, learned long, weights binary")
+def averaged(texts: DataFrame, tokens: int, parts: tuple, flat: bytes | None) -> bytes | None:
+    """The groups' weights after a pass over texts (_fl_key, _fl_text), averaged piece by piece.
+
+    There is a group for each GROUP of tokens; the model comes to the driver (half a MB).
+    """
+    groups = max(1, -(-tokens // GROUP))
+    dealt = texts.select(F.pmod("_fl_key", F.lit(groups)).cast("int").alias("_fl_group"), "_fl_key", "_fl_text")
+    rows = dealt.repartitionById(groups, "_fl_group").sortWithinPartitions("_fl_group", "_fl_key").select("_fl_group", "_fl_text")
+    own = rows.mapInArrow(_learn(parts, flat), "piece int, learned long, weights binary")
     pieces = own.repartition("piece").mapInArrow(_add, "piece int, weights binary").collect()
     return b"".join(r.weights for r in sorted(pieces, key=lambda r: r.piece)) or flat
 
@@ -279,7 +303,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null texts count as empty: one token, the end. A null id is for training. Repeated rows are rows of their own and
     are counted as often; an empty table gives no rows. If no row is for training, all tokens are unknown, the model is
     the base and score equals base_score. Other columns are ignored. Whole texts are read, in memory that follows their
-    tokens. Tasks train apart and are averaged, so score (not base_score) depends on how rows fall into tasks.
+    tokens. Groups of documents train apart and are averaged; sums of floats apart, score is the same however rows fall
+    into tasks.
     """
     own = small_batches(docs).select(F.col(id_col).alias("_fl_id"), F.col(text_col).alias("_fl_text"), is_held_out(F.col(id_col)).alias("held_out"))
     train = own.where("not held_out")
@@ -291,9 +316,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         total = F.size(F.filter(F.split(F.coalesce("_fl_text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
         base = total * float(np.log10(0.5 / (n + 0.5 * (v + 1))))
         return own.select(F.col("_fl_id").alias(id_col), "held_out", total.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), base.alias("base_score"), base.alias("score"))
-    first = train.where(F.pmod(F.xxhash64("_fl_id", F.lit(5)), F.lit(FIRST_PASS)) == 0).select("_fl_text")
-    flat = averaged(first, parts, None)
-    flat = averaged(train.select("_fl_text"), parts, flat)
+    keyed = train.select(F.xxhash64("_fl_id", "_fl_text", F.lit(5)).alias("_fl_key"), "_fl_text")
+    first = keyed.where(F.pmod(F.xxhash64("_fl_key"), F.lit(FIRST_PASS)) == 0)
+    flat = averaged(first, -(-n // FIRST_PASS), parts, None)
+    flat = averaged(keyed, n, parts, flat)
 
     numbered = own.select(F.monotonically_increasing_id().alias("_fl_row"), "_fl_id", "held_out", "_fl_text")
     scored = checkpointed(numbered.mapInArrow(_score(parts, flat), f"_fl_row long, _fl_id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, tail array<binary>"))
