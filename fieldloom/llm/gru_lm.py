@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 HIDDEN, EMBED, CLASSES = 16, 16, 64
-TRAIN_LANES, TRAIN_WINDOW, CLIP = 256, 16, 4.0
+TRAIN_LANES, TRAIN_WINDOW, CLIP = 384, 16, 4.0
 #: The learning rate falls from RATE by the share FALL over a call of train, which makes about STEPS steps: of few
 #: documents the lanes are fewer, so that a small corpus is not learned in a handful of large steps.
 RATE, FALL, STEPS = 0.2, 0.9, 320

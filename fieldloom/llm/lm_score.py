@@ -31,7 +31,7 @@ from .common import checkpointed, raw_texts, small_batches, worker_state
 
 FOLDS, HELD_OUT = 5, 1
 HEAD, VOCAB = 1 << 18, 4096
-FIRST_PASS, GROUP = 8, 2_000_000
+FIRST_PASS, GROUP = 8, 4_000_000
 SLICE_BYTES, CHUNK_BYTES, OUT_ROWS = 32_000_000, 6_000_000, 20_000
 PIECE = 512
 LOG10 = float(np.log(10))
