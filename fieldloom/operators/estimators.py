@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import linalg
+from . import forest, linalg
 from . import panel as P
 from .components import checkpointed
 
@@ -340,10 +340,10 @@ class Regression(Estimator):
     """Regression of a value on features (t, station, f0, f1, ...): normal equations by one aggregate, solved small.
 
     kind: "linear", "positive", "ridge", "lasso", "positive_lasso" (the penalty by leave-one-station-out over a grid),
-    "forest" (pyspark.ml; with a grid, its settings by cross-validation over groups of stations) or "perceptron" (on at
-    most SAMPLE rows). degree expands features to all monomials. With residual, the value is taken less the mean of the
-    others at its time, and the mean is added back. fit gives (term, weight, alpha) with the intercept under INTERCEPT,
-    a pyspark.ml model for a forest, and the layers of a perceptron as rows; nothing is kept in the estimator.
+    "forest" (see forest; with a grid, numTrees and maxDepth by cross-validation over groups of stations) or "perceptron"
+    (over all rows, see perceptron). degree expands features to all monomials. With residual, the value is taken less the
+    mean of the others at its time, and the mean is added back. fit gives (term, weight, alpha) with the intercept under
+    INTERCEPT, a forest's nodes or a perceptron's layers as rows; nothing is kept in the estimator.
     """
 
     features: DataFrame
@@ -412,32 +412,24 @@ class Regression(Estimator):
         w, b = weights(rows, alpha)
         return past.sparkSession.createDataFrame([(c, float(x), float(alpha)) for c, x in [*zip(terms, w, strict=True), (self.INTERCEPT, b)]], "term string, weight double, alpha double")
 
-    def _forest(self, terms: list[str], frame: DataFrame):
-        from pyspark.ml import Pipeline
-        from pyspark.ml.evaluation import RegressionEvaluator
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import RandomForestRegressor
-        from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-        forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=50, maxDepth=3, seed=1)
-        pipeline = Pipeline(stages=[VectorAssembler(inputCols=terms, outputCol="_x"), forest])
-        if not self.grid:
-            return pipeline.fit(frame)
-        tried = ParamGridBuilder()
-        for name, values in self.grid.items():
-            tried = tried.addGrid(forest.getParam(name), list(values))
-        stations = station_list(frame)
-        folds = frame.sparkSession.createDataFrame([(x, k % self.FOLDS) for k, x in enumerate(stations)], "station string, _group int")
-        rated = CrossValidator(estimator=pipeline, estimatorParamMaps=tried.build(), evaluator=RegressionEvaluator(labelCol="_y"), numFolds=min(self.FOLDS, len(stations)), foldCol="_group", seed=1)
-        return rated.fit(frame.join(F.broadcast(folds), "station")).bestModel
+    def _forest(self, terms: list[str], frame: DataFrame) -> DataFrame:
+        spark, group = frame.sparkSession, F.lit(0)
+        if self.grid:  # groups of stations, dealt in their order; by a hash where they are many
+            names = [r[0] for r in frame.select("station").distinct().orderBy("station").limit(MAX_STATIONS + 1).collect()]
+            if len(names) > MAX_STATIONS:
+                group = F.pmod(F.xxhash64("station"), F.lit(self.FOLDS)).cast("int")
+            else:
+                group = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k % self.FOLDS)]), F.col("station"))
+        rows = checkpointed(frame.select(F.xxhash64("t", "station").alias("_key"), "_y", group.alias("_group"), *terms))
+        if rows.isEmpty():
+            return spark.createDataFrame([(0, 1, -1, 0.0, 0.0)], forest.TABLE)
+        return spark.createDataFrame(forest.fit(rows, terms, self.grid, folds=self.FOLDS).rows(), forest.TABLE)
 
     def predict(self, parameters, panel: DataFrame) -> DataFrame:
         frame = self._frame(panel)
         terms = list(self._terms())
-        if self.kind == "forest":
-            out = parameters.transform(frame).withColumn("_e", F.col("prediction"))
-        elif self.kind == "perceptron":
-            model = linalg.Perceptron.of([tuple(r) for r in parameters.collect()])
+        if self.kind in ("forest", "perceptron"):
+            model = (forest.Trees if self.kind == "forest" else linalg.Perceptron).of([tuple(r) for r in parameters.collect()])
 
             @F.pandas_udf("double")
             def apply(*xs):
