@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import forest, linalg
+from . import forest, linalg, perceptron, spectral
 from . import panel as P
 from .components import checkpointed
 
@@ -353,7 +353,7 @@ class Regression(Estimator):
     residual: bool = True
     alpha: float = 1.0
     grid: dict[str, tuple] = field(default_factory=dict)
-    SAMPLE, FOLDS, INTERCEPT = 50_000, 5, "intercept"
+    FOLDS, INTERCEPT = 5, "intercept"
 
     def _terms(self):
         terms = [t for t in linalg.polynomial_terms(len(self.names), self.degree) if t]
@@ -369,8 +369,7 @@ class Regression(Estimator):
         if self.kind == "forest":
             return self._forest(terms, frame)
         if self.kind == "perceptron":
-            rows = frame.select(*terms, "_y").orderBy(F.xxhash64("t", "station")).limit(self.SAMPLE).toPandas().to_numpy(dtype=float)
-            return past.sparkSession.createDataFrame(linalg.Perceptron().fit(rows[:, :-1], rows[:, -1]).rows(), "part string, layer int, row int, values array<double>")
+            return past.sparkSession.createDataFrame(perceptron.fit(frame.select(*terms, "_y")).rows(), perceptron.TABLE)
         columns = [*terms, "_y"]
         sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(columns)] + [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
         by = {r["station"]: r for r in frame.groupBy("station").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
@@ -429,7 +428,7 @@ class Regression(Estimator):
         frame = self._frame(panel)
         terms = list(self._terms())
         if self.kind in ("forest", "perceptron"):
-            model = (forest.Trees if self.kind == "forest" else linalg.Perceptron).of([tuple(r) for r in parameters.collect()])
+            model = (forest.Trees if self.kind == "forest" else perceptron.Perceptron).of([tuple(r) for r in parameters.collect()])
 
             @F.pandas_udf("double")
             def apply(*xs):
@@ -517,13 +516,6 @@ def project(field: DataFrame, basis: DataFrame) -> DataFrame:
     return c.join(basis, "k").groupBy("t", "node").agg(F.sum(F.col("c") * F.col("b")).alias("z"))
 
 
-def energy_filter(field: DataFrame, basis: DataFrame, share: float) -> DataFrame:
-    """(t, node, z) of a field on the first basis vectors (by k) that hold at most this share of a time's energy, the sum of squared coefficients."""
-    c = field.join(basis, "node").groupBy("t", "k").agg(F.sum(F.col("z") * F.col("b")).alias("c"))
-    kept = P.cumulative_energy(c, "c", "k", ["t"]).where(F.col("energy") <= share)
-    return kept.join(basis, "k").groupBy("t", "node").agg(F.sum(F.col("c") * F.col("b")).alias("z"))
-
-
 def basis_table(spark: SparkSession, nodes: list, vectors: np.ndarray) -> DataFrame:
     import pyarrow as pa
 
@@ -532,19 +524,13 @@ def basis_table(spark: SparkSession, nodes: list, vectors: np.ndarray) -> DataFr
 
 
 def laplacian_basis(matrix: DataFrame, k: int, which: str = "smallest") -> DataFrame:
-    """Eigenvectors of a symmetric tall matrix (a graph of up to DENSE_NODES nodes)."""
-    from . import graph
-
-    nodes, dense = graph.dense(matrix)
-    return basis_table(matrix.sparkSession, nodes, linalg.modes(dense, k, which))
+    """(node, k, b): eigenvectors of a symmetric tall matrix of any size."""
+    return spectral.eigenbasis(matrix, k, which)
 
 
 def pca_basis(field: DataFrame, k: int) -> DataFrame:
-    """Leading principal vectors over nodes of a field (t, node, z); covariances by one pair aggregate."""
-    m = moments(field.select("t", F.col("node").cast("string").alias("station"), "z"))
-    kinds = field.schema["node"].dataType.simpleString()
-    out = basis_table(field.sparkSession, m.stations, linalg.principal(m.corr * np.outer(m.sd, m.sd), k))
-    return out.withColumn("node", F.col("node").cast(kinds))
+    """(node, k, b): leading principal vectors over nodes of a field (t, node, z), never by a matrix of nodes by nodes."""
+    return spectral.principal_vectors(field, k)[1]
 
 
 def combined(terms: list[tuple[float, DataFrame]], identity: float = 0.0) -> DataFrame:

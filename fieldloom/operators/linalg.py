@@ -91,58 +91,3 @@ def polynomial_terms(n: int, degree: int) -> list[tuple[int, ...]]:
     from itertools import combinations_with_replacement
 
     return [c for d in range(degree + 1) for c in combinations_with_replacement(range(n), d)]
-
-
-class Perceptron:
-    """A regressor with logistic hidden layers, trained by Adam on standardised data held in memory (a bounded sample)."""
-
-    def __init__(self, hidden: tuple[int, ...] = (20, 20), steps: int = 400, rate: float = 0.01, seed: int = 0):
-        self.hidden, self.steps, self.rate, self.seed = hidden, steps, rate, seed
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Perceptron:
-        rng = np.random.default_rng(self.seed)
-        self.mx, self.sx = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-        self.my, self.sy = y.mean(), y.std() or 1.0
-        x, y = (x - self.mx) / self.sx, (y - self.my) / self.sy
-        sizes = (x.shape[1], *self.hidden, 1)
-        self.w = [[rng.normal(0, a**-0.5, (a, b)), np.zeros(b)] for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
-        m = [[np.zeros_like(p) for p in layer] for layer in self.w]
-        v = [[np.zeros_like(p) for p in layer] for layer in self.w]
-        for t in range(1, self.steps + 1):
-            acts = self._acts(x)
-            d = (acts[-1] - y[:, None]) / len(y)
-            for k in range(len(self.w) - 1, -1, -1):
-                g = (acts[k].T @ d, d.sum(0))
-                back = d @ self.w[k][0].T
-                for i in (0, 1):
-                    m[k][i] = 0.9 * m[k][i] + 0.1 * g[i]
-                    v[k][i] = 0.999 * v[k][i] + 0.001 * g[i] ** 2
-                    self.w[k][i] = self.w[k][i] - self.rate * (m[k][i] / (1 - 0.9**t)) / (np.sqrt(v[k][i] / (1 - 0.999**t)) + 1e-8)
-                if k:
-                    d = back * acts[k] * (1 - acts[k])
-        return self
-
-    def _acts(self, x: np.ndarray) -> list[np.ndarray]:
-        acts = [x]
-        for k, (w, b) in enumerate(self.w):
-            z = acts[-1] @ w + b
-            acts.append(z if k == len(self.w) - 1 else 1 / (1 + np.exp(-z)))
-        return acts
-
-    def rows(self) -> list[tuple]:
-        """What was learned, as rows (part, layer, row, values)."""
-        scale = [("x", 0, 0, self.mx.tolist()), ("x", 0, 1, self.sx.tolist()), ("y", 0, 0, [float(self.my), float(self.sy)])]
-        return scale + [("w", k, i, line.tolist()) for k, (w, b) in enumerate(self.w) for i, line in enumerate([*w, b])]
-
-    @classmethod
-    def of(cls, rows: list[tuple]) -> Perceptron:
-        """The perceptron of these rows, in any order; a layer's last row is its offsets."""
-        own, out = {(part, k, i): np.array(v) for part, k, i, v in rows}, cls()
-        out.mx, out.sx = own["x", 0, 0], own["x", 0, 1]
-        out.my, out.sy = own["y", 0, 0]
-        layers = [[own["w", k, i] for i in sorted(i for part, j, i in own if (part, j) == ("w", k))] for k in sorted({k for part, k, _ in own if part == "w"})]
-        out.w = [[np.array(x[:-1]), x[-1]] for x in layers]
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self._acts((x - self.mx) / self.sx)[-1][:, 0] * self.sy + self.my

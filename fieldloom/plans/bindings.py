@@ -39,11 +39,14 @@ SQL = {
         select cast(floor(t / 24) as bigint) t, u, v, count(*) filter (colour = 1) green, count(*) filter (colour = 2) yellow, count(*) filter (colour = 3) red, count(*) filter (colour = 4) dark_red
         from pixels join edge_pixels using (pixel) where colour > 0 group by 1, 2, 3)""",
     "edge_norm": "edge_norm as (select u, v, greatest(1, max(green + yellow + red + dark_red)) norm from traffic_edge group by 1, 2)",
+    "node_field": """field as (
+        select q.t, n.node, sum((q.green * 0.1 + q.yellow * 0.3 + q.red * 0.7 + q.dark_red * 1.5) * n.length * n.lanes / 2) / max(d.degree) z
+        from traffic_edge q join ends n on q.u = least(n.node, n.other) and q.v = greatest(n.node, n.other) join degrees d on d.node = n.node group by 1, 2)""",
     "weather": "weather as (select cast(floor(epoch(o_orderdate) / 86400) as bigint) d, avg(o_totalprice) temperature, count(*) wind from orders group by 1)",
 }
 NEEDS = {
     "points": ("places",), "positions": ("places",), "ends": ("edges",), "degrees": ("ends",), "edge_pixels": ("edges",),
-    "traffic_edge": ("pixels", "edge_pixels"), "edge_norm": ("traffic_edge",),
+    "traffic_edge": ("pixels", "edge_pixels"), "edge_norm": ("traffic_edge",), "node_field": ("traffic_edge", "ends", "degrees"),
 }
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import estimators as E
-from ..operators import evaluate, graph, linalg, runs, traffic
+from ..operators import evaluate, graph, runs, spectral, traffic
 from ..operators.components import checkpointed, shared_folder
 from . import solved as Q
 from .bindings import Tables, with_tables
@@ -228,6 +228,12 @@ def _node_field(x: Tables) -> tuple[DataFrame, DataFrame]:
     return own, q.select("t", "node", traffic.linear(q, {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}).alias("z"))
 
 
+def _whole_field(x: Tables) -> DataFrame:
+    """The node source of the whole graph as a field (t, node, z)."""
+    q = traffic.node_source(x.traffic_edge(), x.edges())
+    return q.select("t", "node", traffic.linear(q, {"green": 0.1, "yellow": 0.3, "red": 0.7, "dark_red": 1.5}).alias("z"))
+
+
 @query("screened_poisson", Q.field_solution("length / 6 - 1000 / length", "sum(length / 3 + 1000 / length)"), ("ends", "traffic_edge", "degrees"))
 def screened_poisson(x: Tables) -> DataFrame:
     e, source = _node_field(x)
@@ -250,7 +256,58 @@ def laplacian_projection(x: Tables) -> DataFrame:
 @query("energy_filtered")
 def energy_filtered(x: Tables) -> DataFrame:
     e, source = _node_field(x)
-    return E.energy_filter(source, E.laplacian_basis(graph.laplacian(e, F.col("length")), E.SOLVE_NODES), 0.9).select("t", "node", r6("z", "z"))
+    return spectral.energy_filter(source, graph.laplacian(e, F.col("length")), 0.9).select("t", "node", r6("z", "z"))
+
+
+@query("spectrum_counts", Q.spectrum_counts((0.25, 0.75, 1.25)), ("ends", "degrees"))
+def spectrum_counts(x: Tables) -> DataFrame:
+    """How many eigenvalues of the normalised Laplacian are below some bounds; the SQL counts negative pivots of its elimination."""
+    matrix = graph.normalised_laplacian(x.edges(), F.col("length") * F.col("lanes"))
+    values, _ = spectral.eigenpairs(matrix, matrix.select("i").distinct().count())
+    return x.spark.createDataFrame([(b, int((values < b).sum())) for b in (0.25, 0.75, 1.25)], "bound double, n long")
+
+
+#: What orthonormal eigenvectors must give, for as many as there are: their products, and no residual.
+ORTHONORMAL = "select a, b, cast(a = b as int) + 0.0 product, 0.0 residual from (select least({most}, ({count})) n), (select unnest(range({most})) a), (select unnest(range({most})) b) where a < n and b < n"
+
+
+def _checked(basis: DataFrame, image: DataFrame) -> DataFrame:
+    """Products of all pairs of vectors (node, k, b), and the size of each one's image less its multiple of the vector, as a share of the largest image."""
+    other = basis.select("node", F.col("k").alias("k2"), F.col("b").alias("b2"))
+    product = basis.join(other, "node").groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.sum(F.col("b") * F.col("b2")).alias("product"))
+    both = basis.join(image.select("node", "k", F.col("b").alias("w")), ["node", "k"])
+    value = both.groupBy("k").agg(F.sum(F.col("b") * F.col("w")).alias("value"))
+    left = both.join(F.broadcast(value), "k").groupBy("k").agg(F.sqrt(F.sum(F.pow(F.col("w") - F.col("value") * F.col("b"), 2))).alias("left"), F.sqrt(F.sum(F.pow("w", F.lit(2)))).alias("size"))
+    top = left.agg(F.greatest(F.max("size"), F.lit(1e-12)).alias("top"))
+    residual = left.join(F.broadcast(top)).select(F.col("k").alias("a"), r6(F.col("left") / F.col("top"), "residual"))
+    return product.join(residual, "a").select("a", "b", r6("product", "product"), "residual")
+
+
+@query("laplacian_modes", ORTHONORMAL.format(most=5, count="select count(distinct node) from ends"), ("ends",))
+def laplacian_modes(x: Tables) -> DataFrame:
+    matrix = checkpointed(graph.normalised_laplacian(x.edges(), F.col("length") * F.col("lanes")))
+    basis = checkpointed(E.laplacian_basis(matrix, 5))
+    image = matrix.join(basis.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node"), "k").agg(F.sum(F.col("value") * F.col("b")).alias("b"))
+    return _checked(basis, image)
+
+
+@query("principal_modes", ORTHONORMAL.format(most=4, count="select count(*) - 1 from (select distinct t from field)"), ("node_field",))
+def principal_modes(x: Tables) -> DataFrame:
+    source = checkpointed(_whole_field(x))
+    basis = checkpointed(E.pca_basis(source, 4))
+    there = source.join(basis, "node").groupBy("t", "k").agg(F.sum(F.col("z") * F.col("b")).alias("c"))
+    mean = there.groupBy("k").agg(F.avg("c").alias("m"))
+    n = there.select("t").distinct().agg(F.count(F.lit(1)).alias("n"))
+    scaled = there.join(F.broadcast(mean), "k").join(F.broadcast(n)).select("t", "k", ((F.col("c") - F.col("m")) / F.col("n")).alias("c"))
+    return _checked(basis, source.join(scaled, "t").groupBy("node", "k").agg(F.sum(F.col("z") * F.col("c")).alias("b")))
+
+
+@query("principal_spectrum", Q.principal_spectrum(), ("node_field",))
+def principal_spectrum(x: Tables) -> DataFrame:
+    """Sums of powers of the covariance's eigenvalues; the SQL takes traces of the Gram matrix over times."""
+    values, _ = spectral.principal_vectors(_whole_field(x), spectral.TIMES)
+    total = values.sum()
+    return x.spark.createDataFrame([(p, float(((values / (total if p > 1 else 1)) ** p).sum())) for p in (1, 2, 3)], "power int, value double").select("power", F.round("value", 5).alias("value"))
 
 
 @query("pca_projection")
@@ -263,11 +320,9 @@ def pca_projection(x: Tables) -> DataFrame:
 def assimilation(x: Tables) -> DataFrame:
     e, source = _node_field(x)
     matrix = graph.normalised_laplacian(e, F.col("length") * F.col("lanes"))
-    nodes, dense = graph.dense(matrix)
-    vectors = linalg.modes(dense, 4)
-    basis = E.basis_table(x.spark, nodes, vectors)
+    values, basis = spectral.eigenpairs(matrix, 4)  # the reduced operator is diagonal in them
     observed = source.where("node % 4 = 0").withColumn("z", F.col("z") * 1.1)
-    return E.assimilate(source, observed, basis, linalg.reduced(vectors, dense) + np.eye(4), 0.5, 1.0).select("t", "node", r6("z", "z"))
+    return E.assimilate(source, observed, checkpointed(basis), np.diag(values + 1.0), 0.5, 1.0).select("t", "node", r6("z", "z"))
 
 
 @query("resistance_distance", Q.resistance(), ("ends",))

@@ -197,3 +197,23 @@ def resistance() -> str:
     sides = "select a.node, list(case when a.i = b.i then 1.0 else 0.0 end order by b.i) s from largest a cross join largest b group by 1"
     return f"""{COMPONENT}, {_lines(f'{share} - 1 / length', f'sum(1 / length) + {share}', '1 / l.n', sides)}, {solve('lines', 'solution')}
     select p.node a, q.node b, round(s.x[p.i + 1] + t.x[q.i + 1] - 2 * s.x[q.i + 1], 4) + 0.0 r from largest p join largest q on q.i < p.i join solution s on s.i = p.i join solution t on t.i = q.i"""
+
+
+def spectrum_counts(bounds: tuple[float, ...]) -> str:
+    """Eigenvalues of the normalised Laplacian below each bound: as many as negative pivots when the matrix less the bound is eliminated."""
+    return f"""numbered as (select node, degree, row_number() over (order by node) - 1 i, count(*) over () n from degrees),
+    off as (select a.i, b.i j, -sum(length * lanes) / sqrt(any_value(a.degree) * any_value(b.degree)) v from ends e join numbered a on a.node = e.node join numbered b on b.node = e.other group by 1, 2),
+    lines as (select bound key, a.i, a.n, list(coalesce(off.v, case when a.i = b.i then 1 - bound else 0.0 end) order by b.i) r
+        from numbered a cross join numbered b cross join (select unnest({list(bounds)}) bound) left join off on off.i = a.i and off.j = b.i group by 1, 2, 3),
+    {solve('lines', 'solution')}
+    select cast(key as double) bound, count(*) filter (r[k + 1] < 0) n from solution_steps where i = k and k < n group by 1"""
+
+
+def principal_spectrum() -> str:
+    """Sums of the eigenvalues of field's covariance and, as shares of their sum, of their squares and cubes: traces of the centred Gram matrix over times."""
+    return """days as (select distinct t from field), products as (select a.t, b.t s, sum(a.z * b.z) g from field a join field b using (node) group by 1, 2),
+    gram as (select a.t, b.t s, coalesce(g, 0) g from days a cross join days b left join products p on p.t = a.t and p.s = b.t),
+    centred as (select t, s, g - avg(g) over (partition by t) - avg(g) over (partition by s) + avg(g) over () c from gram),
+    total as (select sum(c) v, count(*) n from centred where t = s)
+    select 1 power, round(v / n, 5) value from total union all select 2, round((select sum(c * c) from centred) / (v * v), 5) from total
+    union all select 3, round((select sum(a.c * b.c * d.c) from centred a join centred b on b.t = a.s join centred d on d.t = b.s and d.s = a.t) / (v * v * v), 5) from total"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars as S
 from fieldloom.operators import estimators as E
-from fieldloom.operators import evaluate, graph, linalg, runs, spatial, traffic
+from fieldloom.operators import evaluate, graph, linalg, perceptron, runs, spatial, traffic
 from fieldloom.operators import panel as P
 
 PATH = [(1, 2, 2.0, 1.0), (2, 3, 4.0, 2.0)]
@@ -124,7 +124,7 @@ def test_small_numerics():
     assert abs(s.sum() - 1) < 1e-12 and all(s @ c @ s <= v @ c @ v + 1e-12 for v in ([0.2, 0.8], [0.4, 0.6], [1, 0]))
     lap = np.array([[1.0, -1, 0], [-1, 2, -1], [0, -1, 1]])
     assert np.allclose(linalg.resistance(lap, [0, 2]), [[0, 2], [2, 0]])
-    p = linalg.Perceptron(steps=800).fit(x, np.tanh(x[:, 0]))
+    p = perceptron.Perceptron(steps=800).fit(x, np.tanh(x[:, 0]))
     assert np.mean((p.predict(x) - np.tanh(x[:, 0])) ** 2) < 0.05
 
 
@@ -303,19 +303,6 @@ def test_projected_features_and_their_number(spark):
     assert len(own) == 20 and abs(np.mean([(r.estimate - z[r.t, int(r.fold)]) ** 2 for r in own]) - min(errors)) < 1e-9
 
 
-def test_energy_filter_equals_numpy(spark):
-    rng = np.random.default_rng(10)
-    full, b = rng.normal(size=(4, 5)), np.linalg.qr(rng.normal(size=(5, 5)))[0]
-    field = spark.createDataFrame([(t, n, float(full[t, n])) for t in range(4) for n in range(5)], "t long, node long, z double")
-    basis = spark.createDataFrame([(n, k, float(b[n, k])) for n in range(5) for k in range(5)], "node long, k long, b double")
-    got = {(r.t, r.node): r.z for r in E.energy_filter(field, basis, 0.7).collect()}
-    for t in range(4):
-        c = full[t] @ b
-        keep = np.cumsum(c**2) / (c**2).sum() <= 0.7
-        want = b[:, keep] @ c[keep]
-        assert all(abs(got.get((t, n), 0.0) - want[n]) < 1e-9 for n in range(5))
-
-
 def test_differences_count_repeats(spark):
     a, b = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "i int, s string"), spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "s string, i int")
     assert tuple(P.differences(a, b).first()) == (1, 1) and tuple(P.differences(a, a.limit(3)).first()) == (0, 0) and tuple(P.differences(a.limit(0), b).first()) == (0, 3)
