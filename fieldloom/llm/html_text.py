@@ -51,6 +51,8 @@ BESIDE = frozenset(
 PLAIN = frozenset(
     "list box wrap wrapper container block section area region panel pane left right top bottom bar slot inner outer content contents body main item items unit units zone holder group row col column columns links link buttons button btn icon icons post posts article articles stories form text title heading header primary secondary sticky fixed mobile desktop large small site root message label toggle".split()
 )
+#: Words before the telling one that leave it what it says; after others ("chocolate-cookies") it may be the article's own.
+QUALIFIERS = frozenset("site global page main user users reader readers visitor facebook fb disqus live all view add leave new blog entry wp js my web mini inline native google email mail sign top sub primary second third floating collapsible".split())
 ABOUT = frozenset("has no with without not non is are hide show".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 #: An open element of the key's kind ends where one of these starts.
@@ -63,12 +65,15 @@ P_LIMIT = frozenset("table td th caption button article section div body li".spl
 COMMA = re.compile("[,،、，]")
 FULL_LENGTH, LENGTH_POINT, LENGTH_MOST = 25, 100, 3
 SIBLING_SHARE, LIST_LINKS = 0.2, 0.5
-
-
+#: A suspect by an ambiguous name is cut inside an article if it has no more characters or no smaller share of links; what
+#: is around the best element is taken whole if no part of it has more than this share of links.
+SHORT, LINKED = 120, 0.3
+#: Characters of an item from which a list of links after a paragraph is one of titles.
+TITLE = 20
 LEVELS = 8
 
-#: What an element is: part of the page, a suspect, cut as hidden or without text.
-PART, DOUBTED, CUT = 0, 1, 2
+#: What an element is: part of the page, a suspect, cut as hidden or without text; a suspect by a name that may mean its subject.
+PART, DOUBTED, CUT, UNSURE = 0, 1, 2, 3
 
 
 class Node:
@@ -111,6 +116,14 @@ def telling(name: str) -> str:
     return words[-1]
 
 
+def ambiguous(name: str) -> bool:
+    """Whether the telling word of a class or id stands after one that it may belong to."""
+    words = [w for w in WORD.findall(CAMEL.sub(" ", name.split("--")[0]).lower()) if len(w) > 1 and not w.isdigit()]
+    while len(words) > 1 and words[-1] in PLAIN:
+        words.pop()
+    return any(w not in BESIDE and w not in PLAIN and w not in QUALIFIERS for w in words[:-1]) and "".join(words) not in BESIDE
+
+
 def kind(tag: str, rest: str, up: Node) -> tuple[int, bool]:
     """(state, whether it is an article) of an element that starts below up."""
     if tag in GONE:
@@ -126,9 +139,12 @@ def kind(tag: str, rest: str, up: Node) -> tuple[int, bool]:
             return PART, is_article
         if role in SUSPECT_ROLES:
             state = DOUBTED
-        names = {telling(x) for k in ("class", "id") if k in attrs for x in attrs[k].split()}
-        if names & BESIDE or "header" in names and tag not in HEADINGS and not up.inside and not is_article:
+        given = [x for k in ("class", "id") if k in attrs for x in attrs[k].split()]
+        names = {telling(x) for x in given}
+        if "header" in names and tag not in HEADINGS and not up.inside and not is_article:
             state = DOUBTED
+        if names & BESIDE and state != DOUBTED:
+            state = UNSURE if all(ambiguous(x) for x in given if telling(x) in BESIDE) else DOUBTED
         is_article = is_article or role in ARTICLE_ROLES or attrs.get("itemprop", "") == "articleBody"
     return state, is_article and state == PART
 
@@ -277,6 +293,11 @@ def rank(node: Node) -> float:
 def chosen(root: Node) -> list[Node]:
     best, doubted = None, set()
     order = settled(root)
+    if unsure := [n for n in order if n.state == UNSURE]:
+        # inside an article a name that may mean its subject cuts only what is short or of links; elsewhere it cuts
+        for node in unsure:
+            node.state = PART if node.up.inside and node.chars > SHORT and density(node) < LINKED else DOUBTED
+        order = measure(root)
     for node in order:
         if node.state or node.up in doubted:
             doubted.add(node)
@@ -287,11 +308,13 @@ def chosen(root: Node) -> list[Node]:
     around = best
     while around.inside and not around.is_article:
         around = around.up
+    least = SIBLING_SHARE * rank(best)
     if around.inside:
-        return [around]
+        return _with_like(around, least)
     if best.tag in ("body", "html") or best.up is None:
         return [best]
-    least = SIBLING_SHARE * rank(best)
+    if best.up.tag not in ("body", "html", "#root") and all(density(k) < LINKED for k in best.up.kids if isinstance(k, Node) and not k.state and k.chars):
+        return [best.up]  # nothing in it but text
     kids = [k for k in best.up.kids if isinstance(k, Node) and not k.state]
     place = next(i for i, k in enumerate(kids) if k is best)
 
@@ -307,11 +330,54 @@ def chosen(root: Node) -> list[Node]:
     return [k for i, k in enumerate(kids) if stays(i, k)]
 
 
+def _with_like(article: Node, least: float) -> list[Node]:
+    """The article, and those beside it in the same parent that score as articles of their own."""
+    if article.up is None:
+        return [article]
+    same = [k for k in article.up.kids if isinstance(k, Node) and k.is_article and not k.state]
+    return [k for k in same if k is article or _prose(k) >= least and density(k) < LINKED]
+
+
+def _prose(node: Node) -> float:
+    """The best rank in an element."""
+    most, todo = 0.0, [node]
+    while todo:
+        x = todo.pop()
+        most = max(most, rank(x))
+        todo += [k for k in x.kids if isinstance(k, Node) and not k.state]
+    return most
+
+
+def _text(node: Node) -> str:
+    parts, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif not x.state:
+            todo += reversed(x.kids)
+    return " ".join("".join(parts).split())
+
+
+def is_menu(node: Node, before: Node | None) -> bool:
+    """Whether a list is mostly links and nothing before it makes it a part of the text: a heading, or a paragraph that ends in a colon or is followed by titles."""
+    if node.tag not in ("ul", "ol", "table", "dl") or not node.chars or density(node) <= LIST_LINKS:
+        return False
+    if before is None or before.state or not before.chars or density(before) >= LINKED:
+        return True
+    if before.tag in HEADINGS:
+        return bool(BESIDE.intersection(WORD.findall(_text(before).lower())))
+    if before.tag not in ("p", "blockquote"):
+        return True
+    items = sum(isinstance(k, Node) and not k.state for k in node.kids)
+    return not _text(before).endswith(":") and node.chars < TITLE * items
+
+
 def blocks(node: Node, out: list[list[str]]) -> None:
     """Append the node's texts to out, a list for each block."""
-    todo: list = [node]
+    todo: list = [(node, None)]
     while todo:
-        x = todo.pop()
+        x, before = todo.pop()
         if x is None:
             out.append([])
         elif isinstance(x, str):
@@ -319,13 +385,18 @@ def blocks(node: Node, out: list[list[str]]) -> None:
         elif x.state:
             if x.tag in BLOCK:
                 out.append([])
-        elif x.tag in ("ul", "ol", "table", "dl") and x.chars and density(x) > LIST_LINKS and x is not node:
-            out.append([])  # a menu
+        elif x is not node and is_menu(x, before):
+            out.append([])
         else:
             if x.tag in BLOCK:
                 out.append([])
-                todo.append(None)
-            todo += reversed(x.kids)
+                todo.append((None, None))
+            last, kids = None, []
+            for k in x.kids:
+                kids.append((k, last))
+                if isinstance(k, Node) or k.strip():
+                    last = k if isinstance(k, Node) else None
+            todo += reversed(kids)
 
 
 def main_text(page: str | None) -> str:

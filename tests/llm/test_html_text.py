@@ -156,3 +156,40 @@ def test_scores_equal_a_naive_scorer():
 def test_rows_that_repeat_an_id(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (1, None, "<p>x")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.n_chars) for r in H.extract(df).collect()) == [(1, 1), (1, 44), (1, 44)]
+
+
+def test_articles_side_by_side_are_one_text():
+    page = f"<main><article><h1>A</h1>{WORDS}</article><article><h1>B</h1>{WORDS}</article><article class=teaser><h3><a href=x>Other story</a></h3><p>Short.</p></article><article class=comment>{WORDS}</article></main>"
+    text = main_text(WORDS)
+    assert main_text(page) == f"A\n{text}\nB\n{text}"
+
+
+PROSE = "<p>" + "Break the chocolate, mix it well with butter and sugar, then bake. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(("name", "stays"), [("chocolate-cookies", True), ("recipe-banner-cookies", True), ("reader-comments", False), ("comment-list", False), ("cookie-notice", False), ("newsletter", False)])
+def test_names_that_may_mean_their_subject_cut_only_what_is_short_or_of_links_inside_an_article(name, stays):
+    page = lambda inner: f'<article><h1>T</h1>{WORDS}<section class="{name}">{inner}</section>{WORDS}</article>'
+    assert ("Break the chocolate" in main_text(page(PROSE))) == stays
+    for inner in ("<p>Short.</p>", "<p>" + "<a href=x>a link with text, and more</a> " * 8 + "</p>"):
+        assert main_text(page(inner)).count("\n") == 2
+    assert "Break" not in main_text(f'<div class="{name}">{PROSE}</div><article>{WORDS}{WORDS}</article>')
+
+
+LINKS = "<ul><li><a href=a>First report of it</a></li><li><a href=b>Second</a></li></ul>"
+
+
+def test_lists_of_links_are_menus_unless_the_text_leads_to_them():
+    for page, stays in (
+        (f"<article>{WORDS}<h2>Sources</h2>{LINKS}</article>", True), (f"<article>{WORDS}<p>See, among others:</p>{LINKS}</article>", True),
+        (f"<article>{WORDS}{LINKS}</article>", False), (f"<article>{WORDS}{LINKS.replace('Second', 'The second report, with a long title')}</article>", True),
+        (f"<article>{LINKS}{WORDS}</article>", False), (f"<article>{WORDS}<h3>Related</h3>{LINKS}</article>", False),
+        (f"<article>{WORDS}<div><a href=x>all</a></div>{LINKS}</article>", False),
+    ):
+        assert ("First report of it" in main_text(page)) == stays, page
+
+
+def test_short_parts_beside_the_best_stay_where_nothing_is_of_links():
+    inner = f"<div>{'Long text, with many words. ' * 20}</div><div><p>Short tail of the article.</p></div><table><tr><td>row</td></tr></table>"
+    assert main_text(f"<body><nav><a href=x>menu</a></nav><div id=c>{inner}</div></body>").split("\n")[1:] == ["Short tail of the article.", "row"]
+    assert "links" not in main_text(f"<div id=c>{inner}<div>{'<a href=x>links</a> ' * 9}</div></div>")
