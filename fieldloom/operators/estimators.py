@@ -335,6 +335,40 @@ class DistanceModel(Estimator):
         return own.groupBy("fold", "t").agg((F.sum(F.col("weight") * F.col("z")) / F.sum("weight")).alias("estimate"))
 
 
+def kernel_losses(positions: DataFrame, panel: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """evaluate for search: the mean square error of each station's estimate by the others with weights exp(-rate * distance), for every candidate's rate in one plan."""
+    pairs = checkpointed(_kernel_pairs(positions, panel))
+
+    def evaluate(candidates: DataFrame) -> DataFrame:
+        w = F.exp(-F.col("rate") * F.col("d"))
+        own = pairs.join(F.broadcast(candidates)).groupBy("candidate", "fold", "t").agg((F.sum(w * F.col("z")) / F.sum(w)).alias("e"), F.first("truth").alias("truth"))
+        return own.groupBy("candidate").agg(F.avg(F.pow(F.col("e") - F.col("truth"), 2)).alias("loss"))
+
+    return evaluate
+
+
+def kernel_gradient(positions: DataFrame, panel: DataFrame) -> Callable[[dict[str, float]], tuple[float, dict[str, float]]]:
+    """The same loss and its slope in the rate, from one aggregate: d/drate of sum(w z) / sum(w) is (e * sum(d w) - sum(d w z)) / sum(w)."""
+    pairs = checkpointed(_kernel_pairs(positions, panel))
+
+    def gradient(at: dict[str, float]) -> tuple[float, dict[str, float]]:
+        w, d, z = F.exp(-F.lit(at["rate"]) * F.col("d")), F.col("d"), F.col("z")
+        own = pairs.groupBy("fold", "t").agg(F.sum(w).alias("s"), F.sum(w * z).alias("sz"), F.sum(d * w).alias("sd"), F.sum(d * w * z).alias("sdz"), F.first("truth").alias("truth"))
+        e = F.col("sz") / F.col("s")
+        out = own.agg(F.avg(F.pow(e - F.col("truth"), 2)).alias("f"), F.avg(2 * (e - F.col("truth")) * (e * F.col("sd") - F.col("sdz")) / F.col("s")).alias("g")).first()
+        return out.f, {"rate": out.g}
+
+    return gradient
+
+
+def _kernel_pairs(positions: DataFrame, panel: DataFrame) -> DataFrame:
+    """(fold, t, truth, z, d): each value with those of the other stations at its time, and their distance."""
+    own = panel.where("z is not null").join(positions, "station")
+    a = own.select("t", F.col("station").alias("fold"), F.col("z").alias("truth"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    pairs = a.join(own, "t").where("fold <> station")
+    return pairs.select("fold", "t", "truth", "z", F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)).alias("d"))
+
+
 @dataclass
 class Regression(Estimator):
     """Regression of a value on features (t, station, f0, f1, ...): normal equations by one aggregate, solved small.
@@ -778,17 +812,3 @@ def blend(near: DataFrame, far: DataFrame, distances: DataFrame, sigma: float, f
     w = F.exp(-d / sigma) if form == "scale" else F.exp(-sigma * d)
     both = near.select("station", "t", F.col("estimate").alias("_a"), "truth").join(far.select("station", "t", F.col("estimate").alias("_b")), ["station", "t"]).join(F.broadcast(distances), "station")
     return both.select(F.lit("blend").alias("model"), "station", "t", (w * F.col("_a") + (1 - w) * F.col("_b")).alias("estimate"), "truth")
-
-
-def grid_search(parameters: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All parameters in one plan: evaluate gets the parameter table (small) and gives (its columns, loss); the least loss comes first."""
-    return evaluate(parameters).orderBy("loss").limit(1)
-
-
-def random_search(bounds: dict[str, tuple[float, float]], n: int, loss: Callable[[dict], float], seed: int = 0) -> tuple[dict, float]:
-    """The best of n parameter sets drawn from bounds; loss runs a Spark query for each."""
-    rng = np.random.default_rng(seed)
-    tried = [{k: float(rng.uniform(*b)) for k, b in bounds.items()} for _ in range(n)]
-    losses = [loss(p) for p in tried]
-    best = int(np.argmin(losses))
-    return tried[best], losses[best]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import estimators as E
-from ..operators import evaluate, graph, runs, spectral, traffic
+from ..operators import evaluate, graph, runs, search, spectral, traffic
 from ..operators.components import checkpointed, shared_folder
 from . import solved as Q
 from .bindings import Tables, with_tables
@@ -186,6 +186,22 @@ def grid_run(x: Tables) -> DataFrame:
     return _scores(runs.run_models(models, *_split(x), f"{shared_folder(x.spark)}/runs-{uuid.uuid4().hex}"))
 
 
+RATES = (0.1, 400.0)
+
+
+@query("kernel_rate_search", Q.rate_search(CUT, *RATES, 300), ("sparse", "positions"))
+def kernel_rate_search(x: Tables) -> DataFrame:
+    """The rate of an exponential kernel with the least error of stations left out, by each search; the SQL tries a fine grid."""
+    past, positions, bounds = checkpointed(_split(x)[0]), checkpointed(x.positions()), {"rate": RATES}
+    evaluate = E.kernel_losses(positions, past)
+    losses = lambda: search.Losses(x.spark, bounds, evaluate)
+    found = {
+        "loguniform": search.uniform(losses(), 40, log=True), "evolution": search.evolution(losses(), population=8, generations=8, close=1e-4),
+        "surrogate": search.surrogate(losses(), rounds=3), "descend": search.descend(bounds, E.kernel_gradient(positions, past), {"rate": 20.0}, steps=8, close=1e-6),
+    }
+    return x.spark.createDataFrame([(k, float(f.loss)) for k, f in found.items()], "method string, loss double").select("method", F.round("loss", 1).alias("loss"))
+
+
 @query("source_lasso_conditions", "select kind, term, true holds from (select unnest(['lasso', 'positive_lasso']) kind), (select unnest(['_p0', '_p1', '_p2', '_p3']) term)")
 def source_lasso_conditions(x: Tables) -> DataFrame:
     """Whether each weight is optimal at the penalty chosen: the rate of the square error's fall is alpha with the weight's sign, or at most alpha at 0."""

@@ -217,3 +217,12 @@ def principal_spectrum() -> str:
     total as (select sum(c) v, count(*) n from centred where t = s)
     select 1 power, round(v / n, 5) value from total union all select 2, round((select sum(c * c) from centred) / (v * v), 5) from total
     union all select 3, round((select sum(a.c * b.c * d.c) from centred a join centred b on b.t = a.s join centred d on d.t = b.s and d.s = a.t) / (v * v * v), 5) from total"""
+
+
+def rate_search(cut: int, low: float, high: float, steps: int) -> str:
+    """The least error over a grid of rates, the same for each way to search."""
+    return f"""{split(cut)}, own as (select * from past join positions using (station)),
+    near as (select a.station, a.t, a.z truth, b.z, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) d from own a join own b on a.t = b.t and a.station <> b.station),
+    rates as (select {low} * power({high} / {low}, k / {steps - 1}.0) rate from (select unnest(range({steps})) k)),
+    losses as (select rate, avg(power(e - truth, 2)) loss from (select rate, station, t, max(truth) truth, sum(exp(-rate * d) * z) / sum(exp(-rate * d)) e from near, rates group by 1, 2, 3) group by 1)
+    select method, round(min(loss), 1) loss from losses, (select unnest(['loguniform', 'evolution', 'surrogate', 'descend']) method) group by 1"""
