@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import estimators as E
-from ..operators import evaluate, graph, runs, search, spectral, traffic
+from ..operators import evaluate, graph, physics, runs, search, spectral, traffic
 from ..operators.components import checkpointed, shared_folder
 from . import solved as Q
 from .bindings import Tables, with_tables
@@ -499,3 +499,53 @@ def static_feature_sweep(x: Tables) -> DataFrame:
     pairs = points.join(F.broadcast(mask)).withColumn("d", S.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).select("vec_id", "z", "d", sigmas)
     smooth = pairs.groupBy("sigma", "vec_id", "z").agg(F.sum(S.KERNELS["exp_by_scale"](F.col("d"), F.col("sigma"))).alias("f"))
     return smooth.groupBy("sigma").agg(r6(F.corr("f", "z"), "corr"))
+
+
+# --- calibrated physics: users that are nodes are sensors; every second one is held out
+
+
+def _sensors(x: Tables, e: DataFrame) -> DataFrame:
+    return _node_panel(x, e).select("t", F.col("station").cast("long").alias("node"), "z")
+
+
+def _street_physics(x: Tables, e: DataFrame, **more) -> physics.CalibratedField:
+    q = checkpointed(traffic.node_source(x.traffic_edge(), e))
+    return physics.CalibratedField(q, traffic.NAMES, checkpointed(graph.diffusion_matrix(e)), checkpointed(graph.mass_matrix(e)), **more)
+
+
+@query("diffusion_loss", Q.diffusion_loss(CUT // 24, 1000.0), ("ends", "traffic_edge", "degrees"))
+def diffusion_loss(x: Tables) -> DataFrame:
+    """The colours' best weights and the error at all sensors, for one diffusion."""
+    e = _component(x)
+    loss, _, w = _street_physics(x, e, positive=False).loss_and_slope(_split_days(_sensors(x, e))[0], 1000.0)
+    return x.spark.createDataFrame([*zip(traffic.NAMES, map(float, w), strict=True), ("loss", loss)], "term string, value double").select("term", (F.round("value", 4) + 0.0).alias("value"))
+
+
+def _held_out_scores(x: Tables, e: DataFrame, own: physics.CalibratedField, name: str) -> DataFrame:
+    """Scores of every second sensor after the cut, from a calibration at the others before it."""
+    past, future = _split_days(checkpointed(_sensors(x, e)))
+    found = own.fit(past.where("node % 2 = 0"))
+    estimates = own.predict(found, future.where("node % 2 = 0"))
+    both = estimates.join(future.where("node % 2 = 1").withColumnRenamed("z", "truth"), ["t", "node"])
+    return _scores(both.select(F.lit(name).alias("model"), F.col("node").cast("string").alias("station"), "t", "estimate", "truth"))
+
+
+@query("calibrated_diffusion")
+def calibrated_diffusion(x: Tables) -> DataFrame:
+    """Diffusion and four colour weights fitted by adjoint slopes."""
+    e = _component(x)
+    return _held_out_scores(x, e, _street_physics(x, e, bounds=(1.0, 1e6), start=1e3, steps=4), "diffusion")
+
+
+@query("calibrated_soft_diffusion")
+def calibrated_soft_diffusion(x: Tables) -> DataFrame:
+    """A regression's field at all nodes, less its mean, softened on the graph: the share, size and offset are fitted."""
+    e = _component(x)
+    q = checkpointed(traffic.node_source(x.traffic_edge(), e))
+    r = E.Regression(_as_station(q), traffic.NAMES, "ridge", residual=False)
+    past = _split_days(_node_panel(x, e))[0].where("station % 2 = 0")
+    field = E.with_weights(q, r.fit(past)).select("t", "node", E.weighted([f"_p{k}" for k in range(len(traffic.NAMES))], list(traffic.NAMES)).alias("z"))
+    field = field.join(field.groupBy("t").agg(F.avg("z").alias("_m")), "t").select("t", "node", (F.col("z") - F.col("_m")).alias("z"))
+    stiffness = checkpointed(graph.laplacian(e, 1 / F.col("length")))
+    own = physics.CalibratedField(checkpointed(field), ("z",), stiffness, physics.identity(stiffness), (1e-3, 1e5), 10.0, 4, offset=True, positive=False)
+    return _held_out_scores(x, e, own, "soft")

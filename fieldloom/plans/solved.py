@@ -226,3 +226,22 @@ def rate_search(cut: int, low: float, high: float, steps: int) -> str:
     rates as (select {low} * power({high} / {low}, k / {steps - 1}.0) rate from (select unnest(range({steps})) k)),
     losses as (select rate, avg(power(e - truth, 2)) loss from (select rate, station, t, max(truth) truth, sum(exp(-rate * d) * z) / sum(exp(-rate * d)) e from near, rates group by 1, 2, 3) group by 1)
     select method, round(min(loss), 1) loss from losses, (select unnest(['loguniform', 'evolution', 'surrogate', 'descend']) method) group by 1"""
+
+
+def diffusion_loss(cut: int, diffusion: float) -> str:
+    """Weights of the colours' diffused fields and the mean square error at the sensors before the day cut, for one diffusion."""
+    colours = ", ".join(f"sum(q.{c} * n.length * n.lanes / 2) / max(d.degree)" for c in NAMES)
+    k = len(NAMES)
+    sides = f"select l.node, list(coalesce(f.v[c], 0.0) order by k, c) s from largest l cross join days cross join (select unnest(range(1, {k + 1})) c) left join colours f on f.t = days.t and f.node = l.node group by 1"
+    return f"""{COMPONENT}, colours as (select q.t, n.node, [{colours}] v from traffic_edge q join ends n on q.u = least(n.node, n.other) and q.v = greatest(n.node, n.other)
+        join degrees d on d.node = n.node where n.node in (select node from largest) group by 1, 2),
+    days as (select t, row_number() over (order by t) k from (select distinct t from colours)),
+    {_lines(f'length / 6 - {diffusion} / length', f'sum(length / 3 + {diffusion} / length)', '0.0', sides)}, {solve('lines', 'solution')},
+    seen as (select cast(floor(epoch(ts) / 86400) as bigint) t, user_id node, avg(value) z from events where user_id in (select node from largest) group by 1, 2 having t < {cut}),
+    rows as (select seen.t, seen.node, z - avg(z) over (partition by seen.t) y, coalesce(x[(k - 1) * {k} + 1:k * {k}], {[0.0] * k}) f
+        from seen join largest using (node) left join days on days.t = seen.t left join solution using (i)),
+    terms as (select unnest(range({k})) i),
+    normal as (select 0 key, a.i, {k} n, list(g order by j) || [any_value(m)] r from (select a.i, b.i j, sum(f[a.i + 1] * f[b.i + 1]) g, sum(f[a.i + 1] * y) m from rows, terms a, terms b group by 1, 2) a group by a.i),
+    {solve('normal', 'w')},
+    loss as (select avg(power(e - y, 2)) v from (select t, node, any_value(y) y, sum(x[1] * f[i + 1]) e from rows, w group by 1, 2))
+    select {list(NAMES)}[i + 1] term, round(x[1], 4) + 0.0 value from w union all select 'loss', round(v, 4) + 0.0 from loss"""
