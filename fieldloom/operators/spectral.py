@@ -5,7 +5,7 @@ Gram matrices of the block's columns: X'X is summed by tasks. Matrices of up to
 
 eigenpairs: Chebyshev-filtered subspace iteration. A filter of some degree is that many products with the matrix, each one
 join and one sum by node; it damps the part of the spectrum that isn't wanted. After each filter, the best vectors inside
-the block's span (Rayleigh-Ritz) come from two Gram matrices, and so do their residuals, which end the rounds.
+the block's span (Rayleigh-Ritz) come from two Gram matrices; their residuals end the rounds.
 
 principal_vectors: the method of snapshots. With no more than TIMES times, covariances between nodes have their vectors in
 the span of the snapshots, so the Gram matrix over times is solved and carried back by one join. With more times the same
@@ -55,17 +55,22 @@ def rotated(columns: list[str], c: np.ndarray, letter: str) -> list[Column]:
     return [sum((F.col(v) * float(c[i, k]) for i, v in enumerate(columns)), F.lit(0.0)).alias(f"{letter}{k}") for k in range(c.shape[1])]
 
 
-def ritz(g: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From the Gram matrix of [V, AV]: values in rising order, coefficients of orthonormal vectors in V, residual norms."""
-    s, h, w = g[:p, :p], (g[:p, p:] + g[p:, :p].T) / 2, g[p:, p:]
+def ritz(g: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the Gram matrix of [V, AV]: values in rising order, and coefficients of orthonormal vectors in V."""
+    s, h = g[:p, :p], (g[:p, p:] + g[p:, :p].T) / 2
     size = np.sqrt(np.maximum(np.diag(s), 1e-300))
     e, u = np.linalg.eigh(s / np.outer(size, size))
     keep = e > 1e-12 * e[-1]
     white = (u[:, keep] / np.sqrt(e[keep])) / size[:, None]
     values, inner = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
-    c = white @ inner
-    left = np.array([c[:, k] @ w @ c[:, k] - 2 * values[k] * (c[:, k] @ h @ c[:, k]) + values[k] ** 2 * (c[:, k] @ s @ c[:, k]) for k in range(len(values))])
-    return values, c, np.sqrt(np.maximum(left, 0))
+    return values, white @ inner
+
+
+def residuals(both: DataFrame, columns: list[str], images: list[str], values: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """|A v - value v| of the vectors V c, summed over rows (from the Gram matrix it would be lost in rounding)."""
+    left = [sum((F.col(w) * float(x) - F.col(v) * float(x * value) for v, w, x in zip(columns, images, own, strict=True)), F.lit(0.0)) for own, value in zip(c.T, values, strict=True)]
+    found = both.agg(*[F.sum(x * x).alias(f"r{k}") for k, x in enumerate(left)]).first()
+    return np.sqrt(np.array([found[f"r{k}"] or 0.0 for k in range(len(left))]))
 
 
 def start_block(nodes: DataFrame, p: int) -> DataFrame:
@@ -111,7 +116,7 @@ def _dense_basis(matrix: DataFrame, nodes: list, vectors: np.ndarray) -> DataFra
     return matrix.sparkSession.createDataFrame(table).withColumn("node", F.col("node").cast(kind))
 
 
-def eigenpairs(matrix: DataFrame, k: int, which: str = "smallest", close: float = 1e-9, rounds: int = 200) -> tuple[np.ndarray, DataFrame]:
+def eigenpairs(matrix: DataFrame, k: int, which: str = "smallest", close: float = 1e-8, rounds: int = 200) -> tuple[np.ndarray, DataFrame]:
     """The k eigenvalues at one end of a symmetric tall matrix (i, j, value), outermost first, and (node, k, b) of their vectors.
 
     Vectors are orthonormal and end when each residual is close times the spectrum's width (RuntimeError after rounds).
@@ -138,8 +143,8 @@ def eigenpairs(matrix: DataFrame, k: int, which: str = "smallest", close: float
     block, low = start_block(nodes, p), None
     for _ in range(rounds):
         both = checkpointed(multiply(matrix, checkpointed(block), columns))
-        values, c, left = ritz(gram(both, [*columns, *_names(p, "w")]), p)
-        if len(values) >= min(k, n) and (left[:k] <= close * width).all():
+        values, c = ritz(gram(both, [*columns, *_names(p, "w")]), p)
+        if len(values) >= min(k, n) and (residuals(both, columns, _names(p, "w"), values[:k], c[:, :k]) <= close * width).all():
             return sign * values[:k], _tall(both, c[:, :k], columns)
         # damp from the block's largest value up; at first that is far from the end that is wanted
         low = max(values[-1], bounds[1] + 1e-6 * width) if low is None else min(low, values[-1])
@@ -225,7 +230,7 @@ def _gram_of_times(own: DataFrame, times: int) -> np.ndarray:
     return out
 
 
-def principal_vectors(field: DataFrame, k: int, close: float = 1e-9, rounds: int = 500) -> tuple[np.ndarray, DataFrame]:
+def principal_vectors(field: DataFrame, k: int, close: float = 1e-8, rounds: int = 500) -> tuple[np.ndarray, DataFrame]:
     """The k largest eigenvalues of a field's covariance between nodes, over all its times, and (node, k, b) of their vectors.
 
     field is (t, node, z); a missing value counts as 0, repeated rows are summed. A vector's largest entry is positive.
@@ -274,9 +279,9 @@ def _principal_by_blocks(own: DataFrame, k: int, close: float, rounds: int) -> t
         there = there.select("t", *[(F.col(v) - (mean[v] or 0.0) / n_times).alias(v) for v in columns])
         back = own.join(there, "t").groupBy("node").agg(*[(F.sum(F.col("z") * F.col(v)) / n_times).alias(w) for v, w in zip(columns, images, strict=True)])
         both = checkpointed(block.join(back, "node", "left").na.fill(0.0, images))
-        values, c, left = ritz(gram(both, [*columns, *images]), p)
+        values, c = ritz(gram(both, [*columns, *images]), p)
         top = np.arange(len(values))[::-1][:k]
-        if (left[top] <= close * max(values[-1], 1e-300)).all():
+        if (residuals(both, columns, images, values[top], c[:, top]) <= close * max(values[-1], 1e-300)).all():
             top = top[values[top] > 1e-10 * max(values[-1], 1e-300)]
             return values[top], _signed(_tall(both, c[:, top], columns))
         c = c / np.maximum(np.abs(values), 1e-6 * max(math.fabs(values[-1]), 1e-300))  # images of about the same size

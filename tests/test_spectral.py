@@ -36,11 +36,11 @@ def test_eigenpairs_equal_numpy(spark, monkeypatch, which):
         monkeypatch.setattr(S, "DENSE_NODES", 10)
         monkeypatch.setattr(S, "DEGREE", 20)
         monkeypatch.setattr(S, "CHAIN", 7)
-        found.append(S.eigenpairs(tall(spark, a), k, which, close=1e-8))
+        found.append(S.eigenpairs(tall(spark, a), k, which, close=1e-7))
     for own, basis in found:
         got = vectors(basis, n, k)
         assert np.allclose(own, values, atol=1e-7)
-        assert np.allclose(got.T @ got, np.eye(k), atol=1e-7)
+        assert np.allclose(got.T @ got, np.eye(k), atol=1e-7), got.T @ got
         assert np.allclose(np.abs((got * v).sum(0)), 1, atol=1e-6)
 
 
@@ -62,7 +62,7 @@ def test_energy_is_that_of_the_field(spark, monkeypatch):
     want = (c * keep) @ v.T
     found = [S.energy_filter(field, tall(spark, a), 0.9).collect()]
     monkeypatch.setattr(S, "DENSE_NODES", 5)  # modes are then added until every time has its share
-    found.append(S.energy_filter(field, tall(spark, a), 0.9, first=6).collect())
+    found.append(S.energy_filter(field, tall(spark, a), 0.9, first=10).collect())
     for rows in found:
         assert len(rows) == 3 * n and all(abs(r.z - want[r.t, r.node]) < 1e-5 for r in rows)
 
@@ -81,7 +81,7 @@ def test_principal_vectors_equal_numpy(spark, monkeypatch, times):
     full[rng.random(full.shape) < 0.03] = 0
     rows = [(t, i, float(full[t, i])) for t in range(12) for i in range(30) if full[t, i]]
     rows = rows[1:] + [(*rows[0][:2], rows[0][2] / 2)] * 2 + [(0, 3, None)]
-    values, basis = S.principal_vectors(spark.createDataFrame(rows, "t long, node long, z double"), 3, close=1e-8)
+    values, basis = S.principal_vectors(spark.createDataFrame(rows, "t long, node long, z double"), 3, close=1e-7)
     want_values, want = principal(full, 3)
     got = vectors(basis, 30, 3)
     assert np.allclose(values, want_values, rtol=1e-6)
