@@ -162,10 +162,11 @@ def pair_of(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, rule, 1).cast("int"), F.regexp_extract(text, rule, 2).cast("int")
 
 
-def linspace(low: float, high: float, n: int) -> Column:
+def linspace(low: Column | float, high: Column | float, n: int) -> Column:
+    """n values from low to high; the ends may be columns, such as a table's bounds."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: low + k * ((high - low) / max(n - 1, 1)))
 
 
-def logspace(low: float, high: float, n: int) -> Column:
+def logspace(low: Column | float, high: Column | float, n: int) -> Column:
     """n values from 10 ** low to 10 ** high."""
     return F.transform(linspace(low, high, n), lambda x: F.pow(F.lit(10.0), x))

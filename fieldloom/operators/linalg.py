@@ -79,13 +79,6 @@ def simplex_weights(covariance: np.ndarray) -> np.ndarray:
     return x / x.sum() if abs(x.sum()) > 1e-12 else np.full(len(x), 1 / len(x))
 
 
-def resistance(laplacian: np.ndarray, at: list[int]) -> np.ndarray:
-    """Resistance distances between nodes: L+_ii + L+_jj - 2 L+_ij."""
-    p = np.linalg.pinv(laplacian)[np.ix_(at, at)]
-    d = np.diag(p)
-    return d[:, None] + d[None, :] - 2 * p
-
-
 def polynomial_terms(n: int, degree: int) -> list[tuple[int, ...]]:
     """Exponent tuples as index lists: the constant, then by degree in lexicographic order."""
     from itertools import combinations_with_replacement

@@ -644,11 +644,18 @@ def numeric_tools(x: Tables) -> DataFrame:
     return x.read("part").select("p_partkey", r6(S.signed_log(p - 1000), "signed_log"), S.round_half_even(p, 1).alias("rounded"), r6(F.log10(p), "log10"))
 
 
-@query("linspace_grid", "select i, j, round(-1 + i * 0.5, 6) x, round(power(10, -2 + j * 1.0), 6) y from range(5) a(i), range(4) b(j)")
+@query(
+    "linspace_grid",
+    """select i, j, round(low + i * (high - low) / 4, 6) x, round(power(10, least + j * (most - least) / 3), 6) y
+    from (select min(cast(embedding[1] as double)) low, max(cast(embedding[1] as double)) high from embeddings),
+         (select floor(log10(min(o_totalprice))) least, ceil(log10(max(o_totalprice))) most from orders), range(5) a(i), range(4) b(j)""",
+)
 def linspace_grid(x: Tables) -> DataFrame:
-    one = x.spark.range(1)
-    a = one.select(F.posexplode(S.linspace(-1.0, 1.0, 5)).alias("i", "x")).select(F.col("i").cast("long"), "x")
-    b = one.select(F.posexplode(S.logspace(-2.0, 1.0, 4)).alias("j", "y")).select(F.col("j").cast("long"), "y")
+    """Even steps between the least and greatest place, and even powers of ten around all prices."""
+    ends = x.places().agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    a = ends.select(F.posexplode(S.linspace(F.col("low"), F.col("high"), 5)).alias("i", "x")).select(F.col("i").cast("long"), "x")
+    powers = x.read("orders").agg(F.floor(F.log10(F.min("o_totalprice"))).alias("least"), F.ceil(F.log10(F.max("o_totalprice"))).alias("most"))
+    b = powers.select(F.posexplode(S.logspace(F.col("least"), F.col("most"), 4)).alias("j", "y")).select(F.col("j").cast("long"), "y")
     return a.join(F.broadcast(b)).select("i", "j", r6("x", "x"), r6("y", "y"))
 
 

@@ -192,11 +192,16 @@ def field_solution(off: str, diagonal: str) -> str:
     select t, node, round(x[k], 6) + 0.0 z from solution join largest using (i), days"""
 
 
-def resistance() -> str:
+def _resistances() -> str:
+    """Tables up to r(a, b, r)."""
     share = "1 / (select max(n) from largest)"  # with it everywhere, the Laplacian has an inverse that gives the same distances
     sides = "select a.node, list(case when a.i = b.i then 1.0 else 0.0 end order by b.i) s from largest a cross join largest b group by 1"
-    return f"""{COMPONENT}, {_lines(f'{share} - 1 / length', f'sum(1 / length) + {share}', '1 / l.n', sides)}, {solve('lines', 'solution')}
-    select p.node a, q.node b, round(s.x[p.i + 1] + t.x[q.i + 1] - 2 * s.x[q.i + 1], 4) + 0.0 r from largest p join largest q on q.i < p.i join solution s on s.i = p.i join solution t on t.i = q.i"""
+    return f"""{COMPONENT}, {_lines(f'{share} - 1 / length', f'sum(1 / length) + {share}', '1 / l.n', sides)}, {solve('lines', 'solution')},
+    r as (select p.node a, q.node b, round(s.x[p.i + 1] + t.x[q.i + 1] - 2 * s.x[q.i + 1], 4) + 0.0 r from largest p join largest q on q.i < p.i join solution s on s.i = p.i join solution t on t.i = q.i)"""
+
+
+def resistance() -> str:
+    return f"{_resistances()} select a, b, r from r"
 
 
 def spectrum_counts(bounds: tuple[float, ...]) -> str:
@@ -245,3 +250,11 @@ def diffusion_loss(cut: int, diffusion: float) -> str:
     {solve('normal', 'w')},
     loss as (select avg(power(e - y, 2)) v from (select t, node, any_value(y) y, sum(x[1] * f[i + 1]) e from rows, w group by 1, 2))
     select {list(NAMES)}[i + 1] term, round(x[1], 4) + 0.0 value from w union all select 'loss', round(v, 4) + 0.0 from loss"""
+
+
+def corr_vs_resistance() -> str:
+    """Correlation of two sensors beside the resistance between them."""
+    return f"""{_resistances()},
+    seen as (select cast(floor(epoch(ts) / 86400) as bigint) t, user_id node, avg(value) z from events where user_id in (select node from largest) group by 1, 2),
+    c as (select x.node a, y.node b, corr(x.z, y.z) c, count(*) n from seen x join seen y on x.t = y.t and x.node > y.node group by 1, 2 having count(*) >= 5)
+    select a, b, r, round(c, 6) + 0.0 corr, n from r join c using (a, b)"""
