@@ -730,25 +730,48 @@ def assimilate(source: DataFrame, observed: DataFrame, basis: DataFrame, reduced
 
 @dataclass
 class Sequence(Estimator):
-    """Residual boosting: each estimator is fitted to what those before it leave; estimates are added."""
+    """Residual boosting: each estimator is fitted to what those before it leave; estimates are added.
+
+    transition puts a straight line through each step's estimates before they are added and taken off: fitted, over the
+    stations left out in the past, to what was left before the step ("left") or to the values themselves ("values"). A step
+    that estimates the same everywhere gets the mean. The parameters are a list: a step's, then its line (slope, intercept).
+    """
 
     steps: list[Estimator] = field(default_factory=list)
+    transition: str | None = None
+
+    def _line(self, own: DataFrame) -> DataFrame:
+        """(slope, intercept) of own (_y on _e), one row."""
+        if self.transition is None:
+            return own.sparkSession.createDataFrame([(1.0, 0.0)], "slope double, intercept double")
+        both = own.where("_e is not null and _y is not null")
+        line = both.agg(F.regr_slope("_y", "_e").alias("slope"), F.regr_intercept("_y", "_e").alias("intercept"), F.avg("_y").alias("_m"))
+        flat = F.col("slope").isNull() | F.isnan("slope")
+        return checkpointed(line.select(F.when(flat, 0.0).otherwise(F.col("slope")).alias("slope"), F.when(flat, F.coalesce("_m", F.lit(0.0))).otherwise(F.col("intercept")).alias("intercept")))
+
+    def _apply(self, e: Estimator, p, line: DataFrame, now: DataFrame) -> DataFrame:
+        """(station, t, _e) of a step on what is left now, along its line (one row)."""
+        own = e.predict(p, now).join(F.broadcast(line))
+        return own.select(F.col("fold").alias("station"), "t", (F.col("intercept") + F.col("slope") * F.col("estimate")).alias("_e"))
 
     def fit(self, past: DataFrame) -> list:
         out, now = [], past
         for e in self.steps:
             p = e.fit(now)
-            out.append(p)
-            own = e.predict(p, now).select(F.col("fold").alias("station"), "t", F.col("estimate").alias("_e"))
-            now = now.join(own, ["station", "t"], "left").select("t", "station", (F.col("z") - F.coalesce("_e", F.lit(0.0))).alias("z"))
+            against = past if self.transition == "values" else now
+            seen = e.predict(p, now).select(F.col("fold").alias("station"), "t", F.col("estimate").alias("_e")).join(against.select("station", "t", F.col("z").alias("_y")), ["station", "t"])
+            line = self._line(seen)
+            out += [p, line]
+            now = now.join(self._apply(e, p, line, now), ["station", "t"], "left").select("t", "station", (F.col("z") - F.coalesce("_e", F.lit(0.0))).alias("z"))
         return out
 
     def predict(self, parameters: list, panel: DataFrame) -> DataFrame:
         total, now = None, panel
-        for e, p in zip(self.steps, parameters, strict=True):
-            own = e.predict(p, now).select("fold", "t", F.col("estimate").alias("_e"))
-            total = own.withColumnRenamed("_e", "estimate") if total is None else total.join(own, ["fold", "t"], "left").select("fold", "t", (F.col("estimate") + F.coalesce("_e", F.lit(0.0))).alias("estimate"))
-            now = now.join(own.withColumnRenamed("fold", "station"), ["station", "t"], "left").select("t", "station", (F.col("z") - F.coalesce("_e", F.lit(0.0))).alias("z"))
+        for e, p, line in zip(self.steps, parameters[::2], parameters[1::2], strict=True):
+            own = self._apply(e, p, line, now)
+            step = own.withColumnRenamed("station", "fold")
+            total = step.withColumnRenamed("_e", "estimate") if total is None else total.join(step, ["fold", "t"], "left").select("fold", "t", (F.col("estimate") + F.coalesce("_e", F.lit(0.0))).alias("estimate"))
+            now = now.join(own, ["station", "t"], "left").select("t", "station", (F.col("z") - F.coalesce("_e", F.lit(0.0))).alias("z"))
         return total
 
 

@@ -166,6 +166,12 @@ def sequenciator(x: Tables) -> DataFrame:
     return _scores(E.Sequence([E.SnapshotMean(), E.Regression(_features(x), NAMES, "ridge", residual=False)]).evaluate(*_split(x)))
 
 
+@query("sequenciator_transitions", Q.sequence_transitions(CUT), ("sparse", "pixels"))
+def sequenciator_transitions(x: Tables) -> DataFrame:
+    """The same steps, each along a line fitted to what was left before it."""
+    return _scores(E.Sequence([E.SnapshotMean(), E.Regression(_features(x), NAMES, "ridge", residual=False)], "left").evaluate(*_split(x)))
+
+
 def _three(x: Tables, part: int) -> DataFrame:
     past, future = _split(x)
     at = past if part == 0 else future

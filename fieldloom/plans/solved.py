@@ -129,6 +129,17 @@ def sequence(cut: int) -> str:
     {_regressed('learn', 4, 1.0, False)} {scored('Sequence', rows)}"""
 
 
+def sequence_transitions(cut: int) -> str:
+    """Each step's estimates go through a line fitted to what was left before it."""
+    rows = "select station, t, z, coalesce(m.intercept + m.slope * base, null) + coalesce(l.intercept + l.slope * (list_dot_product(w, f) + b), 0) e from future_based join features using (t, station), coefficients, mean_line m, line l"
+    return f"""{split(cut)}, {FEATURES}, past_based as (select * from {_based('past')}), future_based as (select * from {_based('future')}),
+    mean_line as (select regr_slope(z, base) slope, regr_intercept(z, base) intercept from past_based where base is not null),
+    left_over as (select p.t, p.station, z - coalesce(intercept + slope * base, 0) y from past_based p, mean_line),
+    learn as (select f, y from left_over join features using (t, station)), {_regressed('learn', 4, 1.0, False)},
+    line as (select regr_slope(y, g) slope, regr_intercept(y, g) intercept from (select y, list_dot_product(w, f) + b g from learn, coefficients))
+    {scored('Sequence', rows)}"""
+
+
 def node_regression(day: int, features: str, alpha: float) -> str:
     """Ridge on features (t, node, colours) of the largest component's nodes, over the mean of users that are nodes, by day."""
     f = ", ".join(NAMES)

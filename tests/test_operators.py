@@ -325,3 +325,26 @@ def test_differences_count_repeats(spark):
     assert tuple(P.differences(a, b).first()) == (1, 1) and tuple(P.differences(a, a.limit(3)).first()) == (0, 0) and tuple(P.differences(a.limit(0), b).first()) == (0, 3)
     assert [r.place for r in P.in_order(a, "s", ["z", "x"]).collect()] == [2, 2, None]
     assert P.in_order(a, "s", []).where("place is not null").isEmpty()
+
+
+def test_a_sequence_puts_a_line_through_each_step(spark):
+    panel, features = _small_panel(spark)
+    for against in ("left", "values"):
+        e = E.Sequence([E.SnapshotMean(), E.Regression(features, ("f0", "f1"), "linear", residual=False)], against)
+        found = e.fit(panel)
+        z = {(r.t, r.station): r.z for r in panel.collect()}
+        keys = sorted(z)
+        base = np.array([np.mean([z[t, o] for o in "abcd" if o != s]) for t, s in keys])
+        y = np.array([z[k] for k in keys])
+        slope, intercept = np.polyfit(base, y, 1)
+        assert np.allclose(tuple(found[1].first()), (slope, intercept))
+        f = {(r.t, r.station): (r.f0, r.f1, 1.0) for r in features.collect()}
+        x, left = np.array([f[k] for k in keys]), y - intercept - slope * base
+        second = x @ np.linalg.lstsq(x, left, rcond=None)[0]
+        line = np.polyfit(second, left if against == "left" else y, 1)
+        assert np.allclose(tuple(found[3].first()), line)
+        got = {(r.t, r.fold): r.estimate for r in e.predict(found, panel).collect()}
+        assert np.allclose([got[k] for k in keys], intercept + slope * base + np.polyval(line, second))
+    flat = E.Sequence([E.GlobalMean()], "values")
+    one = spark.createDataFrame([(t, s, 3.0) for t in range(3) for s in "ab"], "t long, station string, z double")
+    assert {r.estimate for r in flat.predict(flat.fit(one), one).collect()} == {3.0}
