@@ -52,3 +52,11 @@ def test_rows_that_repeat_an_id(spark):
 def test_the_smallest_id_may_stay(spark):
     got = D.exact_groups(frame(spark, [(3, "a"), (4, "A")]), keep="min").collect()
     assert {r.keep_id for r in got} == {3}
+
+
+def test_very_long_texts(spark):
+    long = "word Other " * 200_000
+    rows = [(1, long), (2, long.upper()), (3, long + "x"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in D.exact_groups(df).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True)}

@@ -89,3 +89,14 @@ def test_few_large_sets_are_few_blocks(spark):
     got = N.blocked(members).collect()
     assert sorted((r.cluster, bytes(r.node), r.i, r.j) for r in got if r.cluster == "d") == [("d", b"e", 0, 0), ("d", b"f", 0, 0)]
     assert len([r for r in got if r.cluster == "c"]) == 4
+
+
+def test_very_long_texts(spark):
+    """Texts of 150,000 words: one changed in a few words is linked, one changed in half of them is not."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150_000)]
+    near = [w if k % 1000 else "new" for k, w in enumerate(words)]
+    far = [w if k % 5 else "other" for k, w in enumerate(words)]
+    rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (4, "short text"), (5, None)]
+    got = {r.doc_id: r.component_id for r in N.components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {3: 1, 1: 1, 2: 2, 4: 4, 5: 5}
