@@ -38,12 +38,23 @@ def pixel_position(px: Column, py: Column, lat: float, lon: float, zoom: int, sh
     return inverse_mercator((px + left) / scale, (py + top) / scale, tile)
 
 
-def lambert93(x: Column, y: Column) -> tuple[Column, Column]:
-    """(lat, lon) of Lambert-93 coordinates in metres: the inverse conformal conic on GRS80, three steps of the latitude.
+#: Fixed values of Lambert-93: cone constant, scale, false origin (x, y), eccentricity of GRS80; the central meridian is 3 degrees.
+LAMBERT = (0.7256077650, 11754255.426, 700000.0, 12655612.050, 0.08181919112)
+
+
+def to_lambert93(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Lambert-93 coordinates (x, y) in metres of a point in degrees."""
+    n, c, xs, ys, e = LAMBERT
+    phi = F.radians(lat)
+    es = F.sin(phi) * e
+    iso = F.log(F.tan(phi / 2 + math.pi / 4)) + F.log((1 - es) / (1 + es)) * (e / 2)
+    r, turn = F.exp(-n * iso) * c, F.radians(lon - 3) * n
+    return xs + r * F.sin(turn), ys - r * F.cos(turn)
 
-    Fixed values of the projection: cone constant n, scale c, false origin (xs, ys), central meridian 3 degrees.
-    """
-    n, c, xs, ys, e = 0.7256077650, 11754255.426, 700000.0, 12655612.050, 0.08181919112
+
+def lambert93(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of Lambert-93 coordinates in metres: the inverse conformal conic on GRS80, five steps of the latitude."""
+    n, c, xs, ys, e = LAMBERT
     dx, dy = x - xs, ys - y
     iso = -F.log(F.sqrt(dx * dx + dy * dy) / c) / n
     phi = 2 * F.atan(F.exp(iso)) - math.pi / 2

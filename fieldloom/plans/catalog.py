@@ -580,6 +580,35 @@ def mercator_roundtrip(x: Tables) -> DataFrame:
     return own.select("id", r6("wx", "wx"), r6("wy", "wy"), r6(back_lat, "lat"), r6(back_lon, "lon"))
 
 
+@query(
+    "lambert93_roundtrip",
+    """select id, round(700000 + r * sin(turn), 4) x, round(12655612.050 - r * cos(turn), 4) y, round(lat, 8) lat, round(lon, 8) lon from (
+        select *, 11754255.426 * exp(-0.7256077650 * (ln(tan(pi() / 4 + radians(lat) / 2) * power((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2)))) r, 0.7256077650 * radians(lon - 3) turn
+        from (select id, 46.5 + 4 * x lat, 3 + 4 * y lon, 0.08181919112 e from places))""",
+    ("places",),
+)
+def lambert93_roundtrip(x: Tables) -> DataFrame:
+    own = x.places().select("id", *(c.alias(n) for c, n in zip(S.to_lambert93(46.5 + 4 * F.col("x"), 3 + 4 * F.col("y")), "xy", strict=True)))
+    lat, lon = S.lambert93(F.col("x"), F.col("y"))
+    return own.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon"))
+
+
+@query(
+    "pixel_places",
+    """select id, round(degrees(2 * atan(exp((0.5 - wy / 256) * 2 * pi())) - pi() / 2), 6) lat, round((wx / 256 - 0.5) * 360, 6) lon,
+        round(sqrt(power(degrees(2 * atan(exp((0.5 - wy / 256) * 2 * pi())) - pi() / 2) - 48.85, 2) + power((wx / 256 - 0.5) * 360 - 2.35, 2)) * metres, 3) metres from (
+        select id, (id % 800 + floor((2.35 / 360 + 0.5) * 256 * 4096) - 400) / 4096 wx, (id % 600 + floor((0.5 - ln((1 + sin(radians(48.85))) / (1 - sin(radians(48.85)))) / (4 * pi())) * 256 * 4096) - 300) / 4096 wy,
+        9840 / sqrt(power(48.87551413370949 - 48.835641353886075, 2) + power(2.2944611276838867 - 2.414628350744604, 2)) metres from places)""",
+    ("places",),
+)
+def pixel_places(x: Tables) -> DataFrame:
+    """Where pixels of an image of 600 by 800 around a place are, and how far from its centre in metres."""
+    lat, lon = S.pixel_position(F.col("id") % 800, F.col("id") % 600, 48.85, 2.35, 12, (600, 800))
+    own = x.places().select("id", lat.alias("lat"), lon.alias("lon"))
+    metres = S.distance(F.col("lat"), F.col("lon"), F.lit(48.85), F.lit(2.35)) * S.METRES_PER_DEGREE
+    return own.select("id", r6("lat", "lat"), r6("lon", "lon"), F.round(metres, 3).alias("metres"))
+
+
 def _raster(x: Tables) -> DataFrame:
     k = F.col("p_partkey")
     colour = lambda i: F.element_at(F.array(*[F.lit(v) for v in ([99, 255, 242, 129, 156, 168, 0][0:7], [214, 151, 60, 31, 192, 218, 0], [104, 77, 50, 31, 249, 181, 0])[i]]), (k % 7 + 1).cast("int"))
