@@ -161,6 +161,14 @@ def traffic_mean_fit(x: Tables) -> DataFrame:
     return e.fit(x.panel()).agg(*[r6(F.max(F.when(F.col("term") == term, F.col("weight"))), name) for term, name in (("_p0", "slope"), (e.INTERCEPT, "intercept"))])
 
 
+@query("traffic_mean_colours", Q.traffic_mean(CUT), ("sparse", "pixels"))
+def traffic_mean_colours(x: Tables) -> DataFrame:
+    """A regression on the whole map's colours at the time: every station gets the same estimate."""
+    counts = x.pixels().groupBy("t").agg(*[F.count_if(F.col("colour") == k + 1).cast("double").alias(f"f{k}") for k in range(4)])
+    features = x.sparse().select("t", "station").join(counts, "t")
+    return _scores(E.Regression(features, NAMES, "linear", residual=False).evaluate(*_split(x)))
+
+
 @query("sequenciator", Q.sequence(CUT), ("sparse", "pixels"))
 def sequenciator(x: Tables) -> DataFrame:
     return _scores(E.Sequence([E.SnapshotMean(), E.Regression(_features(x), NAMES, "ridge", residual=False)]).evaluate(*_split(x)))

@@ -140,6 +140,14 @@ def sequence_transitions(cut: int) -> str:
     {scored('Sequence', rows)}"""
 
 
+def traffic_mean(cut: int) -> str:
+    """Least squares on the numbers of pixels of each colour at the time, the same for all stations."""
+    counts = ", ".join(f"cast(count(*) filter (colour = {k}) as double)" for k in range(1, 5))
+    rows = "select station, t, z, list_dot_product(w, f) + b e from future join features using (t), coefficients"
+    return f"""{split(cut)}, features as (select t, [{counts}] f from pixels group by 1), learn as (select f, z y from past join features using (t)),
+    {_regressed('learn', 4, 0.0, False)} {scored('Regression', rows)}"""
+
+
 def node_regression(day: int, features: str, alpha: float) -> str:
     """Ridge on features (t, node, colours) of the largest component's nodes, over the mean of users that are nodes, by day."""
     f = ", ".join(NAMES)
