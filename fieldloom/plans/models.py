@@ -322,7 +322,7 @@ def laplacian_modes(x: Tables) -> DataFrame:
     return _checked(basis, image)
 
 
-@query("principal_modes", ORTHONORMAL.format(most=4, count="select count(*) - 1 from (select distinct t from field)"), ("node_field",))
+@query("principal_modes", ORTHONORMAL.format(most=4, count="select least(count(distinct t) - 1, count(distinct node), (select count(*) from (select distinct u, v from traffic_edge))) from field"), ("node_field",))
 def principal_modes(x: Tables) -> DataFrame:
     source = checkpointed(_whole_field(x))
     basis = checkpointed(E.pca_basis(source, 4))
