@@ -284,6 +284,77 @@ def _by_vectors(matrix: DataFrame, held: sparse.Held, k: int, p: int, close: flo
     return values[:first], block.select("part", "v").mapInPandas(rows, f"node {matrix.schema['i'].dataType.simpleString()}, k long, b double")
 
 
+def counts_below(matrix: DataFrame, bounds: list[float]) -> list[int]:
+    """How many eigenvalues of a symmetric tall matrix (i, j, value) are below each bound.
+
+    As many as negative pivots when the matrix less the bound is eliminated, so no eigenvalue is sought. A task eliminates
+    for a bound: nodes of few neighbours first, as long as they have few, then the eigenvalues' signs of what is left, at
+    most CORE nodes. Small matrices, and those with a larger rest, are solved by eigenpairs.
+    """
+    matrix = checkpointed(matrix.groupBy("i", "j").agg(F.sum("value").alias("value")))
+    n = matrix.select("i").distinct().count()
+    held = sparse.hold(matrix) if n > DENSE_NODES else None
+    if held is not None:
+        shared = matrix.sparkSession.sparkContext.broadcast(held)
+
+        def run(frames):
+            import pandas as pd
+
+            for df in frames:
+                yield pd.DataFrame({"k": df["k"], "n": [negative_pivots(shared.value, b) for b in df["bound"]]})
+
+        own = matrix.sparkSession.createDataFrame(list(enumerate(map(float, bounds))), "k int, bound double")
+        found = {r.k: r.n for r in own.repartition(len(bounds), "k").mapInPandas(run, "k int, n long").collect()}
+        if min(found.values()) >= 0:
+            return [found[k] for k in range(len(bounds))]
+    values, _ = eigenpairs(matrix, n)
+    return [int((values < b).sum()) for b in bounds]
+
+
+#: Nodes of the rest of an elimination that is solved as a dense matrix (72 MB); neighbours of a node that is eliminated alone.
+CORE, NEIGHBOURS = 3_000, 40
+
+
+def negative_pivots(held: sparse.Held, bound: float) -> int:
+    """Of the matrix less bound, the number of negative eigenvalues; -1 if more than CORE nodes are left for the dense part."""
+    import heapq
+
+    rows: list[dict[int, float]] = [{} for _ in held.diagonal]
+    for columns, values in held.slots:
+        for i, (j, v) in enumerate(zip(columns.tolist(), values.tolist(), strict=True)):
+            rows[i][j] = v
+    for i, own in enumerate(rows):
+        own[i] = own.get(i, 0.0) - bound
+    heap = [(len(own), i) for i, own in enumerate(rows)]
+    heapq.heapify(heap)
+    left, negative = set(range(len(rows))), 0
+    while heap and heap[0][0] <= NEIGHBOURS + 1:
+        size, i = heapq.heappop(heap)
+        if i not in left or size != len(rows[i]):
+            continue
+        own = rows[i]
+        pivot = own.pop(i)
+        if abs(pivot) < 1e-3 * max((abs(v) for v in own.values()), default=0.0):  # too small to divide by: it stays
+            own[i] = pivot
+            continue
+        left.discard(i)
+        negative += pivot < 0
+        for j, v in own.items():
+            other, share = rows[j], v / pivot
+            del other[i]
+            for c, w in own.items():
+                other[c] = other.get(c, 0.0) - share * w
+            heapq.heappush(heap, (len(other), j))
+    if len(left) > CORE:
+        return -1
+    place = {i: k for k, i in enumerate(left)}
+    dense = np.zeros((len(left), len(left)))
+    for i, k in place.items():
+        for j, v in rows[i].items():
+            dense[k, place[j]] = v
+    return int(negative + (np.linalg.eigvalsh((dense + dense.T) / 2) < 0).sum())
+
+
 def sum_of_sizes(held: sparse.Held) -> np.ndarray:
     """Of each row, the sizes of the entries off the diagonal."""
     out = np.zeros(len(held.nodes))

@@ -56,3 +56,18 @@ def test_eigenpairs_equal_numpy_with_the_matrix_in_the_tasks(spark, monkeypatch,
     v = vectors(basis, n, k)
     assert np.allclose(own, values, atol=1e-8) and np.allclose(v.T @ v, np.eye(k), atol=1e-7)
     assert np.abs(a @ v - v * own).max() < 1e-6
+
+
+@pytest.mark.parametrize("neighbours", [40, 5, 0])
+def test_counts_below_need_no_eigenvalues(spark, monkeypatch, neighbours):
+    n = 50
+    a = ring(n, 6)
+    a[7, 7] = 1.0  # a pivot of 0 at the bound 1
+    values, bounds = np.linalg.eigvalsh(a), [-1.0, 0.3, 1.0, 2.5, 99.0]
+    monkeypatch.setattr(S, "DENSE_NODES", 10)
+    monkeypatch.setattr(S, "NEIGHBOURS", neighbours)
+    with monkeypatch.context() as m:
+        m.setattr(S, "eigenpairs", never)
+        assert S.counts_below(tall(spark, a), bounds) == [int((values < b).sum()) for b in bounds]
+    monkeypatch.setattr(S, "DENSE_NODES", 2_000)
+    assert S.counts_below(tall(spark, a), bounds) == [int((values < b).sum()) for b in bounds]
