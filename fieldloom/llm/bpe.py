@@ -32,6 +32,8 @@ WINDOW, MULTIPLIER, MASK = 16, np.uint32(0x9E3779B1), np.uint32(127)
 #: Bounds of the tables in a worker: joins and chunks (in bytes of text).
 MAX_JOINS, MAX_CHUNK_BYTES = 50_000, 6_000_000
 PART_DOCS, PART_BYTES = 512, 2_000_000
+#: Characters that the library encodes at once: it holds some 35 bytes a character until their ids are read.
+AT_ONCE = 200_000
 #: Bytes from which UTF-8 has characters beyond U+023F. Those below have no marks to compose and one lower-case form,
 #: so that str.lower() can stand for the normaliser (each worker compares them all first).
 LATIN = 0x240
@@ -131,6 +133,18 @@ def traits(json_text: str) -> Traits:
     return Traits(word_wise(spec), lower, tuple(x["content"].lower() for x in spec.get("added_tokens", ())))
 
 
+def _groups(texts: list) -> Iterator[list]:
+    """The texts in order, in lists of at most AT_ONCE characters (or bytes) or of one longer text."""
+    start = held = 0
+    for i, x in enumerate(texts):
+        if i > start and held + len(x) > AT_ONCE:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(x)
+    if start < len(texts):
+        yield texts[start:]
+
+
 class Encoder:
     """Encodes whole texts as tokenizer.encode(text, add_special_tokens=False), decodes as decode(ids, skip_special_tokens=False)."""
 
@@ -159,7 +173,7 @@ class Encoder:
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for own in _groups(texts) for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
 
     def _encode(self, parts: list[bytes]) -> list[list[int]]:
         """The ids of texts, by the tokenizer without its normaliser where that is known to be the same."""
@@ -184,11 +198,12 @@ class Encoder:
     def _add(self, fresh: list[bytes]) -> None:
         """Encode chunks and put them in the table."""
         token = self.token
-        for c, ids in zip(fresh, self._encode(fresh), strict=True):
-            words = c.split(None, 1)
-            last = c.rsplit(None, 1)
-            self.chunks[c] = Chunk(np.array(ids, dtype=np.int32).tobytes(), " ".join([token[i] for i in ids]), words[0] if words else b"", last[-1].strip() if words else b"")
-            self.chunk_bytes += len(c)
+        for own in _groups(fresh):
+            for c, ids in zip(own, self._encode(own), strict=True):
+                words = c.split(None, 1)
+                last = c.rsplit(None, 1)
+                self.chunks[c] = Chunk(np.array(ids, dtype=np.int32).tobytes(), " ".join([token[i] for i in ids]), words[0] if words else b"", last[-1].strip() if words else b"")
+                self.chunk_bytes += len(c)
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
         """ids (int32 bytes) and decoded text of each text."""

@@ -110,3 +110,24 @@ def test_table(spark, library):
         want = library.encode("Hello world" if r.doc_id == 1 else "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), sha(" ".join(map(str, want))), sha(library.decode(want, skip_special_tokens=False)))
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_the_library_gets_few_characters_at_once(library, monkeypatch):
+    with open(PATH) as f:
+        own = bpe.Encoder(f.read())
+    monkeypatch.setattr(bpe, "AT_ONCE", 300, raising=False)
+    sizes = []
+
+    def spied(tokenizer):
+        class Spy:
+            def encode_batch_fast(self, x, **how):
+                sizes.append((len(x), sum(map(len, x))))
+                return tokenizer.encode_batch_fast(x, **how)
+
+        return Spy()
+
+    own.tokenizer, own.bare = spied(own.tokenizer), spied(own.bare)
+    all_texts = texts(200)
+    ids, _ = own.encode([t.encode() for t in all_texts])
+    assert [len(i) // 4 for i in ids] == [len(library.encode(t, add_special_tokens=False).ids) for t in all_texts]
+    assert len(sizes) > 20 and all(n == 1 or size <= 300 for n, size in sizes)
