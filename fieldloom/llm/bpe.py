@@ -9,6 +9,10 @@ agree.
 Chunks are reused only with a tokenizer that is ``word_wise``: its pre-tokenizer drops white space and never joins
 across it, its normaliser works on single characters and on marks after a base character, and added tokens hold no
 blank. With any other tokenizer, whole texts go to the library.
+
+A chunk of Latin text is encoded by tiktoken where the vocabulary allows it (see ``unreached``): tokenizers spends most of
+its time on the alignment of each word with the text, which nothing here asks for. Other chunks, and the words at the
+joins, are encoded by tokenizers, so that joins are verified by the library whose ids are wanted.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import gc
 import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 from typing import NamedTuple
@@ -38,6 +44,12 @@ AT_ONCE = 200_000
 #: so that str.lower() can stand for the normaliser (each worker compares them all first).
 LATIN = 0x240
 BEYOND_LATIN = re.compile(rb"[\xc9-\xff]")
+#: The pattern of the pre-tokenizer that SPLIT follows for these characters (each worker compares them all first).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS, NUMBERS = ("".join(sorted({x for c in range(0x80, LATIN) for x in chr(c) + chr(c).lower() if unicodedata.category(x)[0] == k})) for k in "LN")
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9{NUMBERS}]|[^\t-\r \x85\xa0a-z{LETTERS}0-9{NUMBERS}]+")
+#: The end of a word in what tiktoken gets; texts that hold it go to tokenizers.
+END = "\x01"
 
 
 def _blank_table() -> np.ndarray:
@@ -110,6 +122,43 @@ def word_wise(spec: dict) -> bool:
     )
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a ByteLevel token stands for."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(0x100) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
+
+def unreached(spec: dict) -> tuple[int, ...] | None:
+    """The ids of tokens that merging never gives, if a tokenizer's merges may be read from the ranks of its other tokens; else None.
+
+    Ranks merge the neighbours x, y whose bytes together are the token of least id; merges ask for the pair. Both are the same
+    if ids ascend with the merges and each token t = xy comes out whole when its own characters are encoded: until x and y
+    stand side by side, nothing has merged across the ends of t, so that its characters went the way that they go by
+    themselves, which ends in t only if x, y is one of the pairs. Likewise, a token that doesn't come out whole comes out
+    nowhere.
+    """
+    from tokenizers.models import BPE
+
+    pre, model = _steps(spec.get("pre_tokenizer"), "pretokenizers"), spec["model"]
+    if not word_wise(spec) or pre[0]["pattern"]["Regex"] != PATTERN or [x["type"] for x in pre[1:]] != ["ByteLevel"]:
+        return None
+    suffix, vocab, merges = model.get("end_of_word_suffix"), model["vocab"], [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+    if not suffix or len(suffix) == 1 or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    singles = {c + end for c in byte_of() for end in ("", suffix)}
+    made = [vocab.get(a + b, -1) for a, b in merges]
+    if not singles <= vocab.keys() or made != sorted(set(made)) or set(vocab) - singles != {a + b for a, b in merges}:
+        return None
+    if made and max(vocab[x] for x in singles) >= made[0] or any(a.endswith(suffix) or (a + b).endswith(suffix) != b.endswith(suffix) for a, b in merges):
+        return None  # ends of words are not told apart from what stands in them
+    if any(chr(0x100 + ord(END)) in x for x in vocab if x not in singles):
+        return None  # END inside a word
+    inner, whole = BPE(vocab, merges), BPE(vocab, merges, end_of_word_suffix=suffix)
+    alone = ((i, whole.tokenize(t.removesuffix(suffix)) if t.endswith(suffix) else inner.tokenize(t)) for t, i in vocab.items())
+    return tuple(i for i, found in alone if [x.id for x in found] != [i])
+
+
 class Chunk(NamedTuple):
     """An encoded chunk: ids as int32 bytes, its tokens joined by a blank, its first and last word (empty if it has none)."""
 
@@ -125,12 +174,15 @@ class Traits(NamedTuple):
     word_wise: bool
     lower: bool
     added: tuple[str, ...]
+    suffix: str | None
+    unreached: tuple[int, ...] | None
 
 
 def traits(json_text: str) -> Traits:
     spec = json.loads(json_text)
     lower = "Lowercase" in {x["type"] for x in _steps(spec.get("normalizer"), "normalizers")}
-    return Traits(word_wise(spec), lower, tuple(x["content"].lower() for x in spec.get("added_tokens", ())))
+    added = tuple(x["content"].lower() for x in spec.get("added_tokens", ()))
+    return Traits(word_wise(spec), lower, added, spec["model"].get("end_of_word_suffix"), unreached(spec) if lower else None)
 
 
 def _groups(texts: list) -> Iterator[list]:
@@ -150,16 +202,22 @@ class Encoder:
 
     def __init__(self, json_text: str, known: Traits | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.word_wise, lower, self.added = known or traits(json_text)
+        known = known or traits(json_text)
+        self.word_wise, lower, self.added = known.word_wise, known.lower, known.added
         self.tokenizer = self._load(json_text)
         self.token = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.bare = None  # the tokenizer for Latin texts in lower case, which need no normaliser
+        self.bare = self.ranks = None  # the tokenizer and tiktoken for Latin texts in lower case, which need no normaliser
         if self.word_wise and lower:
             bare = self._load(json_text)
             bare.normalizer = None
             each = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}a" for c in range(LATIN)]
             same = zip(self._ids(self.tokenizer, each), self._ids(bare, [x.lower() for x in each]), strict=True)
             self.bare = bare if all(x == y for x, y in same) else None
+        if self.bare is not None and known.unreached is not None:
+            self.ranks = self._ranks(known.suffix, set(known.unreached))
+            low = [x.lower() for x in each if END not in x]
+            if self._ids(bare, low) != [self._by_ranks(x) for x in low]:
+                self.ranks = None
         self.chunks, self.joins, self.chunk_bytes, self.seen, self.reused = Kept(), Kept(), 0, 0, 0
 
     @staticmethod
@@ -175,23 +233,43 @@ class Encoder:
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for own in _groups(texts) for e in tokenizer.encode_batch_fast(own, add_special_tokens=False)]
 
-    def _encode(self, parts: list[bytes]) -> list[list[int]]:
-        """The ids of texts, by the tokenizer without its normaliser where that is known to be the same."""
-        texts, plain = [], []
-        for x in parts:
-            text = x.decode("utf-8", "replace")
-            if self.bare is not None and not BEYOND_LATIN.search(x):
-                low = text.lower()
-                plain.append(not any(t in low for t in self.added))
-                texts.append(low if plain[-1] else text)
-            else:
-                plain.append(False)
-                texts.append(text)
+    def _ranks(self, suffix: str, without: set[int]):
+        """tiktoken with the tokenizer's tokens as bytes, END for the suffix, and their ids as ranks."""
+        import tiktoken
+
+        byte, held = byte_of(), {}
+        for i, t in enumerate(self.token):
+            core = t.removesuffix(suffix)
+            if i not in without and all(c in byte for c in core) and t.lower() not in self.added:
+                held[bytes([byte[c] for c in core]) + (END.encode() if core != t else b"")] = i
+        return tiktoken.Encoding("own", pat_str=f"[^{END}]+{END}", mergeable_ranks=held, special_tokens={})
+
+    def _by_ranks(self, low: str) -> list[int]:
+        words = SPLIT.findall(low)
+        return self.ranks.encode_ordinary(END.join(words) + END) if words else []
+
+    def _plain(self, x: bytes) -> str | None:
+        """The text in lower case if it is known to need no other normaliser."""
+        if self.bare is None or BEYOND_LATIN.search(x):
+            return None
+        low = x.decode("utf-8", "replace").lower()
+        return None if any(t in low for t in self.added) else low
+
+    def _encode(self, parts: list[bytes], by_ranks: bool = False) -> list[list[int]]:
+        """The ids of texts, by the tokenizer without its normaliser (or by ranks, if asked) where that is known to be the same."""
         out: list = [None] * len(parts)
-        for tokenizer, own in ((self.bare, True), (self.tokenizer, False)):
-            at = [i for i, p in enumerate(plain) if p is own]
-            if at:
-                for i, ids in zip(at, self._ids(tokenizer, [texts[i] for i in at]), strict=True):
+        bare, full = [], []
+        for i, x in enumerate(parts):
+            low = self._plain(x)
+            if low is None:
+                full.append((i, x.decode("utf-8", "replace")))
+            elif by_ranks and self.ranks is not None and END not in low:
+                out[i] = self._by_ranks(low)
+            else:
+                bare.append((i, low))
+        for tokenizer, own in ((self.bare, bare), (self.tokenizer, full)):
+            if own:
+                for (i, _), ids in zip(own, self._ids(tokenizer, [x for _, x in own]), strict=True):
                     out[i] = ids
         return out
 
@@ -199,10 +277,10 @@ class Encoder:
         """Encode chunks and put them in the table."""
         token = self.token
         for own in _groups(fresh):
-            for c, ids in zip(own, self._encode(own), strict=True):
+            for c, ids in zip(own, self._encode(own, by_ranks=True), strict=True):
                 words = c.split(None, 1)
                 last = c.rsplit(None, 1)
-                self.chunks[c] = Chunk(np.array(ids, dtype=np.int32).tobytes(), " ".join([token[i] for i in ids]), words[0] if words else b"", last[-1].strip() if words else b"")
+                self.chunks[c] = Chunk(array("i", ids).tobytes(), " ".join([token[i] for i in ids]), words[0] if words else b"", last[-1].strip() if words else b"")
                 self.chunk_bytes += len(c)
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:

@@ -131,3 +131,90 @@ def test_the_library_gets_few_characters_at_once(library, monkeypatch):
     ids, _ = own.encode([t.encode() for t in all_texts])
     assert [len(i) // 4 for i in ids] == [len(library.encode(t, add_special_tokens=False).ids) for t in all_texts]
     assert len(sizes) > 20 and all(n == 1 or size <= 300 for n, size in sizes)
+
+
+def latin_texts(n=60):
+    rng = random.Random(5)
+    words = ["the", "Überraschung", "naïve", "it's", "we'll", "'re", "x²", "1984", "...'s", "ŁÓDŹ", "İstanbul", "a\x1cb", "ª", "end.", "\xa0", "\x85", "¿que?", "don't", "ǅ", "Ⱥ", "Ɓeta", "</w>", "<w>"]
+    word = lambda: rng.choice(words) if rng.random() < 0.4 else "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 12)))
+    return [rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randint(0, 400))) for _ in range(n)]
+
+
+def test_latin_chunks_do_not_go_through_the_alignments_of_the_library(library):
+    import numpy as np
+
+    with open(PATH) as f:
+        own = bpe.Encoder(f.read())
+    got = []
+
+    def spied(tokenizer):
+        class Spy:
+            def encode_batch_fast(self, x, **how):
+                got.extend(x)
+                return tokenizer.encode_batch_fast(x, **how)
+
+        return Spy()
+
+    own.tokenizer, own.bare = spied(own.tokenizer), spied(own.bare)
+    all_texts = latin_texts()
+    ids, decoded = own.encode([t.encode() for t in all_texts])
+    for t, i, d in zip(all_texts, ids, decoded, strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(i, dtype=np.int32).tolist() == want, t
+        assert d == library.decode(want, skip_special_tokens=False)
+    assert 0 < sum(map(len, got)) < sum(map(len, all_texts)) / 2
+
+
+def test_ranks_give_what_merges_give(library):
+    with open(PATH) as f:
+        own = bpe.Encoder(f.read())
+    rng = random.Random(3)
+    words = [t.removesuffix("</w>") for t in own.token if t.isascii() and t.islower()][:20_000]
+    words += ["".join(rng.choice(a) for _ in range(rng.randint(1, n))) for a in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "!.,-'", "éàüß") for n in (4, 9, 40, 700) for _ in range(100)]
+    words += ["a" * n for n in (1, 2, 3, 5, 8, 13, 99, 499, 500, 501, 20_001)]
+    for w, e in zip(words, library.encode_batch(words, add_special_tokens=False), strict=True):
+        assert own._by_ranks(w) == e.ids, w
+
+
+def test_ranks_stand_for_merges_only_where_they_are_the_same():
+    """A token that merging never gives is left out; merges in another order than the ids, or another pattern, rule ranks out."""
+    import copy
+    import json
+
+    with open(PATH) as f:
+        spec = json.load(f)
+    byte = list(bpe.byte_of())
+    singles = byte + [c + "</w>" for c in byte]
+
+    def made(merges, pattern=bpe.PATTERN):
+        out = copy.deepcopy({k: v for k, v in spec.items() if k != "model"}) | {"model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}}
+        tokens = singles + list(dict.fromkeys(a + b for a, b in merges))
+        out["model"] |= {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}
+        out["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = pattern
+        for k, x in enumerate(out["added_tokens"]):
+            x["id"] = len(tokens) + k
+        return out
+
+    assert bpe.unreached(made([["a", "b"], ["ab", "c</w>"]])) == ()
+    # b, c is merged before a, b, so that abc (from ab, c) never comes about: abc is a, bc
+    never = made([["b", "c"], ["a", "b"], ["ab", "c"]])
+    assert bpe.unreached(never) == (len(singles) + 2,)
+    own = bpe.Encoder(json.dumps(never))
+    assert own.ranks is not None
+    for word in ("abc", "abcx", "xabc", "ab", "bcab", "abcabcab"):
+        assert own._by_ranks(word) == own.bare.encode(word, add_special_tokens=False).ids
+    late = made([["a", "b"], ["b", "c"]])
+    late["model"]["merges"].reverse()
+    assert bpe.unreached(late) is None and bpe.Encoder(json.dumps(late)).ranks is None
+    assert bpe.unreached(made([["a", "b"]], pattern="[^\\s]+")) is None
+    assert bpe.unreached(made([["a", "ā"]])) is None  # the byte that ends words for tiktoken
+    assert bpe.unreached(made([["<", "/"], ["</", "w"], ["</w", ">"]])) is None
+
+
+def test_the_query_s_vocabulary_is_read_by_ranks():
+    with open(PATH) as f:
+        json_text = f.read()
+    known = bpe.traits(json_text)
+    assert known.unreached == () and bpe.Encoder(json_text, known).ranks is not None
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        assert bpe.traits(f.read()).unreached is None
